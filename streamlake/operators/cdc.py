@@ -64,11 +64,12 @@ def merge(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Target after the changes: untouched rows plus the surviving new images.
 
     The target is not shuffled while the changed keys fit a broadcast; Spark decides by their
-    measured size and otherwise sorts and merges.
+    measured size and otherwise sorts and merges. Keys and images are read apart, as the keys
+    alone need neither ranking nor the other columns.
     """
-    last = latest_per_key(changes, key)
-    kept = target.join(last.select(key), key, "left_anti")
-    return kept.unionByName(last.where("op <> 'd'").select(*target.columns))
+    kept = target.join(changes.select(key).distinct(), key, "left_anti")
+    last = latest_per_key(changes, key).where("op <> 'd'")
+    return kept.unionByName(last.select(*target.columns))
 
 
 def merge_into(changes: DataFrame, table: str, key: str) -> None:

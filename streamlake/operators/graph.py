@@ -4,27 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from streamlake.session import shared_dir
+from streamlake.session import run_dir
 
 
 def closure(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """All pairs ``(src, dst)`` joined by a path of at least one edge; cycles are fine.
 
     Each round extends only the pairs found in the round before, and drops those already
-    known, so every pair is produced once and the rounds number the longest shortest path. The
-    new pairs are written to the checkpoint folder, which keeps plans short and survives lost
-    executors. (A recursive CTE neither ends on a cycle nor passes a million rows by default.)
+    known, so every pair is kept once and the rounds number the longest shortest path. The
+    new pairs are written to the shared folder, which keeps plans short, survives lost executors
+    and tells the next join their true size. (A recursive CTE neither ends on a cycle nor passes
+    a million rows by default.)
     """
-    shared_dir(edges.sparkSession)
-    edges = edges.select(src, dst).distinct().checkpoint()
+    spark = edges.sparkSession
+    root = run_dir(spark, "closure")
+    rounds = [f"{root}/round=1"]
+    edges.select(src, dst).distinct().write.parquet(rounds[0])
+    edges = fresh = known = spark.read.parquet(rounds[0])
+    schema = edges.schema
     step = edges.select(F.col(src).alias(dst), F.col(dst).alias("next"))
-    known = fresh = edges
     while True:
-        fresh = (fresh.join(step, dst).select(src, F.col("next").alias(dst)).distinct()
-                 .join(known, [src, dst], "left_anti").checkpoint())
+        path = f"{root}/round={len(rounds) + 1}"
+        (fresh.join(step, dst).select(src, F.col("next").alias(dst)).distinct()
+         .join(known, [src, dst], "left_anti").write.parquet(path))
+        fresh = spark.read.schema(schema).parquet(path)
         if fresh.isEmpty():
             return known
-        known = known.unionByName(fresh)
+        rounds.append(path)
+        known = spark.read.schema(schema).parquet(*rounds)
 
 
 def reflexive_closure(edges: DataFrame, src: str, dst: str) -> DataFrame:

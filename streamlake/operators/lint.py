@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from streamlake.functions.masks import MASK_KINDS
 from streamlake.functions.rowfilter import accepted
 from streamlake.operators.graph import closure, role_edges
 
@@ -91,9 +92,13 @@ def duplicate_catalog_grants(grants: DataFrame) -> DataFrame:
 
 
 def conflicting_masks(grants: DataFrame) -> DataFrame:
-    """Columns a role sees under different masks by different grants."""
+    """Columns a role sees under different masks by different grants. The masks met are kept as
+    bits, which a hash aggregate combines ahead of the shuffle."""
+    bit = F.create_map(*[F.lit(x) for i, kind in enumerate(MASK_KINDS) for x in (kind, 1 << i)])
+    met = [F.when(F.col("bits").bitwiseAND(1 << i) != 0, kind) for i, kind in enumerate(MASK_KINDS)]
     return (grants.select("resource", F.explode("roles").alias("role"), "column_mask")
             .select("resource", "role", F.explode("column_mask").alias("column_name", "mask"))
             .groupBy("resource", "role", "column_name")
-            .agg(F.min("mask").alias("first_mask"), F.max("mask").alias("last_mask"))
-            .where("first_mask <> last_mask"))
+            .agg(F.bit_or(bit[F.col("mask")]).alias("bits"))
+            .where(F.bit_count("bits") > 1)
+            .select("resource", "role", "column_name", F.concat_ws(", ", *met).alias("masks")))

@@ -469,7 +469,7 @@ FROM names GROUP BY lower(replace(name, '-', '_')) HAVING COUNT(DISTINCT name) >
 SELECT catalog, role_set, COUNT(*) AS grant_count FROM grants
 GROUP BY catalog, role_set HAVING COUNT(*) > 1""",
     "conflicting_masks": f"""WITH {DECLARED_GRANTS}
-SELECT resource, role, 'email' AS column_name, 'hash' AS first_mask, 'partial' AS last_mask
+SELECT resource, role, 'email' AS column_name, 'hash, partial' AS masks
 FROM grants WHERE mask_kind < 2
 GROUP BY resource, role HAVING COUNT(DISTINCT mask_kind) = 2""",
 

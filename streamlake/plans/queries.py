@@ -434,7 +434,8 @@ def audit_timeline(spark, sf_dir):
     decisions = access.decide_deny(_requests(spark, sf_dir))
     return audit.timeline(
         audit.decision_log(decisions),
-        audit.change_log(_order_changes(spark, sf_dir), "orders", "order_id"),
+        audit.change_log(cdc.normalize(derive.order_changes(load(spark, sf_dir, "orders"))),
+                         "orders", "order_id"),
         audit.query_log(_clicks(spark, sf_dir).where("action = 'view'")))
 
 
