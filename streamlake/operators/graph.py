@@ -10,21 +10,21 @@ from streamlake.session import run_dir
 def closure(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """All pairs ``(src, dst)`` joined by a path of at least one edge; cycles are fine.
 
-    Each round extends only the pairs found in the round before, and drops those already
-    known, so every pair is kept once and the rounds number the longest shortest path. The
-    new pairs are written to the shared folder, which keeps plans short, survives lost executors
-    and tells the next join their true size. (A recursive CTE neither ends on a cycle nor passes
-    a million rows by default.)
+    Every round doubles the path length: the pairs found last are extended by all known pairs,
+    and what is already known is dropped. Rounds number the logarithm of the longest shortest
+    path. New pairs are written to the shared folder, which keeps plans short, survives lost
+    executors and tells the next join their true size. (A recursive CTE neither ends on a cycle
+    nor passes a million rows by default.)
     """
     spark = edges.sparkSession
     root = run_dir(spark, "closure")
     rounds = [f"{root}/round=1"]
     edges.select(src, dst).distinct().write.parquet(rounds[0])
-    edges = fresh = known = spark.read.parquet(rounds[0])
-    schema = edges.schema
-    step = edges.select(F.col(src).alias(dst), F.col(dst).alias("next"))
+    fresh = known = spark.read.parquet(rounds[0])
+    schema = known.schema
     while True:
         path = f"{root}/round={len(rounds) + 1}"
+        step = known.select(F.col(src).alias(dst), F.col(dst).alias("next"))
         (fresh.join(step, dst).select(src, F.col("next").alias(dst)).distinct()
          .join(known, [src, dst], "left_anti").write.parquet(path))
         fresh = spark.read.schema(schema).parquet(path)
