@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 SMALL_FILE_BYTES = 100 * 1024 * 1024
 TARGET_FILE_BYTES = 512 * 1024 * 1024
 RETENTION_DAYS = 7
+# However tiny the files are, no task opens more of them than this.
+MAX_FILES_PER_TASK = 65536
 
 
 def compaction_plan(files: DataFrame, small_bytes: int = SMALL_FILE_BYTES,
@@ -45,7 +47,7 @@ def rewrite(spark: SparkSession, source: str, destination: str,
     sibling = spark.newSession()
     sibling.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
     sibling.conf.set("spark.sql.files.minPartitionNum", "1")
-    sibling.conf.set("spark.sql.files.openCostInBytes", str(min(target_bytes, 1024 * 1024)))
+    sibling.conf.set("spark.sql.files.openCostInBytes", str(target_bytes // MAX_FILES_PER_TASK))
     sibling.conf.set("spark.sql.session.timeZone", "UTC")
     sibling.read.parquet(source).write.mode("overwrite").parquet(destination)
 
