@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from streamlake.functions.masks import apply_masks
 from streamlake.functions.rowfilter import to_column
-from streamlake.policy import Policy, split_resource
+from streamlake.policy import TEXT, Policy, small_frame, split_resource
 
 # Operations the deny rules treat as writes.
 WRITE_OPERATIONS = [
@@ -198,7 +198,7 @@ def visible_tables(listings: DataFrame, catalog_permissions: DataFrame) -> DataF
 
 
 def topic_acls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TOPIC_ACLS, "account STRING, resource_type STRING, acl STRING")
+    return small_frame(spark, TOPIC_ACLS, account=TEXT, resource_type=TEXT, acl=TEXT)
 
 
 def decide_topic_acl(requests: DataFrame, acls: DataFrame, account_prefix: str = "svc-") -> DataFrame:
@@ -219,8 +219,8 @@ def app_roles(users: DataFrame, roles: DataFrame | None = None) -> DataFrame:
     """Add ``app_role`` by ``group_name``; ``roles`` is ``(group_name, app_role)``, by default
     the fixed mapping."""
     if roles is None:
-        roles = users.sparkSession.createDataFrame(
-            list(APP_ROLES.items()), "group_name STRING, app_role STRING")
+        roles = small_frame(users.sparkSession, list(APP_ROLES.items()),
+                            group_name=TEXT, app_role=TEXT)
     return users.join(roles, "group_name", "left").withColumn(
         "app_role", F.coalesce("app_role", F.lit(DEFAULT_APP_ROLE)))
 

@@ -20,7 +20,8 @@ def normalize(envelopes: DataFrame) -> DataFrame:
              .otherwise(F.raise_error(F.concat(
                  F.lit("change record without usable row image, op="),
                  F.coalesce(op, F.lit("null"))))))
-    return (envelopes.select(image.alias("image"), "op", "ts_ms", "seq")
+    seq = F.coalesce("seq", "source.lsn") if "source" in envelopes.columns else F.col("seq")
+    return (envelopes.select(image.alias("image"), "op", "ts_ms", seq.alias("seq"))
             .select("image.*", "op", "ts_ms", "seq"))
 
 

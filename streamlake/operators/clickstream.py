@@ -54,7 +54,8 @@ def sessions(clicks: DataFrame, gap_minutes: int = SESSION_GAP_MINUTES) -> DataF
     gap = F.expr(f"INTERVAL {gap_minutes} MINUTES")
     starts = F.col("first_ts") > F.lag("last_ts").over(by_user) + gap
     return (slots.withColumn("starts", F.coalesce(starts, F.lit(True)).cast("int"))
-            .withColumn("session_no", F.sum("starts").over(by_user))
+            .withColumn("session_no", F.sum("starts").over(
+                by_user.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
             .groupBy("user_id", "session_no")
             .agg(F.min("first_ts").alias("session_start"),
                  (F.max("last_ts") + gap).alias("session_end"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 PRIVILEGES = ["select", "insert", "update", "delete"]
 KEY = ["role", "privilege", "schema_name", "table_name"]
@@ -12,15 +12,18 @@ SCHEMA_GRANTS = {"analysts": ["select"], "engineers": PRIVILEGES, "admins": PRIV
 DEFAULT_GRANTS = {"engineers": PRIVILEGES, "admins": PRIVILEGES}
 
 
-def schema_grants(relations: DataFrame, granted: dict[str, list[str]]) -> DataFrame:
+def schema_grants(relations: DataFrame, granted: Column) -> DataFrame:
     """Expand grants on all relations: each relation row yields its grant rows in place, so
     neither a cross join nor a shuffle takes place."""
-    pairs = [F.struct(F.lit(role).alias("role"), F.lit(p).alias("privilege"))
-             for role, privileges in granted.items() for p in privileges]
-    return (relations.select(F.explode(F.array(*pairs)).alias("g"), "schema_name", "table_name")
+    return (relations.select(F.explode(granted).alias("g"), "schema_name", "table_name")
             .select("g.role", "g.privilege", "schema_name", "table_name"))
 
 
+def grant_rows(granted: dict[str, list[str]]) -> Column:
+    return F.array(*[F.struct(F.lit(role).alias("role"), F.lit(p).alias("privilege"))
+                     for role, privileges in granted.items() for p in privileges])
+
+
 def effective_privileges(grants: DataFrame, revokes: DataFrame, holders: DataFrame) -> DataFrame:
     """Grants less revokes, passed on to every role that holds the granted one."""
     standing = grants.join(revokes, KEY, "left_anti")
@@ -33,10 +36,11 @@ def relation_privileges(relations: DataFrame, holders: DataFrame) -> DataFrame:
     """Effective privileges on relations ``(schema_name, table_name, is_new, is_pii)``: analysts
     read the relations that existed at grant time and hold no personal data; engineers and
     admins have all privileges, on later relations too."""
-    existing = relations.where(~F.col("is_new"))
-    grants = (schema_grants(existing, SCHEMA_GRANTS)
-              .unionByName(schema_grants(relations.where("is_new"), DEFAULT_GRANTS)))
-    revokes = schema_grants(existing.where("is_pii"), {"analysts": ["select"]})
+    granted = (F.when(F.col("is_new"), grant_rows(DEFAULT_GRANTS))
+               .otherwise(grant_rows(SCHEMA_GRANTS)))
+    grants = schema_grants(relations, granted)
+    revokes = schema_grants(relations.where("is_pii AND NOT is_new"),
+                            grant_rows({"analysts": ["select"]}))
     return effective_privileges(grants, revokes, holders)
 
 

@@ -5,8 +5,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+TEXT, TEXTS = pa.string(), pa.list_(pa.string())
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """Declared rows as a relation Spark knows the size of, so that it can plan a broadcast."""
+    arrays = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(columns.values())]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=list(columns)))
+
 
 @dataclass(frozen=True)
 class Grant:
@@ -40,34 +49,33 @@ class Policy:
 
     def holders(self, spark: SparkSession) -> DataFrame:
         rows = [(r, h) for r in sorted(self.roles) for h in sorted(self.holders_of(r))]
-        return spark.createDataFrame(rows, "role STRING, holder STRING")
+        return small_frame(spark, rows, role=TEXT, holder=TEXT)
 
     def roles_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(r, list(inc)) for r, inc in self.roles.items()]
-        return spark.createDataFrame(rows, "name STRING, includes ARRAY<STRING>")
+        return small_frame(spark, rows, name=TEXT, includes=TEXTS)
 
     def groups_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(g, list(roles)) for g, roles in self.groups.items()]
-        return spark.createDataFrame(rows, "name STRING, roles ARRAY<STRING>")
+        return small_frame(spark, rows, name=TEXT, roles=TEXTS)
 
     def resources_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(r, c, list(s)) for r, (c, s) in self.resources.items()]
-        return spark.createDataFrame(
-            rows, "resource STRING, classification STRING, sensitive_columns ARRAY<STRING>")
+        return small_frame(spark, rows, resource=TEXT, classification=TEXT, sensitive_columns=TEXTS)
 
     def grants_frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(f"grant-{i}", g.resource, list(g.roles), list(g.privileges), dict(g.column_mask),
+        rows = [(f"grant-{i}", g.resource, list(g.roles), list(g.privileges),
+                 list(g.column_mask.items()),
                  g.row_filter, g.allow_unmasked) for i, g in enumerate(self.grants)]
-        return spark.createDataFrame(
-            rows, "grant_id STRING, resource STRING, roles ARRAY<STRING>, "
-                  "privileges ARRAY<STRING>, column_mask MAP<STRING,STRING>, row_filter STRING, "
-                  "allow_unmasked BOOLEAN")
+        return small_frame(spark, rows, grant_id=TEXT, resource=TEXT, roles=TEXTS, privileges=TEXTS,
+                           column_mask=pa.map_(TEXT, TEXT), row_filter=TEXT,
+                           allow_unmasked=pa.bool_())
 
     def catalog_permissions(self, spark: SparkSession) -> DataFrame:
         """One row per ``(operation, catalog, holder)``."""
         rows = sorted({(op, catalog, h) for catalog, roles, operations in self.catalog_grants
                        for op in operations for r in roles for h in self.holders_of(r)})
-        return spark.createDataFrame(rows, "operation STRING, catalog STRING, holder STRING")
+        return small_frame(spark, rows, operation=TEXT, catalog=TEXT, holder=TEXT)
 
 
 def split_resource(resource: Column) -> tuple[Column, Column]:

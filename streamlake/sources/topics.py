@@ -13,8 +13,10 @@ CUSTOMER_ROW = "customer_id BIGINT, name STRING, email STRING, city STRING, crea
 
 
 def envelope_schema(row: str) -> str:
-    """Change record: row images before and after, operation code, source time and position."""
-    return f"before STRUCT<{row}>, after STRUCT<{row}>, op STRING, ts_ms BIGINT, seq BIGINT"
+    """Change record: row images before and after, operation code, source time and position. The
+    position is ``seq``, or else the log sequence number the connector names in ``source``."""
+    return (f"before STRUCT<{row}>, after STRUCT<{row}>, op STRING, ts_ms BIGINT, seq BIGINT, "
+            "source STRUCT<lsn BIGINT>")
 
 
 def decode(records: DataFrame, schema: str) -> DataFrame:

@@ -68,6 +68,12 @@ def test_bad_records_fail_the_job(spark, record, message):
         changes(spark, [record]).collect()
 
 
+def test_position_falls_back_to_the_log_sequence_number(spark):
+    records = [json.dumps({"before": None, "after": image(1, s), "op": "c", "ts_ms": 5,
+                           "source": {"lsn": lsn, "table": "orders"}}) for s, lsn in (("B", 9), ("A", 8))]
+    assert state(cdc.current_rows(changes(spark, records), "order_id")) == [(1, "B")]
+
+
 def test_amounts_round_half_up(spark):
     rows = changes(spark, [change("c", 1, None, image(1, total="2.345"))])
     assert str(rows.first()["total_amount"]) == "2.35"
