@@ -44,6 +44,14 @@ def relation_privileges(relations: DataFrame, holders: DataFrame) -> DataFrame:
     return effective_privileges(grants, revokes, holders)
 
 
+def has_privilege(effective: DataFrame, role: str, table: str, privilege: str) -> DataFrame:
+    """One row, one truth value: does the role hold the privilege on ``schema.table``?"""
+    schema, name = table.rsplit(".", 1)
+    held = ((F.col("role") == role) & (F.col("privilege") == privilege)
+            & (F.col("schema_name") == schema) & (F.col("table_name") == name))
+    return effective.where(held).agg((F.count("*") > 0).alias("has_privilege"))
+
+
 def default_deny_probe(relations: DataFrame, effective: DataFrame) -> DataFrame:
     """For each relation created after the grants: can each role read it?"""
     def can_read(role: str):

@@ -326,6 +326,9 @@ def test_privileges_and_default_deny(spark):
     assert {t for r, p, t in held if r == "analysts"} == {"orders"}
     assert all((r, p, t) in held for r in ("engineers", "admins") for p in privileges.PRIVILEGES
                for t in ("orders", "customers", "probe"))
+    for role, table, want in (("analysts", "public.probe", False), ("engineers", "public.probe", True),
+                              ("analysts", "public.orders", True), ("ghost", "public.orders", False)):
+        assert privileges.has_privilege(effective, role, table, "select").first()[0] is want
     probe = privileges.default_deny_probe(relations, effective).collect()
     assert [tuple(r) for r in probe] == [("public", "probe", False, True, True)]
 

@@ -55,6 +55,15 @@ def test_creation_leaves_existing_tables_alone(spark):
     spark.sql("DROP DATABASE lake_test CASCADE")
 
 
+def test_load_time_defaults_to_now(spark):
+    ensure_table(spark, "lake_test2", "customers",
+                 "name STRING NOT NULL, created_at TIMESTAMP DEFAULT current_timestamp()")
+    spark.sql("INSERT INTO lake_test2.customers (name) VALUES ('Alice Kim')")
+    age = spark.sql("SELECT timestampdiff(MINUTE, created_at, current_timestamp()) AS m FROM lake_test2.customers")
+    assert age.first().m == 0
+    spark.sql("DROP DATABASE lake_test2 CASCADE")
+
+
 def test_views_and_catalog_settings(spark, sf_dir):
     register_views(spark, sf_dir, ["nation"])
     assert spark.sql("SELECT COUNT(*) AS n FROM nation").first().n == 25
