@@ -18,9 +18,11 @@ REQUIRED_CONF = {
 
 # A row of an already closed window is dropped in the very batch it arrives in, as the
 # jobs hold a single stateful operator each. State lives off-heap and is spilled to disk.
+# Sessions are merged within each input partition ahead of the shuffle.
 STREAM_CONF = {
     **REQUIRED_CONF,
     "spark.sql.streaming.statefulOperator.allowMultiple": "false",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
