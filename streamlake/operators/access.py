@@ -119,8 +119,7 @@ def allow_by_shape(requests: DataFrame, keys: list[str], allowed_shapes) -> Data
 
 
 def flat_requests(requests: DataFrame) -> DataFrame:
-    """Requests with user, groups, operation and the resource names as plain columns; the
-    resource names are those of the table the operation is about."""
+    """Requests with user, groups, operation and the names of the resource as plain columns."""
     table = F.col(_RESOURCE + "table")
     column = F.col(_RESOURCE + "column")
     return requests.withColumns({
@@ -128,7 +127,8 @@ def flat_requests(requests: DataFrame) -> DataFrame:
         "groups": F.coalesce(F.col(_IDENTITY + "groups"), F.array().cast("array<string>")),
         "operation": F.col("action.operation"),
         "catalog_name": F.coalesce(table.catalogName, column.catalogName),
-        "schema_name": F.coalesce(table.schemaName, column.schemaName),
+        "schema_name": F.coalesce(table.schemaName, column.schemaName,
+                                  F.col(_RESOURCE + "schema.schemaName")),
         "table_name": F.coalesce(table.tableName, column.tableName)})
 
 
@@ -190,10 +190,11 @@ def decide_catalog(requests: DataFrame, catalog_permissions: DataFrame) -> DataF
     return allow_by_shape(flat, ["groups", "operation", "catalog"], permitted)
 
 
-def visible_tables(listings: DataFrame, catalog_permissions: DataFrame) -> DataFrame:
-    """Browse filter: of the tables listed to callers, those they may see. Nothing is reported
-    for the rest."""
-    asked = listings.where("action.operation = 'FilterTables'")
+def visible_objects(listings: DataFrame, catalog_permissions: DataFrame) -> DataFrame:
+    """Browse filter: of the catalogs, schemas and tables listed to callers, those they may see.
+    Nothing is reported for the rest."""
+    asked = listings.where(F.col("action.operation").isin(
+        "FilterCatalogs", "FilterSchemas", "FilterTables"))
     return decide_catalog(asked, catalog_permissions).where("allowed").drop("allowed")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# The privileges in their customary order.
 PRIVILEGES = ["select", "insert", "update", "delete"]
 KEY = ["role", "privilege", "schema_name", "table_name"]
 
@@ -44,6 +45,17 @@ def relation_privileges(relations: DataFrame, holders: DataFrame) -> DataFrame:
     return effective_privileges(grants, revokes, holders)
 
 
+def privilege_lists(effective: DataFrame) -> DataFrame:
+    """One row per role and relation with its privileges in their customary order. They are
+    gathered as bits, which a hash aggregate combines ahead of the shuffle."""
+    bit = F.create_map(*[F.lit(x) for i, p in enumerate(PRIVILEGES) for x in (p, 1 << i)])
+    held = [F.when(F.col("bits").bitwiseAND(1 << i) != 0, p) for i, p in enumerate(PRIVILEGES)]
+    return (effective.groupBy("role", "schema_name", "table_name")
+            .agg(F.bit_or(bit[F.col("privilege")]).alias("bits"))
+            .select("role", "schema_name", "table_name",
+                    F.concat_ws(", ", *held).alias("privileges")))
+
+
 def has_privilege(effective: DataFrame, role: str, table: str, privilege: str) -> DataFrame:
     """One row, one truth value: does the role hold the privilege on ``schema.table``?"""
     schema, name = table.rsplit(".", 1)

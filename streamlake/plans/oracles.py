@@ -69,10 +69,11 @@ def _requests(suffix: str) -> str:
            ([CAST([] AS VARCHAR[]), [{a}], [{e}], [{m}], [{a}, {e}], ['nobody']])[user_id % 6 + 1]
          END AS groups,
          (['SelectFromColumns', 'InsertIntoTable', 'UpdateTableColumns', 'DeleteFromTable',
-           'DropTable', 'ShowTables', 'ShowColumns', 'ExecuteQuery', 'AccessCatalog',
-           'FilterTables', 'FilterCatalogs', 'SetCatalogSessionProperty', 'AddColumn'])
-         [event_id % 13 + 1] AS operation,
-         CASE WHEN event_id % 5 = 0 THEN 'system' WHEN event_id % 17 = 0 THEN 'evil'
+           'DropTable', 'AddColumn', 'ExecuteQuery', 'AccessCatalog', 'ShowSchemas',
+           'FilterCatalogs', 'ShowTables', 'FilterSchemas', 'ShowFunctions', 'ShowColumns',
+           'ShowCreateTable', 'FilterTables', 'SetCatalogSessionProperty'])
+         [event_id % 17 + 1] AS operation,
+         CASE WHEN event_id % 5 = 0 THEN 'system' WHEN event_id % 19 = 0 THEN 'evil'
               ELSE 'iceberg' END AS named_catalog,
          (['customers', 'orders', 'events_enriched', 'customers_v2'])
          [(event_id // 7) % 4 + 1] AS named_table
@@ -80,8 +81,8 @@ def _requests(suffix: str) -> str:
 requests AS (
   SELECT *, CASE
     WHEN operation = 'ExecuteQuery' THEN 'none'
-    WHEN operation IN ('AccessCatalog', 'FilterCatalogs') THEN 'catalog'
-    WHEN operation = 'ShowTables' THEN 'schema'
+    WHEN operation IN ('AccessCatalog', 'ShowSchemas', 'FilterCatalogs') THEN 'catalog'
+    WHEN operation IN ('ShowTables', 'FilterSchemas', 'ShowFunctions') THEN 'schema'
     WHEN operation = 'SetCatalogSessionProperty' THEN 'property'
     WHEN operation = 'SelectFromColumns' AND request_id % 2 = 1 THEN 'column'
     ELSE 'table' END AS shape
@@ -117,13 +118,11 @@ TOPIC_REQUESTS = """asked AS (
   FROM events)"""
 
 CATALOG_DECISIONS = f"""{_requests('s')}, catalog_decisions AS (
-  SELECT *, CASE
-    WHEN operation IN ('AccessCatalog', 'FilterCatalogs', 'ShowTables', 'ShowColumns',
-                       'FilterTables', 'SetCatalogSessionProperty') THEN named_catalog END
-    AS catalog,
-    operation IN ('ExecuteQuery', 'AccessCatalog', 'FilterCatalogs', 'ShowTables', 'ShowColumns',
-                  'FilterTables', 'SetCatalogSessionProperty')
-    AND (operation = 'ExecuteQuery' OR named_catalog = 'iceberg')
+  SELECT *, operation IN (
+           'SelectFromColumns', 'InsertIntoTable', 'UpdateTableColumns', 'DeleteFromTable',
+           'DropTable', 'AddColumn') AS on_data,
+    CASE WHEN NOT on_data AND operation <> 'ExecuteQuery' THEN named_catalog END AS catalog,
+    NOT on_data AND (operation = 'ExecuteQuery' OR named_catalog = 'iceberg')
     AND COALESCE(list_has_any(groups, ['analysts', 'engineers', 'admins']), FALSE) AS allowed
   FROM requests)"""
 
@@ -388,8 +387,11 @@ FROM aimed""",
     "authz_catalog_ops": f"""WITH {CATALOG_DECISIONS}
 SELECT request_id, "user", operation, catalog, allowed FROM catalog_decisions""",
     "authz_visible_tables": f"""WITH {CATALOG_DECISIONS}
-SELECT request_id, "user", catalog, 'lake' AS schema_name, named_table AS table_name
-FROM catalog_decisions WHERE operation = 'FilterTables' AND allowed""",
+SELECT request_id, "user", operation, catalog,
+       CASE WHEN operation <> 'FilterCatalogs' THEN 'lake' END AS schema_name,
+       CASE WHEN operation = 'FilterTables' THEN named_table END AS table_name
+FROM catalog_decisions
+WHERE operation IN ('FilterCatalogs', 'FilterSchemas', 'FilterTables') AND allowed""",
     "app_role_map": """WITH users AS (
   SELECT c_custkey AS customer_id,
          (['admins', 'engineers', 'analysts', 'guests'])[c_custkey % 4 + 1] AS group_name
@@ -407,6 +409,10 @@ SELECT effective_role AS role, role AS holder FROM reach""",
   SELECT 'team-' || c_custkey, 'admins' FROM customer WHERE c_custkey % 7 = 0)
 SELECT DISTINCT group_name, effective_role FROM teams JOIN reach USING (role)""",
     "effective_privileges": f"WITH {EFFECTIVE} SELECT * FROM effective",
+    "privilege_lists": f"""WITH {EFFECTIVE}
+SELECT role, schema_name, table_name, CASE WHEN role = 'analysts' THEN 'select'
+       ELSE 'select, insert, update, delete' END AS privileges
+FROM effective GROUP BY role, schema_name, table_name""",
     "default_deny_probe": f"""WITH {EFFECTIVE}
 SELECT schema_name, table_name,
        COALESCE(bool_or(role = 'analysts'), FALSE) AS analyst_select,

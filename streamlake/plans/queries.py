@@ -347,9 +347,9 @@ def authz_catalog_ops(spark, sf_dir):
 
 @query
 def authz_visible_tables(spark, sf_dir):
-    return access.visible_tables(_requests(spark, sf_dir, plural=True),
-                                 SHIPPED.catalog_permissions(spark)).select(
-        "request_id", "user", "catalog", "schema_name", "table_name")
+    return access.visible_objects(_requests(spark, sf_dir, plural=True),
+                                  SHIPPED.catalog_permissions(spark)).select(
+        "request_id", "user", "operation", "catalog", "schema_name", "table_name")
 
 
 @query
@@ -386,6 +386,11 @@ def effective_privileges(spark, sf_dir):
     return privileges.relation_privileges(relations, SHIPPED.holders(spark))
 
 
+@query
+def privilege_lists(spark, sf_dir):
+    return privileges.privilege_lists(effective_privileges(spark, sf_dir))
+
+
 @query
 def default_deny_probe(spark, sf_dir):
     relations = derive.relation_catalogue(load(spark, sf_dir, "part"))

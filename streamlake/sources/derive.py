@@ -112,8 +112,9 @@ def _explode(rows: DataFrame, structs: list[Column]) -> DataFrame:
 # One query-engine operation per event, in turn.
 REQUEST_OPERATIONS = [
     "SelectFromColumns", "InsertIntoTable", "UpdateTableColumns", "DeleteFromTable", "DropTable",
-    "ShowTables", "ShowColumns", "ExecuteQuery", "AccessCatalog", "FilterTables",
-    "FilterCatalogs", "SetCatalogSessionProperty", "AddColumn"]
+    "AddColumn", "ExecuteQuery", "AccessCatalog", "ShowSchemas", "FilterCatalogs", "ShowTables",
+    "FilterSchemas", "ShowFunctions", "ShowColumns", "ShowCreateTable", "FilterTables",
+    "SetCatalogSessionProperty"]
 REQUEST_TABLES = ["customers", "orders", "events_enriched", "customers_v2"]
 TOPIC_OPERATIONS = ["Read", "Write", "Describe", "Delete", "Alter", "AlterConfigs", "Create"]
 
@@ -135,12 +136,13 @@ def request_groups(plural: bool) -> Column:
 def access_requests(events: DataFrame, plural: bool) -> DataFrame:
     """Query-engine request log: who asks for which operation on which resource."""
     e = F.col("event_id")
-    catalog = F.when(e % 5 == 0, "system").when(e % 17 == 0, "evil").otherwise("iceberg")
+    catalog = F.when(e % 5 == 0, "system").when(e % 19 == 0, "evil").otherwise("iceberg")
     schema = F.lit("lake")
     table = pick(REQUEST_TABLES, F.floor(e / 7) % 4)
-    operation = pick(REQUEST_OPERATIONS, e % 13)
+    operation = pick(REQUEST_OPERATIONS, e % 17)
     on_table = operation.isin("InsertIntoTable", "UpdateTableColumns", "DeleteFromTable",
-                              "DropTable", "ShowColumns", "FilterTables", "AddColumn")
+                              "DropTable", "AddColumn", "ShowColumns", "ShowCreateTable",
+                              "FilterTables")
     on_column = operation == "SelectFromColumns"
     resource = F.struct(
         F.when(on_table | (on_column & (e % 2 == 0)), F.struct(
@@ -149,9 +151,9 @@ def access_requests(events: DataFrame, plural: bool) -> DataFrame:
         F.when(on_column & (e % 2 == 1), F.struct(
             catalog.alias("catalogName"), schema.alias("schemaName"),
             table.alias("tableName"), F.lit("email").alias("columnName"))).alias("column"),
-        F.when(operation == "ShowTables", F.struct(
+        F.when(operation.isin("ShowTables", "FilterSchemas", "ShowFunctions"), F.struct(
             catalog.alias("catalogName"), schema.alias("schemaName"))).alias("schema"),
-        F.when(operation.isin("AccessCatalog", "FilterCatalogs"), F.struct(
+        F.when(operation.isin("AccessCatalog", "ShowSchemas", "FilterCatalogs"), F.struct(
             catalog.alias("name"))).alias("catalog"),
         F.when(operation == "SetCatalogSessionProperty", F.struct(
             catalog.alias("catalogName"), F.lit("p").alias("propertyName")))

@@ -72,6 +72,12 @@ def run_customers_upsert(records: DataFrame, deltas: str, checkpoint: str,
                        checkpoint, trigger, "customers_upsert")
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows dropped so far because their window had closed."""
+    return sum(state["numRowsDroppedByWatermark"]
+               for progress in query.recentProgress for state in progress["stateOperators"])
+
+
 def current_image(spark: SparkSession, deltas: str, key: str, base: str | None = None,
                   after_batch: int = -1, upto_batch: int | None = None) -> DataFrame:
     """Mirror table: the base image, if any, with the change batches after it applied."""

@@ -123,9 +123,13 @@ def test_table_grants(spark, permissions):
 def test_listing_keeps_what_may_be_seen(spark):
     rows = [request(["analysts"], "FilterTables", **table("orders")),
             request(["nobody"], "FilterTables", **table("orders")),
-            request(["analysts"], "FilterTables", **table("orders", "evil"))]
+            request(["analysts"], "FilterTables", **table("orders", "evil")),
+            request(["admins"], "FilterSchemas", schema=("iceberg", "lake")),
+            request(["admins"], "FilterCatalogs", catalog=("iceberg",)),
+            request(["admins"], "ShowTables", schema=("iceberg", "lake"))]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id INT, " + REQUEST)
-    assert [r.id for r in access.visible_tables(df, SHIPPED.catalog_permissions(spark)).collect()] == [0]
+    seen = access.visible_objects(df, SHIPPED.catalog_permissions(spark)).collect()
+    assert sorted(r.id for r in seen) == [0, 3, 4]
 
 
 def test_decisions_keep_every_request(spark, permissions):
@@ -329,6 +333,9 @@ def test_privileges_and_default_deny(spark):
     for role, table, want in (("analysts", "public.probe", False), ("engineers", "public.probe", True),
                               ("analysts", "public.orders", True), ("ghost", "public.orders", False)):
         assert privileges.has_privilege(effective, role, table, "select").first()[0] is want
+    lists = {(r.role, r.table_name): r.privileges for r in privileges.privilege_lists(effective).collect()}
+    assert lists["analysts", "orders"] == "select" and ("analysts", "probe") not in lists
+    assert lists["admins", "customers"] == "select, insert, update, delete"
     probe = privileges.default_deny_probe(relations, effective).collect()
     assert [tuple(r) for r in probe] == [("public", "probe", False, True, True)]
 

@@ -54,11 +54,14 @@ def test_each_window_is_written_once_when_it_closes(session, tmp_path):
 
 def test_rows_of_closed_windows_are_dropped(session, tmp_path):
     source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    dropped = []
     for seconds in ([1, 2], [70], [3, 71], [140]):
         put(clicks(session, seconds), source)
         query = jobs.run_tumble(records(session, source), out, check, jobs.DRAIN)
         query.awaitTermination()
+        dropped.append(jobs.late_rows(query))
     assert minutes(session, out) == [(0, 2), (1, 2)]
+    assert dropped == [0, 0, 1, 0]
 
 
 def test_tumble_equals_batch_but_for_open_windows(session, sf_dir, tmp_path):
