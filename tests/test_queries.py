@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import differences, sql_engine
+from streamlake.plans import oracles as plans_oracles
+from streamlake.plans import queries as plans_queries
 
-ORACLES = entry.oracle_sql()
-QUERIES = entry.queries()
+ORACLES = plans_oracles.ORACLES
+QUERIES = plans_queries.QUERIES
 # Plan nodes no query may need: cross and nested-loop joins, Python, whole groups in one row.
 UNWANTED = ["CartesianProduct", "NestedLoopJoin", "PythonUDF", "EvalPython", "InPandas",
             "collect_list", "collect_set"]
