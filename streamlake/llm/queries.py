@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlake.llm import mixing, sharding, warc
+from streamlake.llm import mixing, sharding, tokens, warc
 from streamlake.session import configure
 from streamlake.sources.tables import load
 
@@ -37,4 +37,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op3_warc": op3_warc, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding}
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back."""
+    configure(spark)
+    return tokens.digests(spark, tokens.write(load(spark, sf_dir, "documents"), vocabulary()))
+
+
+QUERIES = {"op3_warc": op3_warc, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding,
+           "op10_tokens": op10_tokens}
