@@ -2,4 +2,43 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _passage_words(text: str) -> str:
+    return (f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), "
+            r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+DECONTAMINATE = f"""
+WITH docs AS (
+    SELECT doc_id, {_passage_words("text")} AS words FROM documents),
+items AS (
+    SELECT item_id, {_passage_words("text")} AS words FROM benchmark),
+sized AS (
+    SELECT item_id, words, least(len(words), 10) AS n FROM items WHERE len(words) > 0),
+windows AS (
+    SELECT DISTINCT item_id, n, array_to_string(words[i:i + n - 1], ' ') AS passage
+    FROM sized, LATERAL (SELECT unnest(range(1, len(words) - n + 2)) AS i)),
+lengths AS (SELECT DISTINCT n FROM windows),
+tried AS (
+    SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS passage
+    FROM docs, lengths, LATERAL (SELECT unnest(range(1, len(words) - n + 2)) AS i)),
+found AS (
+    SELECT doc_id, t.n, i, item_id FROM tried t JOIN windows w ON t.passage = w.passage
+    AND t.n = w.n),
+covered AS (
+    SELECT doc_id, count(DISTINCT at) AS n_hit
+    FROM (SELECT DISTINCT doc_id, n, i FROM found) f,
+        LATERAL (SELECT unnest(range(i, i + n)) AS at)
+    GROUP BY doc_id),
+listed AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+    coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_decontaminate": DECONTAMINATE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlake.llm import mixing, sharding, tokens, warc
+from streamlake.llm import decontaminate, mixing, sharding, tokens, warc
 from streamlake.session import configure
 from streamlake.sources.tables import load
 
@@ -18,6 +18,16 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    configure(spark)
+    found = decontaminate.find(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     configure(spark)
@@ -49,5 +59,5 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, tokens.write(load(spark, sf_dir, "documents"), vocabulary()))
 
 
-QUERIES = {"op3_warc": op3_warc, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding,
+QUERIES = {"op4_decontaminate": op4_decontaminate, "op3_warc": op3_warc, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding,
            "op10_tokens": op10_tokens}
