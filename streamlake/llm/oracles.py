@@ -28,9 +28,9 @@ found AS (
     SELECT doc_id, t.n, i, item_id FROM tried t JOIN windows w ON t.passage = w.passage
     AND t.n = w.n),
 covered AS (
-    SELECT doc_id, count(DISTINCT at) AS n_hit
+    SELECT doc_id, count(DISTINCT place) AS n_hit
     FROM (SELECT DISTINCT doc_id, n, i FROM found) f,
-        LATERAL (SELECT unnest(range(i, i + n)) AS at)
+        LATERAL (SELECT unnest(range(i, i + n)) AS place)
     GROUP BY doc_id),
 listed AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
