@@ -41,4 +41,31 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS
 FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_decontaminate": DECONTAMINATE}
+NEARDUP = rf"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+        '[^\x20\x09-\x0D]+') AS words FROM documents),
+sized AS (SELECT doc_id, words, least(len(words), 5) AS n FROM docs WHERE len(words) > 0),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(words[i:i + n - 1], ' ') AS shingle
+    FROM sized, LATERAL (SELECT unnest(range(1, len(words) - n + 2)) AS i)),
+sets AS (SELECT doc_id, count(*) AS size FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM common JOIN sets x ON a = x.doc_id JOIN sets y ON b = y.doc_id
+    WHERE 100 * shared >= 75 * (x.size + y.size - shared)),
+reach(doc_id, reached) AS (
+    SELECT a, b FROM links UNION SELECT b, a FROM links
+    UNION
+    SELECT r.doc_id, e.b FROM reach r
+    JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON r.reached = e.a),
+least_reached AS (SELECT doc_id, min(reached) AS reached FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(size, 0)::BIGINT AS n_shingles,
+    least(d.doc_id, coalesce(reached, d.doc_id)) AS component_id,
+    d.doc_id <= coalesce(reached, d.doc_id) AS kept
+FROM docs d LEFT JOIN sets s ON d.doc_id = s.doc_id LEFT JOIN least_reached r ON d.doc_id = r.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_neardup": NEARDUP, "op4_decontaminate": DECONTAMINATE}

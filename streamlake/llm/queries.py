@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlake.llm import decontaminate, mixing, sharding, tokens, warc
+from streamlake.llm import decontaminate, mixing, neardup, sharding, tokens, warc
 from streamlake.session import configure
 from streamlake.sources.tables import load
 
@@ -28,6 +28,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    configure(spark)
+    return neardup.classes(load(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     configure(spark)
@@ -59,5 +65,6 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, tokens.write(load(spark, sf_dir, "documents"), vocabulary()))
 
 
-QUERIES = {"op4_decontaminate": op4_decontaminate, "op3_warc": op3_warc, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding,
+QUERIES = {"op4_decontaminate": op4_decontaminate, "op5_neardup": op5_neardup,
+           "op3_warc": op3_warc, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding,
            "op10_tokens": op10_tokens}
