@@ -22,8 +22,8 @@ VERSION = 1
 HEADER = struct.Struct("<4sHHQIQII")
 SCALE_BITS = 20
 LOWEST = np.uint64(1 << 31)  # states lie in [2^31, 2^63) and give or take 32 bits at a time
-MAX_LANES = 1024
-CHECKPOINT_STEPS = 512
+MAX_LANES = 2048
+CHECKPOINT_STEPS = 256
 _WORD = np.uint64(32)
 _MASK = np.uint64(0xFFFFFFFF)
 

@@ -27,6 +27,7 @@ CACHED_PIECES = 1_000_000  # distinct pieces of text a worker holds the ids of
 
 BLOCK_SCHEMA = ("file_part int, block int, doc_ids array<bigint>, "
                 "doc_tokens array<bigint>, n_tokens bigint, coded binary")
+PACKED_NAMES = ["doc_id", "n_tokens", "ids", "kind", "counts"]
 BLOCK_ARROW = pa.schema([
     ("file_part", pa.int32()), ("block", pa.int32()),
     ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())),
@@ -64,12 +65,16 @@ class PieceEncoder:
 
     def __init__(self, path: str, cached_pieces: int = CACHED_PIECES):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.vocabulary = self.tokenizer.get_vocab_size()
         self.cached_pieces = cached_pieces
-        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
-        self.ends_piece = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.ends_piece[ends] = True
+        # How the model sees characters: by their bytes, as printable signs.
+        signs = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = str.maketrans({c: signs.pre_tokenize_str(c)[0][0]
+                                    for c in map(chr, range(33, 256)) if not _OTHER.match(c)})
         self.reset()
 
     def reset(self) -> None:
@@ -78,33 +83,25 @@ class PieceEncoder:
         self.ends = np.zeros(1 << 14, np.int64)  # where each entry ends; entry 0 is empty
         self.entries = 1
 
-    def _store(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        ends = self.ends[self.entries - 1] + np.cumsum(lengths)
-        upto = self.entries + len(names)
+    def _ids(self, piece: str) -> list[int]:
+        if _OTHER.search(piece) or "<|" in piece:
+            return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return [token.id for token in self.model.tokenize(piece.translate(self.signs))]
+
+    def _learn(self, new: list[str]) -> None:
+        """Store the ids of pieces that are not held yet."""
+        ids = list(map(self._ids, new))
+        ends = self.ends[self.entries - 1] + np.cumsum(list(map(len, ids)))
+        upto = self.entries + len(new)
         while len(self.ends) < upto:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         while len(self.flat) < ends[-1]:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[ends[-1] - len(ids):ends[-1]] = ids
+        self.flat[self.ends[self.entries - 1]:ends[-1]] = list(chain.from_iterable(ids))
         self.ends[self.entries:upto] = ends
-        self.index.update(zip(names, range(self.entries, upto), strict=True))
+        self.index.update(zip(new, range(self.entries, upto), strict=True))
         self.entries = upto
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if not _OTHER.search(p) and "<|" not in p]
-        for at in range(0, len(plain), 1000):
-            # As one text: the last id of a piece is one that ends a piece.
-            some = plain[at:at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids,
-                           dtype=np.uint32)
-            ends = np.flatnonzero(self.ends_piece[ids]) + 1
-            if len(ends) != len(some):
-                raise ValueError("the tokenizer splits otherwise than its rule says")
-            self._store(some, ids, np.diff(ends, prepend=0))
-        for piece in set(new).difference(plain):
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32)
-            self._store([piece], ids, np.array([len(ids)]))
-
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, without special tokens. A null text has none."""
         if len(self.index) > self.cached_pieces:
@@ -114,7 +111,8 @@ class PieceEncoder:
         numbers = list(map(self.index.get, named))
         if None in numbers:
             self._learn(list({p for p, n in zip(named, numbers, strict=True) if n is None}))
-            numbers = list(map(self.index.get, named))
+            numbers = [self.index[p] if n is None else n
+                       for p, n in zip(named, numbers, strict=True)]
         entries = np.array(numbers, dtype=np.int64)
         begins = self.ends[entries - 1]
         each = self.ends[entries] - begins
@@ -148,42 +146,58 @@ def _portions(texts: list[str | None], most: int = 4 << 20) -> Iterator[list[str
         yield held
 
 
+def packed_kind(vocabulary: int, end_id: int | None) -> str:
+    """The integers ids are packed as: 16 bits where all fit."""
+    return "<u2" if max(vocabulary - 1, end_id or 0) < 1 << 16 else "<u4"
+
+
 def pack(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
-    """``doc_id, n_tokens, ids``: the ids of each text as packed unsigned 32-bit integers, followed
-    by ``end_id``. A null text counts as empty; a null id stays null."""
+    """``doc_id, n_tokens, ids, kind, counts``: the packed ids of each text, followed by ``end_id``,
+    and, in one more row for each task (all else null), how often each id occurs there. A null text
+    counts as empty; a null id stays null."""
     def packed(batches):
         gc.disable()  # lists of millions of strings, but no cycles
         coder = encoder(path)
-        end = [] if end_id is None else [end_id]
+        kind = packed_kind(coder.vocabulary, end_id)
+        end = np.array([] if end_id is None else [end_id], dtype=kind)
+        total = np.zeros(max(coder.vocabulary, (end_id or 0) + 1), np.int64)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             done = 0
             for portion in _portions(texts):
-                rows = [np.concatenate([r, end]).astype("<u4") for r in coder.encode(portion)]
+                rows = coder.encode(portion)
+                total += np.bincount(np.concatenate(rows), minlength=len(total))
+                total[end] += len(rows)
+                cells = [r.astype(kind).tobytes() + end.tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(done, len(rows)), pa.array(map(len, rows), pa.int64()),
-                     pa.array([r.tobytes() for r in rows], pa.binary())],
-                    ["doc_id", "n_tokens", "ids"])
+                    [ids.slice(done, len(rows)),
+                     pa.array([len(r) + len(end) for r in rows], pa.int64()),
+                     pa.array(cells, pa.binary()), pa.array([kind] * len(rows)),
+                     pa.nulls(len(rows), pa.binary())], PACKED_NAMES)
                 done += len(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+             pa.nulls(1, pa.string()), pa.array([total.astype("<i8").tobytes()], pa.binary())],
+            PACKED_NAMES)
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .mapInArrow(packed, "doc_id bigint, n_tokens bigint, ids binary"))
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        packed, "doc_id bigint, n_tokens bigint, ids binary, kind string, counts binary"))
 
 
 def symbol_counts(packed: DataFrame) -> DataFrame:
-    """``symbol, n``: occurrences of each id, summed within a task ahead of the shuffle."""
-    def counted(batches):
-        total = np.zeros(1, np.int64)
+    """``symbol, n``: occurrences of each id, from the sums of the tasks."""
+    def unpacked(batches):
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for cell in batch.column(0):
-                n = np.bincount(np.frombuffer(cell.as_buffer(), "<u4"), minlength=len(total))
-                n[:len(total)] += total
-                total = n
+                own = np.frombuffer(cell.as_buffer(), "<i8").copy()
+                total = own + total if len(total) else own
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])],
                                          ["symbol", "n"])
 
-    return (packed.select("ids").mapInArrow(counted, "symbol bigint, n bigint")
+    return (packed.where("counts IS NOT NULL").select("counts")
+            .mapInArrow(unpacked, "symbol bigint, n bigint")
             .groupBy("symbol").agg(F.sum("n").alias("n")))
 
 
@@ -217,26 +231,28 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = END_ID,
         ids, cells, size = [], [], 0
 
         def row():
-            flat = np.concatenate([np.frombuffer(c, "<u4") for c in cells])
+            flat = np.concatenate(cells)
             return pa.RecordBatch.from_pylist(
                 [{"file_part": part, "block": block, "doc_ids": list(ids),
-                  "doc_tokens": [len(c) // 4 for c in cells], "n_tokens": len(flat),
+                  "doc_tokens": [len(c) for c in cells], "n_tokens": len(flat),
                   "coded": rans.encode(flat, table)}], schema=BLOCK_ARROW)
 
         for batch in batches:
-            for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, cell, kind in zip(batch.column(0).to_pylist(), batch.column(1),
+                                          batch.column(2).to_pylist(), strict=True):
                 ids.append(doc_id)
-                cells.append(cell.as_buffer())
-                size += len(cells[-1]) // 4
+                cells.append(np.frombuffer(cell.as_buffer(), kind))
+                size += len(cells[-1])
                 if size >= block_tokens:
                     yield row()
                     ids, cells, size, block = [], [], 0, block + 1
         if ids:
             yield row()
 
-    ordered = packed.repartitionByRange("doc_id", "n_tokens").sortWithinPartitions(
-        "doc_id", "n_tokens", F.xxhash64("ids"))
-    (ordered.select("doc_id", "ids").mapInArrow(coded, BLOCK_SCHEMA)
+    ordered = (packed.where("ids IS NOT NULL").select("doc_id", "n_tokens", "ids", "kind")
+               .repartitionByRange("doc_id", "n_tokens")
+               .sortWithinPartitions("doc_id", "n_tokens", F.xxhash64("ids")))
+    (ordered.select("doc_id", "ids", "kind").mapInArrow(coded, BLOCK_SCHEMA)
      .write.option("compression", "uncompressed").parquet(f"{out}/blocks"))
     return out
 
@@ -251,8 +267,10 @@ def blocks(spark: SparkSession, folder: str) -> DataFrame:
     places = coded.select("file_part", "block", F.coalesce(F.sum("n_tokens").over(
         Window.partitionBy("file_part").orderBy("block").rowsBetween(*up_to_here)), F.lit(0))
         .alias("in_part"))
-    starts = places.join(parts, "file_part").select(
-        "file_part", "block", (F.col("part_start") + F.col("in_part")).alias("start"))
+    # Written, so that the join knows how small they are and leaves the blocks where they lie.
+    starts = keep_table(places.join(parts, "file_part").select(
+        "file_part", "block", (F.col("part_start") + F.col("in_part")).alias("start")),
+        "token-starts")
     return coded.join(starts, ["file_part", "block"])
 
 
