@@ -96,11 +96,14 @@ def write(pages: DataFrame, least_shared_bytes: int = LEAST_SHARED_BYTES,
     out = run_dir(pages.sparkSession, "warc")
     (known.select("page_id", "address", header.cast("binary").alias("header"))
      .write.option("compression", "zstd").parquet(f"{out}/headers"))
-    firsts = rows.join(
-        first.withColumnRenamed("address", "at"),
-        (F.col("address") == F.col("at")) & F.col("page_id").eqNullSafe(F.col("first_id")),
-        "left_semi")
-    (firsts.select("address", "payload").dropDuplicates(["address"])
+    # Joined and made distinct by the same two columns, so the payloads move once. A missing id has
+    # a place of its own, which only counts where no row of the payload has an id.
+    nowhere = F.lit(-(1 << 63))
+    firsts = rows.withColumn("holder", F.coalesce("page_id", nowhere)).join(
+        first.select(F.col("address").alias("at"), F.coalesce("first_id", nowhere).alias("from")),
+        (F.col("address") == F.col("at")) & (F.col("holder") == F.col("from")), "left_semi")
+    (firsts.select("address", "holder", "payload").dropDuplicates(["address", "holder"])
+     .drop("holder")
      .write.option("compression", "zstd").parquet(f"{out}/payloads"))
     return out
 
