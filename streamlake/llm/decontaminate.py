@@ -18,6 +18,7 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 WINDOW_WORDS = 10
+AROUND = "struct<n:int,low:int,high:int>"
 
 
 def let(value: Column, body) -> Column:
@@ -29,7 +30,29 @@ def words(text: Column) -> Column:
     # `lower` is the faster way to lower-case A-Z, but changes other letters, too.
     plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(
         F.lower(text))
-    return F.filter(F.split(F.coalesce(plain, F.lit("")), NO_WORD), lambda w: w != "")
+
+    def trimmed(parts: Column) -> Column:  # only the first and the last part can be empty
+        front = F.when(parts[0] == "", 1).otherwise(0)
+        back = F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
+        return F.slice(parts, front + 1, F.greatest(F.size(parts) - front - back, F.lit(0)))
+
+    return let(F.split(F.coalesce(plain, F.lit("")), NO_WORD), trimmed)
+
+
+def sliding(array: Column, width: int, op) -> Column:
+    """``op`` over every run of ``width`` elements, from runs of half the width that may overlap."""
+    def pairs(shift: int):
+        def paired(of: Column) -> Column:
+            n = F.greatest(F.size(of) - shift, F.lit(0))
+            return F.zip_with(F.slice(of, 1, n), F.slice(of, shift + 1, n),
+                              lambda a, b: op(a, b))
+        return paired
+
+    have = 1
+    while 2 * have <= width:
+        array = let(array, pairs(have))
+        have *= 2
+    return let(array, pairs(width - have)) if have < width else array
 
 
 def gram_length(length: int) -> int:
@@ -38,32 +61,20 @@ def gram_length(length: int) -> int:
 
 
 def fingerprints(all_words: Column, length: int) -> Column:
-    """Array of ``(at, hash)``: the k-grams that are the smallest of some window of them."""
+    """For each k-gram, by the place of its first word: its hash if it is the smallest of some window
+    of them, else null. Empty if there are fewer than ``length`` words."""
     k = gram_length(length)
     w = length - k + 1
+    edge = F.array_repeat(F.lit(-(1 << 63)), w - 1)
 
-    def positions(array: Column, last_less: int) -> Column:
-        n = F.size(array) - last_less
-        return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-
-    def hashes(of: Column) -> Column:
-        return F.transform(positions(of, k - 1), lambda i: F.xxhash64(F.slice(of, i, k)))
-
-    def minima(h: Column) -> Column:
-        return F.transform(positions(h, w - 1), lambda i: F.array_min(F.slice(h, i, w)))
-
-    def chosen(h: Column, least: Column) -> Column:
-        def is_least(i: Column) -> Column:
-            first = F.greatest(i - w + 1, F.lit(1))
-            return F.array_contains(
-                F.slice(least, first, F.least(i, F.size(least)) - first + 1), F.element_at(h, i))
-
-        return F.transform(F.filter(positions(h, 0), is_least), lambda i: F.struct(
-            (i - 1).alias("at"), F.element_at(h, i).alias("hash")))
+    def chosen(h: Column) -> Column:
+        minima = sliding(h, w, F.least)
+        largest = sliding(F.concat(edge, minima, edge), w, F.greatest)
+        return F.zip_with(h, largest, lambda own, best: F.when(own == best, own))
 
-    none = F.array().cast("array<struct<at:int,hash:bigint>>")
+    none = F.array().cast("array<bigint>")
     return let(all_words, lambda of: F.when(F.size(of) < length, none).otherwise(
-        let(hashes(of), lambda h: let(minima(h), lambda least: chosen(h, least)))))
+        let(sliding(F.transform(of, lambda x: F.xxhash64(x)), k, F.xxhash64), chosen)))
 
 
 def _windows(bench: DataFrame, length: int) -> DataFrame:
@@ -97,30 +108,38 @@ def find(docs: DataFrame, bench: DataFrame, length: int = WINDOW_WORDS) -> DataF
     """
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     windows = keep_table(_windows(bench, length), "benchmark-windows")
-    lengths = [r["n"] for r in windows.select("n").distinct().collect()]  # 1 to `length`
-    met = None
-    for n in sorted(lengths):
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # 1 to `length`
+    split = texts.select("doc_id", "text_key",
+                         F.explode(F.array(words(F.col("text")))).alias("words"))
+    entries = [split.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"),
+                            F.lit(None).cast(AROUND).alias("around"))] if not lengths else []
+    for n in lengths:
         wanted = (windows.where(F.col("n") == n).select("window").distinct()
-                  .select(F.explode(fingerprints(F.split("window", " "), n)).alias("f"))
-                  .select(F.col("f.hash").alias("wanted")).distinct())
-        back = n - gram_length(n)
-        hits = (texts.select("doc_id", "text_key", F.explode(
-                    fingerprints(words(F.col("text")), n)).alias("f"))
-                .join(wanted, F.col("f.hash") == F.col("wanted"), "left_semi")
-                .select("doc_id", "text_key", F.struct(
-                    F.lit(n).alias("n"), F.greatest(F.col("f.at") - back, F.lit(0)).alias("low"),
-                    F.col("f.at").alias("high")).alias("around")))
-        met = hits if met is None else met.union(hits)
-    counted = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(
-        F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")),
-        F.lit(0)).cast("long").alias("n_words"))
+                  .select(F.explode(fingerprints(F.split("window", " "), n)).alias("wanted"))
+                  .where("wanted IS NOT NULL").distinct())
+        # In front of a text's fingerprints stands one entry for the text itself.
+        listed = split.select(
+            "doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.posexplode(
+                F.concat(F.array("text_key"), fingerprints(F.col("words"), n))).alias("at", "hash"))
+        itself = (F.col("at") == 0) & F.lit(n == lengths[0])
+        first, back = F.col("at") - 1, n - gram_length(n)
+        entries.append(
+            listed.where(F.col("hash").isNotNull())
+            .join(wanted, F.col("hash") == F.col("wanted"), "left")
+            .where(itself | ((F.col("at") > 0) & F.col("wanted").isNotNull()))
+            .select("doc_id", "text_key", F.when(itself, F.col("n_words")).alias("n_words"),
+                    F.when(F.col("at") > 0, F.struct(
+                        F.lit(n).alias("n"), F.greatest(first - back, F.lit(0)).alias("low"),
+                        first.alias("high"))).alias("around")))
+    met = entries[0]
+    for more in entries[1:]:
+        met = met.union(more)
+    met = keep_table(met.groupBy("doc_id", "text_key").agg(
+        F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"),
+        F.collect_set("around").alias("around")), "passages-met")
     no_spans = F.array().cast("array<struct<begin:int,end:int>>")
-    if met is None:
-        return counted.select("doc_id", "n_words", no_spans.alias("spans"),
-                              F.lit(0).cast("long").alias("n_hit"),
-                              F.array().cast("array<string>").alias("items"))
-    around = (met.groupBy("doc_id", "text_key").agg(F.collect_set("around").alias("around"))
-              .withColumnRenamed("doc_id", "of_doc").withColumnRenamed("text_key", "of_text"))
+    around = met.where(F.size("around") > 0).select(
+        F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"), "around")
     here = (texts.join(around, F.col("doc_id").eqNullSafe(F.col("of_doc"))
                        & (F.col("text_key") == F.col("of_text")))
             .select("doc_id", "text_key", F.explode(F.array(F.struct(
@@ -154,8 +173,10 @@ def find(docs: DataFrame, bench: DataFrame, length: int = WINDOW_WORDS) -> DataF
         return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(
             f"{a}.text_key").eqNullSafe(F.col(f"{b}.text_key"))
 
-    return (counted.alias("c").join(spans.alias("s"), same("c", "s"), "left")
+    return (met.alias("c").join(spans.alias("s"), same("c", "s"), "left")
             .join(listed.alias("i"), same("c", "i"), "left")
             .select("c.doc_id", "c.n_words", F.coalesce("s.spans", no_spans).alias("spans"),
                     F.coalesce("s.n_hit", F.lit(0).cast("long")).alias("n_hit"),
-                    F.coalesce("i.items", F.array().cast("array<string>")).alias("items")))
+                    F.coalesce("i.items", F.array().cast("array<string>")).alias("items"),
+                    F.explode(F.sequence(F.lit(1).cast("long"), F.col("c.copies"))).alias("copy"))
+            .drop("copy"))
