@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlake.llm import decontaminate, mixing, neardup, sharding, tokens, warc
+from streamlake.llm import decontaminate, langid, mixing, neardup, sharding, tokens, warc
 from streamlake.session import configure
 from streamlake.sources.tables import load
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from those not held out."""
+    configure(spark)
+    docs = load(spark, sf_dir, "documents")
+    told = langid.predict(docs.select("text", F.struct("doc_id").alias("row")),
+                          langid.train(docs), keep="row")
+    return told.select("row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"),
+                       "lang_pred", "score")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived and read back."""
     configure(spark)
@@ -65,6 +75,6 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, tokens.write(load(spark, sf_dir, "documents"), vocabulary()))
 
 
-QUERIES = {"op4_decontaminate": op4_decontaminate, "op5_neardup": op5_neardup,
+QUERIES = {"op2_langid": op2_langid, "op4_decontaminate": op4_decontaminate, "op5_neardup": op5_neardup,
            "op3_warc": op3_warc, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding,
            "op10_tokens": op10_tokens}
