@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +32,33 @@ def spaced_word_count(text: Column) -> Column:
 
 def partitions_for(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def in_blocks(df: DataFrame, size: Column, most: int, spread: Column) -> DataFrame:
+    """Deal rows out so that any two rows of a group of ``size`` rows meet in some block of about
+    ``2 * most`` at most, however large the group: the group is cut into ``n`` parts by ``spread``,
+    and each row goes to the ``n`` pairs of parts that hold its own. Adds ``part, low, high``; rows
+    of one part meet where ``low = high``. A group of up to ``most`` rows is one block."""
+    parts = F.ceil(size / most)
+    dealt = df.withColumn("part", F.pmod(spread, parts)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.withColumn("low", F.least("part", "other")).withColumn(
+        "high", F.greatest("part", "other")).drop("other")
+
+
+def runs(batches, columns: list[str]):
+    """The record batches of a sorted partition as tables, one for each value of ``columns``."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held:
+            batch = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        begin = 0
+        for end in cuts:
+            yield batch.slice(begin, int(end) - begin)
+            begin = int(end)
+        held = [batch.slice(begin)]
+    yield from held

@@ -18,18 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamlake.llm.common import keep_table
+from streamlake.llm.common import in_blocks, keep_table, runs
 from streamlake.llm.components import components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 75  # per cent
 CHUNKS, CHUNK_SLOTS, SLOT_BITS = 18, 6, 16
 SLOTS = CHUNKS * CHUNK_SLOTS
-SKETCH_WORDS = 2
-# A pair at the similarity bound exceeds these distances with a probability below 1e-7: a quarter of the slots
-# plus 5.4 deviations, and half of that for the sketch, where half of the unequal slots agree by chance.
+WIDE_SLOTS = 640  # of one byte
+# A pair at the similarity bound exceeds these distances with a probability below 1e-7: a quarter of the
+# slots plus 5.4 deviations.
 MOST_DIFFERENT_SLOTS = 51
-MOST_DIFFERENT_BITS = 33
+MOST_DIFFERENT_WIDE = 219
+COMPARED_ROWS = 2000  # of a key, compared with each other in one task
 CACHED_WORDS = 300_000
 VERIFY_BLOCK = 64  # documents compared with one other per task entry
 
@@ -37,12 +38,15 @@ FEATURES = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, signature bi
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """Odd 64-bit numbers."""
+    return np.random.default_rng(seed).integers(
+        0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 _MULTIPLIERS = _constants(SLOTS, 11)
 _OFFSETS = _constants(SLOTS, 12)
 _SLOT_WEIGHTS = _constants(SLOTS, 13).reshape(CHUNKS, CHUNK_SLOTS)
+_WIDE_MULTIPLIERS = _constants(WIDE_SLOTS, 15)
 _KEY_SALTS = _constants(SLOTS, 14).reshape(CHUNKS, CHUNK_SLOTS)
 
 
@@ -130,7 +134,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def _index(nodes: DataFrame) -> DataFrame:
-    """``key, node, n``: the entries of every class in the index."""
+    """``key, entry, node, n``: the entries of every class in the index."""
     def entries(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -138,28 +142,81 @@ def _index(nodes: DataFrame) -> DataFrame:
                 slots = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, SLOTS)
                 keys = chunk_keys(slots).ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(np.repeat(part.column(0).to_numpy(), SLOTS)),
-                     pa.array(np.repeat(part.column(1).to_numpy(), SLOTS))], ["key", "node", "n"])
+                    [pa.array(keys), pa.array(np.tile(np.arange(SLOTS, dtype=np.int16), len(slots))),
+                     pa.array(np.repeat(part.column(0).to_numpy(), SLOTS)),
+                     pa.array(np.repeat(part.column(1).to_numpy(), SLOTS))],
+                    ["key", "entry", "node", "n"])
 
     return nodes.select("node", "n", "signature").mapInArrow(
-        entries, "key bigint, node bigint, n bigint")
+        entries, "key bigint, entry smallint, node bigint, n bigint")
 
 
-def _sketches(nodes: DataFrame) -> DataFrame:
-    """``node, s1, s2``: the lowest bit of every slot, for comparing with ``bit_count``."""
-    def packed(batches):
+def _wide(bodies: DataFrame) -> DataFrame:
+    """``node, wide``: signatures of many one-byte slots, which tell similarities apart more finely."""
+    def widened(batches):
+        shingler = Shingler()
         for batch in batches:
-            if not batch.num_rows:
+            for row in range(batch.num_rows):
+                own = shingler(batch.column(1)[row].as_py())
+                slots = np.empty(WIDE_SLOTS, np.uint8)
+                step = max(1, min(64, (1 << 20) // len(own)))  # a working array of 8 MB
+                for begin in range(0, WIDE_SLOTS, step):
+                    factors = _WIDE_MULTIPLIERS[begin:begin + step, None]
+                    slots[begin:begin + step] = _mixed((own * factors).min(axis=1)) >> np.uint64(56)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, 1), pa.array([slots.tobytes()], pa.binary())],
+                    ["node", "wide"])
+
+    return bodies.mapInArrow(widened, "node bigint, wide binary")
+
+
+def _across(apart: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of different labels that meet in a key, each at the first key it meets in, near
+    by signature and by wide signature.
+
+    ``apart``: ``key, entry, held, node, n, label, signature, wide``. A key is compared in blocks.
+    """
+    def compared(batches):
+        for group in runs(batches, ["key", "low", "high"]):
+            if group.num_rows < 2:
                 continue
-            slots = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SLOTS)
-            bits = np.zeros((len(slots), 64 * SKETCH_WORDS), np.uint8)
-            bits[:, :SLOTS] = slots & 1
-            words = np.packbits(bits, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.ascontiguousarray(words[:, i]))
-                                    for i in range(SKETCH_WORDS))], ["node", "s1", "s2"])
+            node, n, label, part = (group.column(c).to_numpy() for c in ("node", "n", "label", "part"))
+            entry, low, high = (group.column(c)[0].as_py() for c in ("entry", "low", "high"))
+            slots = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(
+                -1, SLOTS)
+            wide = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint8).reshape(
+                -1, WIDE_SLOTS)
+            found = []
+            for i in range(len(node) - 1):
+                j = np.arange(i + 1, len(node))
+                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                j = j[(label[j] != label[i]) & (100 * small >= SIMILARITY * large)
+                      & ((part[j] != part[i]) if low != high else True)]
+                if not len(j):
+                    continue
+                equal = slots[j] == slots[i]
+                near = SLOTS - equal.sum(axis=1) <= MOST_DIFFERENT_SLOTS
+                j, equal = j[near], equal[near].reshape(-1, CHUNKS, CHUNK_SLOTS)
+                j = j[_first_entry(equal) == entry]
+                j = j[(wide[j] != wide[i]).sum(axis=1) <= MOST_DIFFERENT_WIDE]
+                found += [(min(node[i], x), max(node[i], x)) for x in node[j]]
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for x, _ in found], pa.int64()),
+                     pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return (in_blocks(apart, F.col("held"), COMPARED_ROWS, F.xxhash64("node"))
+            .repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+            .mapInArrow(compared, "a bigint, b bigint"))
+
 
-    return nodes.select("node", "signature").mapInArrow(packed, "node bigint, s1 bigint, s2 bigint")
+def _first_entry(equal: np.ndarray) -> np.ndarray:
+    """The first entry of the index that two signatures share, from where their slots are equal:
+    in the first chunk with at most one error, the one that leaves out this error."""
+    errors = CHUNK_SLOTS - equal.sum(axis=2)
+    chunk = (errors <= 1).argmax(axis=1)
+    slot = np.take_along_axis(~equal, chunk[:, None, None], axis=1)[:, 0].argmax(axis=1)
+    return chunk * CHUNK_SLOTS + slot
 
 
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -236,8 +293,9 @@ def classes(docs: DataFrame) -> DataFrame:
     Rows with equal sets are one class, named after its smallest id, before anything is indexed.
     Within a key of the index every class is first compared with the smallest only, which joins
     large groups of copies with few comparisons. What remains are keys that hold classes still apart: their
-    pairs across components are compared by sketch inside the join and by signature after it. So
-    no link between components is lost, while copies are not expanded into all pairs.
+    pairs across components are compared by signature, in blocks, and only near ones leave the
+    task, once each. So no link between components is lost, while copies are not expanded into all
+    pairs.
     """
     rows = keep_table(features(docs), "neardup-features")
     nodes = keep_table(
@@ -248,7 +306,7 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = keep_table(
         _index(nodes).withColumn("first", F.min(F.struct("node", "n")).over(of_key))
         .withColumn("held", F.count(F.lit(1)).over(of_key)).where("held > 1")
-        .select("key", "node", "n", F.col("first.node").alias("lead"), F.col("first.n").alias("lead_n"),
+        .select("key", "entry", "node", "n", F.col("first.node").alias("lead"), F.col("first.n").alias("lead_n"),
                 "held"), "neardup-shared")
     bodies = keep_table(
         docs.select(F.col("doc_id").cast("long").alias("node"), "text")
@@ -263,25 +321,21 @@ def classes(docs: DataFrame) -> DataFrame:
     links = keep_table(_confirmed(_near(tried, nodes), bodies), "neardup-links")
     labels = keep_table(components(links), "neardup-labels")
 
-    labelled = (shared.where("held > 2").select("key", "node", "n").alias("s")
+    labelled = (shared.where("held > 2").select("key", "entry", "held", "node", "n").alias("s")
                 .join(labels.alias("l"), F.col("s.node") == F.col("l.node"), "left")
-                .select("key", "s.node", "n", F.coalesce("l.component", "s.node").alias("label")))
+                .select("key", "entry", "held", "s.node", "n",
+                        F.coalesce("l.component", "s.node").alias("label")))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
         "low != high").select(F.col("key").alias("mixed_key"))
-    sketches = _sketches(nodes).withColumnRenamed("node", "of")
-    apart = keep_table(
-        labelled.join(mixed, F.col("key") == F.col("mixed_key"), "left_semi")
-        .join(sketches, F.col("node") == F.col("of")).drop("of"), "neardup-apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    differing = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in ("s1", "s2")),
-                    F.lit(0))
-    across = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-                     & (F.col("x.node") < F.col("y.node")) & comparable("x.n", "y.n")
-                     & (differing <= MOST_DIFFERENT_BITS))
-              .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    rest = keep_table(across.join(tried, ["a", "b"], "left_anti"), "neardup-rest")
+    apart = keep_table(labelled.join(mixed, F.col("key") == F.col("mixed_key"), "left_semi"),
+                       "neardup-apart")
+    asked = apart.select("node").distinct()
+    wide = (_wide(bodies.join(asked, "node", "left_semi")).join(
+        nodes.select(F.col("node").alias("of"), "signature"), F.col("node") == F.col("of")).drop("node"))
+    met = _across(apart.join(wide, F.col("node") == F.col("of")).drop("of"))
+    rest = keep_table(met.distinct().join(tried, ["a", "b"], "left_anti"), "neardup-rest")
     if not rest.isEmpty():
-        more = keep_table(_confirmed(_near(rest, nodes), bodies), "neardup-links")
+        more = keep_table(_confirmed(rest, bodies), "neardup-links")
         if not more.isEmpty():
             labels = keep_table(components(links.union(more)), "neardup-labels")
     named = nodes.select("d1", "d2", "node").alias("c").join(
