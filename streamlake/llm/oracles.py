@@ -68,4 +68,24 @@ SELECT d.doc_id, coalesce(size, 0)::BIGINT AS n_shingles,
 FROM docs d LEFT JOIN sets s ON d.doc_id = s.doc_id LEFT JOIN least_reached r ON d.doc_id = r.doc_id
 """
 
-ORACLES: dict[str, str] = {"op5_neardup": NEARDUP, "op4_decontaminate": DECONTAMINATE}
+EMBEDDINGS = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(vec_id, reached) AS (
+    SELECT a, b FROM links UNION SELECT r.vec_id, e.b FROM reach r JOIN links e ON r.reached = e.a),
+least_reached AS (SELECT vec_id, min(reached) AS reached FROM reach GROUP BY vec_id),
+degrees AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links,
+    least(e.vec_id, coalesce(reached, e.vec_id)) AS component_id,
+    e.vec_id <= coalesce(reached, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN degrees USING (vec_id) LEFT JOIN least_reached USING (vec_id)
+"""
+
+ORACLES: dict[str, str] = {"op8_embeddings": EMBEDDINGS, "op5_neardup": NEARDUP, "op4_decontaminate": DECONTAMINATE}

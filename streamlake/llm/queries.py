@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlake.llm import decontaminate, langid, mixing, neardup, sharding, tokens, warc
+from streamlake.llm import decontaminate, embeddings, langid, mixing, neardup, sharding, tokens, warc
 from streamlake.session import configure
 from streamlake.sources.tables import load
 
@@ -51,6 +51,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all vectors."""
+    configure(spark)
+    return embeddings.classes(load(spark, sf_dir, "embeddings"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, from the files of the shards."""
     configure(spark)
@@ -76,5 +82,5 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_langid": op2_langid, "op4_decontaminate": op4_decontaminate, "op5_neardup": op5_neardup,
-           "op3_warc": op3_warc, "op7_mixing": op7_mixing, "op9_sharding": op9_sharding,
+           "op3_warc": op3_warc, "op7_mixing": op7_mixing, "op8_embeddings": op8_embeddings, "op9_sharding": op9_sharding,
            "op10_tokens": op10_tokens}
