@@ -26,6 +26,7 @@ SEGMENT = 1 << 20  # characters worked on at once
 DENSE = 1 << 24  # grams are numbered directly while the batch's alphabet allows so many
 MODEL_GRAMS = 4_000_000  # bound of the broadcast model; the most frequent grams stay
 CALIBRATION_ROWS = 20_000  # labelled rows that the acceptance is fitted on
+CALIBRATION_BYTES = 10_000  # a longer text is not sampled
 UNDETERMINED = "und"
 LEAST_LIMIT = 8.0  # deviations
 
@@ -329,10 +330,9 @@ def train(docs: DataFrame) -> Model | None:
                  for lang, part in table.groupby("lang")})
     rows = labelled.where(F.col("lang").isin(model.languages)).count()
     share = min(1.0, CALIBRATION_ROWS / max(rows, 1))
-    # Of long texts the beginning says enough about how entropies vary; it is the only cut.
     sample = (labelled.where(F.crc32(F.concat_ws(":", F.lit("calibrate"), "doc_id").cast("binary"))
                              < int(share * (1 << 32)))
-              .select(F.substring("text", 1, 4000).alias("text"), "lang")
+              .where(F.octet_length("text") <= CALIBRATION_BYTES).select("text", "lang")
               .limit(2 * CALIBRATION_ROWS).toPandas())
     sample = sample[sample["lang"].isin(model.languages)]
     return calibrate(model, sample["text"].tolist(), sample["lang"].tolist())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from streamlake.llm import licenses
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -88,4 +90,49 @@ SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links,
 FROM embeddings e LEFT JOIN degrees USING (vec_id) LEFT JOIN least_reached USING (vec_id)
 """
 
-ORACLES: dict[str, str] = {"op8_embeddings": EMBEDDINGS, "op5_neardup": NEARDUP, "op4_decontaminate": DECONTAMINATE}
+_TEMPLATE_ROWS = ", ".join(
+    "('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+_NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _pairs(words: str) -> str:
+    return (f"list_distinct(list_transform(range(1, len({words})), "
+            f"lambda i: {words}[i] || ' ' || {words}[i + 1]))")
+
+
+def _plain_words(text: str) -> str:
+    return f"list_filter(string_split_regex(lower({text}), '{_NO_WORD}'), lambda w: w <> '')"
+
+
+LICENSES = f"""
+WITH templates AS (
+    SELECT license, {_pairs("words")} AS pairs FROM (
+        SELECT license, {_plain_words("t")} AS words FROM (VALUES {_TEMPLATE_ROWS}) v(license, t))),
+lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS passage FROM documents),
+passages AS (
+    SELECT doc_id, passage FROM lines
+    UNION ALL SELECT doc_id, unnest(string_split_regex(passage, '[.!?][ \t]+')) FROM lines
+    UNION ALL SELECT doc_id, unnest(string_split_regex(text, '\n[ \t\r]*\n')) FROM documents
+    UNION ALL SELECT doc_id, text FROM documents),
+worded AS (
+    SELECT DISTINCT doc_id, {_plain_words("passage")} AS words FROM passages WHERE passage IS NOT NULL),
+paired AS (
+    SELECT doc_id, words, {_pairs("words")} AS pairs FROM worded WHERE len(words) > 1),
+compared AS (
+    SELECT doc_id, words, license,
+        2.0 * len(list_intersect(p.pairs, t.pairs)) / (len(p.pairs) + len(t.pairs)) AS dice
+    FROM paired p, templates t WHERE list_has_any(p.pairs, t.pairs)),
+best AS (
+    SELECT doc_id, words, license, dice FROM compared WHERE dice >= 0.8
+    QUALIFY row_number() OVER (PARTITION BY doc_id, words ORDER BY dice DESC, license) = 1),
+summed AS (
+    SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice,
+        count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
+    FROM best GROUP BY doc_id)
+SELECT d.doc_id, license, dice::DOUBLE AS dice, coalesce(n_matches, 0)::BIGINT AS n_matches,
+    coalesce(licenses, '') AS licenses
+FROM documents d LEFT JOIN summed s ON d.doc_id = s.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op6_licenses": LICENSES, "op8_embeddings": EMBEDDINGS, "op5_neardup": NEARDUP, "op4_decontaminate": DECONTAMINATE}

@@ -5,11 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlake.llm import decontaminate, embeddings, langid, mixing, neardup, sharding, tokens, warc
+from streamlake.llm import (
+    decontaminate,
+    embeddings,
+    extract,
+    langid,
+    licenses,
+    mixing,
+    neardup,
+    sharding,
+    tokens,
+    warc,
+)
 from streamlake.session import configure
 from streamlake.sources.tables import load
 
 
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    configure(spark)
+    pages = load(spark, sf_dir, "pages")
+    rows = pages.select("html", F.struct("page_id", "url").alias("row"))
+    texts = extract.extract(rows, extract.train(pages), keep="row")
+    return texts.select("row.page_id", "row.url", "text",
+                        F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those not held out."""
     configure(spark)
@@ -44,6 +65,17 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(load(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of all documents: the best one, and how many there are of which licences."""
+    configure(spark)
+    found = licenses.scan(load(spark, sf_dir, "documents"))
+    best = F.when(F.size("matches") > 0, F.col("matches")[0])
+    names = F.array_sort(F.array_distinct(F.col("matches")["license"]))
+    return found.select("doc_id", best["license"].alias("license"), best["dice"].alias("dice"),
+                        F.size("matches").cast("long").alias("n_matches"),
+                        F.array_join(names, ",").alias("licenses"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     configure(spark)
@@ -81,6 +113,6 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, tokens.write(load(spark, sf_dir, "documents"), vocabulary()))
 
 
-QUERIES = {"op2_langid": op2_langid, "op4_decontaminate": op4_decontaminate, "op5_neardup": op5_neardup,
+QUERIES = {"op1_extract": op1_extract, "op6_licenses": op6_licenses, "op2_langid": op2_langid, "op4_decontaminate": op4_decontaminate, "op5_neardup": op5_neardup,
            "op3_warc": op3_warc, "op7_mixing": op7_mixing, "op8_embeddings": op8_embeddings, "op9_sharding": op9_sharding,
            "op10_tokens": op10_tokens}
