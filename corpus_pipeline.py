@@ -1,10 +1,72 @@
-"""A corpus from raw documents to token files."""
+"""A training corpus from raw documents: language, near-duplicates, benchmark passages, mix, token files.
+
+Every stage takes the documents the one before it kept, all of them, and applies its operator's decision.
+Between the stages the documents are Parquet below the shared folder.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from streamlake.llm import decontaminate, langid, mixing, neardup, tokens
+from streamlake.llm.common import keep_table
+from streamlake.llm.queries import vocabulary
+from streamlake.session import configure
+from streamlake.sources.tables import load
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned from their labels; those the model rejects go."""
+    configure(spark)
+    rows = docs.select("text", F.struct("*").alias("row"))
+    return langid.predict(rows, langid.train(docs), keep="row").where("NOT rejected").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the smallest id; of several rows with
+    that id, the one whose text has the smallest hash. Rows without an id stay."""
+    configure(spark)
+    chosen = keep_table(neardup.classes(docs).where("kept AND doc_id IS NOT NULL")
+                        .select(F.col("doc_id").alias("chosen")).distinct(), "pipeline-chosen")
+    turn = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row.text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
+    first = (rows.join(chosen, F.col("id") == F.col("chosen"), "left_semi")
+             .withColumn("turn", turn).where("turn = 1").select("row.*"))
+    return first.unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    configure(spark)
+    found = decontaminate.find(docs, load(spark, sf_dir, "benchmark"))
+    hit = keep_table(found.where("n_hit > 0").select(F.col("doc_id").alias("hit")).distinct(),
+                     "pipeline-contaminated")
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each as often as the mix takes it."""
+    configure(spark)
+    return mixing.mixed(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files of the mix, written and read back: a row per written document."""
+    configure(spark)
+    return tokens.digests(spark, tokens.write(docs, vocabulary()))
+
+
+STAGES = [("language ID", language_id), ("MinHash near-dedup", near_duplicates),
+          ("benchmark decontamination", decontamination), ("mixing to target weights", mixture),
+          ("token files", token_files)]
+
+# Entropies of learned models and token ids are not SQL; tests/llm holds the run against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = keep_table(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-").lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

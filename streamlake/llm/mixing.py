@@ -97,11 +97,32 @@ def thresholds(sized: DataFrame, budgets: DataFrame, max_repeats: int = MAX_REPE
     return bounds.select("source", "source_size", "target", "repeats", "limit")
 
 
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS,
+         max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, DataFrame]:
+    """The sizes of ``docs (doc_id, source, text)`` and the thresholds of the sources, both written:
+    ``doc_id, source, size, position`` and ``source, source_size, target, repeats, limit``."""
+    sized = keep_table(docs.select(
+        "doc_id", "source", spaced_word_count(F.col("text")).alias("size"),
+        position(F.col("doc_id")).alias("position")), "mix-sizes")
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    budgets = keep_table(targets(sizes, weights, max_repeats), "mix-targets")
+    return sized, keep_table(thresholds(sized, budgets, max_repeats), "mix-bounds")
+
+
+def with_repeats(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``rows (source, position)`` with ``source_size, target, repeats`` of the mix."""
+    of_source = bounds.select(F.col("source").alias("of"), "source_size", "target",
+                              F.col("repeats").alias("epochs"), "limit")
+    repeats = F.col("epochs") + F.when(F.col("position") < F.col("limit"), 1).otherwise(0)
+    return rows.join(of_source, F.col("source").eqNullSafe(F.col("of"))).withColumn(
+        "repeats", repeats).drop("of", "epochs", "limit")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS,
         max_repeats: int = MAX_REPEATS) -> DataFrame:
     """How often the mix takes each document.
 
-    Returns ``doc_id, source, size, source_size, target, repeats, taken``: ``size`` is the number of
+    Returns ``doc_id, size, source, source_size, target, repeats, taken``: ``size`` is the number of
     words, ``taken`` those the mix takes, ``size * repeats``. A null or empty text has size 0; a
     null source is a source of its own; a null id is an id of its own. Rows of one id in a source
     are taken or left together. Other columns of ``docs`` are ignored. An empty table gives an empty
@@ -110,14 +131,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS,
     The texts are read once; sums are combined before each shuffle, so that a source with most of
     the documents is a few rows per task, and the budgets are a row per source.
     """
-    sized = keep_table(docs.select(
-        "doc_id", "source", spaced_word_count(F.col("text")).alias("size"),
-        position(F.col("doc_id")).alias("position")), "mix-sizes")
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    bounds = keep_table(thresholds(sized, keep_table(targets(sizes, weights, max_repeats),
-                                                     "mix-targets"), max_repeats), "mix-bounds")
-    of_source = bounds.withColumnRenamed("source", "of")
-    repeats = F.col("repeats") + F.when(F.col("position") < F.col("limit"), 1).otherwise(0)
-    return (sized.join(of_source, F.col("source").eqNullSafe(F.col("of")))
-            .select("doc_id", "source", "size", "source_size", "target",
-                    repeats.alias("repeats"), (F.col("size") * repeats).alias("taken")))
+    return with_repeats(*plan(docs, weights, max_repeats)).drop("position").withColumn(
+        "taken", F.col("size") * F.col("repeats"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS,
+          max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The documents of the mix with all their columns, each as often as it is taken."""
+    _, bounds = plan(docs, weights, max_repeats)
+    rows = docs.select(F.struct("*").alias("row"), "source",
+                       position(F.col("doc_id")).alias("position"))
+    taken = with_repeats(rows, bounds).where("repeats > 0").select(
+        "row", F.explode(F.sequence(F.lit(1).cast("long"), "repeats")).alias("copy"))
+    return taken.select("row.*")
