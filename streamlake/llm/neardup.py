@@ -25,11 +25,12 @@ SHINGLE_WORDS = 5
 SIMILARITY = 75  # per cent
 CHUNKS, CHUNK_SLOTS, SLOT_BITS = 18, 6, 16
 SLOTS = CHUNKS * CHUNK_SLOTS
-WIDE_SLOTS = 640  # of one byte
+WIDE_BITS = 4096
 # A pair at the similarity bound exceeds these distances with a probability below 1e-7: a quarter of the
-# slots plus 5.4 deviations.
+# slots plus 5.4 deviations, and an eighth of the bits plus as many, as half of the bits of
+# unequal minima agree by chance.
 MOST_DIFFERENT_SLOTS = 51
-MOST_DIFFERENT_WIDE = 219
+MOST_DIFFERENT_BITS = 626
 COMPARED_ROWS = 2000  # of a key, compared with each other in one task
 CACHED_WORDS = 300_000
 VERIFY_BLOCK = 64  # documents compared with one other per task entry
@@ -46,7 +47,7 @@ def _constants(n: int, seed: int) -> np.ndarray:
 _MULTIPLIERS = _constants(SLOTS, 11)
 _OFFSETS = _constants(SLOTS, 12)
 _SLOT_WEIGHTS = _constants(SLOTS, 13).reshape(CHUNKS, CHUNK_SLOTS)
-_WIDE_MULTIPLIERS = _constants(WIDE_SLOTS, 15)
+_WIDE_MULTIPLIERS = _constants(WIDE_BITS, 15).astype(np.uint32)
 _KEY_SALTS = _constants(SLOTS, 14).reshape(CHUNKS, CHUNK_SLOTS)
 
 
@@ -152,20 +153,21 @@ def _index(nodes: DataFrame) -> DataFrame:
 
 
 def _wide(bodies: DataFrame) -> DataFrame:
-    """``node, wide``: signatures of many one-byte slots, which tell similarities apart more finely."""
+    """``node, wide``: signatures of many one-bit slots, which tell similarities apart more finely."""
     def widened(batches):
         shingler = Shingler()
         for batch in batches:
-            for row in range(batch.num_rows):
-                own = shingler(batch.column(1)[row].as_py())
-                slots = np.empty(WIDE_SLOTS, np.uint8)
-                step = max(1, min(64, (1 << 20) // len(own)))  # a working array of 8 MB
-                for begin in range(0, WIDE_SLOTS, step):
-                    factors = _WIDE_MULTIPLIERS[begin:begin + step, None]
-                    slots[begin:begin + step] = _mixed((own * factors).min(axis=1)) >> np.uint64(56)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, 1), pa.array([slots.tobytes()], pa.binary())],
-                    ["node", "wide"])
+            cells = []
+            for text in batch.column(1):
+                own = (shingler(text.as_py()) >> np.uint64(32)).astype(np.uint32)
+                least = np.empty(WIDE_BITS, np.uint32)
+                step = max(1, min(64, (1 << 16) // len(own)))  # so that a working array stays in cache
+                for begin in range(0, WIDE_BITS, step):
+                    np.min(own * _WIDE_MULTIPLIERS[begin:begin + step, None], axis=1,
+                           out=least[begin:begin + step])
+                cells.append(np.packbits(_mixed(least.astype(np.uint64)) >> np.uint64(63) > 0).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())],
+                                             ["node", "wide"])
 
     return bodies.mapInArrow(widened, "node bigint, wide binary")
 
@@ -184,8 +186,8 @@ def _across(apart: DataFrame) -> DataFrame:
             entry, low, high = (group.column(c)[0].as_py() for c in ("entry", "low", "high"))
             slots = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(
                 -1, SLOTS)
-            wide = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint8).reshape(
-                -1, WIDE_SLOTS)
+            wide = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(
+                len(node), -1)
             found = []
             for i in range(len(node) - 1):
                 j = np.arange(i + 1, len(node))
@@ -198,7 +200,7 @@ def _across(apart: DataFrame) -> DataFrame:
                 near = SLOTS - equal.sum(axis=1) <= MOST_DIFFERENT_SLOTS
                 j, equal = j[near], equal[near].reshape(-1, CHUNKS, CHUNK_SLOTS)
                 j = j[_first_entry(equal) == entry]
-                j = j[(wide[j] != wide[i]).sum(axis=1) <= MOST_DIFFERENT_WIDE]
+                j = j[np.bitwise_count(wide[j] ^ wide[i]).sum(axis=1) <= MOST_DIFFERENT_BITS]
                 found += [(min(node[i], x), max(node[i], x)) for x in node[j]]
             if found:
                 yield pa.RecordBatch.from_arrays(
