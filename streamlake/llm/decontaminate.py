@@ -144,15 +144,21 @@ def find(docs: DataFrame, bench: DataFrame, length: int = WINDOW_WORDS) -> DataF
                        & (F.col("text_key") == F.col("of_text")))
             .select("doc_id", "text_key", F.explode(F.array(F.struct(
                 words(F.col("text")).alias("words"), "around"))).alias("x")))
-    starts = F.array_distinct(F.flatten(F.transform(F.col("x.around"), lambda a: F.transform(
-        F.when(a["low"] <= F.least(a["high"], F.size("x.words") - a["n"]),
-               F.sequence(a["low"], F.least(a["high"], F.size("x.words") - a["n"])))
-        .otherwise(F.array().cast("array<int>")),
-        lambda s: F.struct(s.alias("begin"), (s + a["n"]).alias("end"))))))
-    tried = here.select("doc_id", "text_key", "x.words", F.explode(starts).alias("span")).select(
-        "doc_id", "text_key", "span", F.array_join(F.slice(
-            "words", F.col("span.begin") + 1, F.col("span.end") - F.col("span.begin")), " ")
-        .alias("tried"))
+    # Begin and length of a window in one number, of which Spark finds the distinct ones by hashing.
+    base = length + 1
+
+    def begins(a: Column) -> Column:
+        last = F.least(a["high"], F.size("x.words") - a["n"])
+        return F.transform(F.when(a["low"] <= last, F.sequence(a["low"], last)).otherwise(
+            F.array().cast("array<int>")), lambda s: s.cast("long") * base + a["n"])
+
+    starts = F.array_distinct(F.flatten(F.transform(F.col("x.around"), begins)))
+    tried = here.select("doc_id", "text_key", "x.words", F.explode(starts).alias("start")).select(
+        "doc_id", "text_key", "words", F.expr(f"start DIV {base}").cast("int").alias("begin"),
+        (F.col("start") % base).cast("int").alias("n")).select(
+        "doc_id", "text_key",
+        F.struct("begin", (F.col("begin") + F.col("n")).alias("end")).alias("span"),
+        F.array_join(F.slice("words", F.col("begin") + 1, F.col("n")), " ").alias("tried"))
     found = keep_table(tried.join(windows.select("window").distinct(),
                                   F.col("tried") == F.col("window"), "left_semi"), "passages")
     listed = (found.select("doc_id", "text_key", "tried").distinct()
