@@ -42,7 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = decontaminate.find(docs, load(spark, sf_dir, "benchmark"))
     hit = keep_table(found.where("n_hit > 0").select(F.col("doc_id").alias("hit")).distinct(),
                      "pipeline-contaminated")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti")
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
+    return rows.join(hit, F.col("id").eqNullSafe(F.col("hit")), "left_anti").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,4 +135,55 @@ SELECT d.doc_id, license, dice::DOUBLE AS dice, coalesce(n_matches, 0)::BIGINT A
 FROM documents d LEFT JOIN summed s ON d.doc_id = s.doc_id
 """
 
-ORACLES: dict[str, str] = {"op6_licenses": LICENSES, "op8_embeddings": EMBEDDINGS, "op5_neardup": NEARDUP, "op4_decontaminate": DECONTAMINATE}
+MIXING = r"""
+WITH sized AS (
+    SELECT doc_id, source,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT >> 12 AS place
+    FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+    SELECT *, ([5, 2, 1])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight,
+        3 * source_size AS cap FROM sources),
+shared AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER earlier, 0))::DOUBLE
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0))::DOUBLE AS share
+    FROM weighed WINDOW earlier AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+    SELECT *, least(cap::DOUBLE, weight * max(share) OVER ()) AS target FROM shared),
+budgets AS (
+    SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END
+        AS repeats FROM targets),
+rests AS (
+    SELECT *, CASE WHEN repeats >= 3 THEN 0 ELSE target - repeats * source_size END AS rest FROM budgets),
+steps AS (
+    SELECT source, place, sum(words) OVER (PARTITION BY source ORDER BY place) AS upto, words
+    FROM (SELECT source, place, sum(size) AS words FROM sized GROUP BY source, place)),
+taken AS (
+    SELECT s.source, s.place FROM steps s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source
+    WHERE rest > 0 AND (upto <= rest OR (upto - words < rest AND upto - rest <= rest - (upto - words))))
+SELECT d.doc_id, d.size, r.source_size, r.target,
+    d.size * (r.repeats + CASE WHEN t.place IS NULL THEN 0 ELSE 1 END) AS taken
+FROM sized d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source
+LEFT JOIN taken t ON d.source IS NOT DISTINCT FROM t.source AND d.place = t.place
+"""
+
+WARC = """
+WITH digested AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS digest,
+        min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+    FROM pages),
+spelled AS (
+    SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr(
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (((('0x' || substr(digest, 1 + 5 * (i // 4), 5))::INT >> (15 - 5 * (i % 4))::INT) & 31))::INT, 1)), '')
+        AS payload_digest
+    FROM digested)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM spelled
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": WARC, "op7_mixing": MIXING, "op6_licenses": LICENSES, "op8_embeddings": EMBEDDINGS, "op5_neardup": NEARDUP, "op4_decontaminate": DECONTAMINATE}
