@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +79,26 @@ def template_table(spark, templates) -> list[tuple[str, list[str]]]:
     return [(templates[r["i"]][0], r["b"]) for r in found]
 
 
+def telling_words(known: list[tuple[str, list[str]]], least: float) -> list[str]:
+    """Words of which every matching passage holds one.
+
+    A passage that reaches the coefficient has ``least / (2 - least)`` of a template's bigrams at least,
+    so of any larger number than may be missing it has one. For each template that many bigrams are
+    taken, each with one of its words, those first that serve many templates.
+    """
+    serves: dict[str, int] = {}
+    for _, pairs in known:
+        for word in {w for pair in pairs for w in pair.split(" ")}:
+            serves[word] = serves.get(word, 0) + len(word)
+    chosen = set()
+    for _, pairs in known:
+        missing = len(pairs) - math.ceil(least * len(pairs) / (2 - least) - 1e-9)
+        words = sorted((max(pair.split(" "), key=lambda w: (len(w) > 4, serves[w], w)) for pair in pairs),
+                       key=lambda w: (len(w) > 4, serves[w], w), reverse=True)
+        chosen.update(words[:missing + 1])
+    return sorted(w for w in chosen if not any(o != w and o in w for o in chosen))
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_DICE,
          keep: str = "doc_id") -> DataFrame:
     """Licence notices of ``docs (text)``: ``keep`` (a column passed on), ``matches``.
@@ -86,7 +110,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_DICE,
     the passage's are compared: twice the smaller number over the sum is its bound. Null, empty and
     wordless texts match nothing; repeated rows get equal results; other columns are ignored.
 
-    A scan and nothing else: no row leaves its task. The templates are constants of the plan.
+    A scan and nothing else: no row leaves its task. The templates are constants of the plan. A text
+    without any of the ``telling_words`` holds no match and is not taken apart.
     """
     known = template_table(docs.sparkSession, templates)
     most = max(int(len(b) * (2 - least) / least) for _, b in known)
@@ -131,6 +156,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_DICE,
 
     some = F.filter(let(F.split(text, "\n"), passages), lambda w: F.size(w) > 1)
     found = F.array_sort(F.array_distinct(F.array_compact(F.transform(some, compared))))
-    rows = docs.select(keep, F.explode(F.array(found)).alias("found"))
+    lower = F.lower(text)
+    possible = reduce(or_, (lower.contains(w) for w in telling_words(known, least)))
+    none = F.array().cast("array<struct<rank:double,license:string,words:string>>")
+    rows = docs.select(keep, F.explode(F.array(F.when(possible, found).otherwise(none))).alias("found"))
     return rows.select(keep, F.transform("found", lambda m: F.struct(
         (-m["rank"]).alias("dice"), m["license"].alias("license"), m["words"].alias("words"))).alias("matches"))
