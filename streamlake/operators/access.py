@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from streamlake.functions.masks import apply_masks
 from streamlake.functions.rowfilter import to_column
-from streamlake.policy import TEXT, Policy, small_frame, split_resource
+from streamlake.policy import TEXT, TEXTS, Policy, small_frame
 
 # Operations the deny rules treat as writes.
 WRITE_OPERATIONS = [
@@ -103,19 +104,19 @@ def decide_topic(requests: DataFrame, account_prefix: str = "svc-") -> DataFrame
 
 # --- allow-by-grant decisions --------------------------------------------------------------
 
-def allow_by_shape(requests: DataFrame, keys: list[str], allowed_shapes) -> DataFrame:
-    """Add ``allowed``, deciding once per distinct combination of ``keys``.
+def allow_by_permission(requests: DataFrame, permissions: DataFrame, keys: dict[str, Column],
+                        holds) -> DataFrame:
+    """Add ``allowed``: does the row of ``permissions`` with the request's keys let it pass?
 
-    Requests repeat few combinations, so these are made distinct with a combine ahead of the
-    shuffle, ``allowed_shapes`` keeps the permitted ones, and the log is matched with the
-    result: by broadcast while that is small, else by a left join whose hot keys Spark splits.
+    ``permissions`` is declared, one row per combination of keys, and small: its size is known to
+    the planner, so the log is read once and not shuffled while that fits a broadcast. Beyond it
+    the left join sorts and merges, and Spark splits the keys that hold most of the log.
     """
-    shapes = requests.select(*keys).distinct()
-    permitted = allowed_shapes(shapes).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-    matched = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return (requests.join(permitted.withColumn("_ok", F.lit(True)), matched, "left")
-            .withColumn("allowed", F.coalesce("_ok", F.lit(False)))
-            .drop("_ok", *[f"_{k}" for k in keys]))
+    declared = permissions.select(*[F.col(c).alias(f"_{c}") for c in permissions.columns])
+    matched = reduce(and_, [value.eqNullSafe(F.col(f"_{name}")) for name, value in keys.items()])
+    return (requests.join(declared, matched, "left")
+            .withColumn("allowed", yes(holds(lambda name: F.col(f"_{name}"))))
+            .drop(*declared.columns))
 
 
 def flat_requests(requests: DataFrame) -> DataFrame:
@@ -132,17 +133,30 @@ def flat_requests(requests: DataFrame) -> DataFrame:
         "table_name": F.coalesce(table.tableName, column.tableName)})
 
 
-def table_permissions(grants: DataFrame, holders: DataFrame) -> DataFrame:
-    """Grants ``(resource, roles, privileges)`` and holders ``(role, holder)`` -> one row per
-    ``(operation, schema_name, table_name, holder)``."""
-    operation = F.create_map(*[F.lit(x) for pair in PRIVILEGE_OPERATIONS.items() for x in pair])
-    schema, table = split_resource(F.col("resource"))
-    return (grants.select(schema.alias("schema_name"), table.alias("table_name"),
-                          F.explode("roles").alias("role"), "privileges")
-            .select("schema_name", "table_name", "role", F.explode("privileges").alias("privilege"))
-            .join(holders, "role")
-            .select(operation[F.col("privilege")].alias("operation"), "schema_name", "table_name",
-                    "holder").distinct())
+def table_permissions(spark: SparkSession, policy: Policy) -> DataFrame:
+    """One row per ``(operation, schema_name, table_name)`` with the ``holders`` of the roles that
+    are granted it."""
+    held: dict[tuple, set[str]] = {}
+    for grant in policy.grants:
+        schema, _, table = grant.resource.rpartition(".")
+        for privilege in grant.privileges:
+            key = (PRIVILEGE_OPERATIONS[privilege], schema, table)
+            held.setdefault(key, set()).update(*map(policy.holders_of, grant.roles))
+    rows = [(*key, sorted(holders)) for key, holders in sorted(held.items())]
+    return small_frame(spark, rows, operation=TEXT, schema_name=TEXT, table_name=TEXT, holders=TEXTS)
+
+
+def catalog_permissions(spark: SparkSession, policy: Policy) -> DataFrame:
+    """One row per ``(operation, catalog)`` with the ``holders``; an operation that names no
+    catalog has a row without one, held by whoever holds it on any catalog."""
+    held: dict[tuple, set[str]] = {}
+    for catalog, roles, operations in policy.catalog_grants:
+        for operation in operations:
+            named = None if CATALOG_OPERATION_SHAPES.get(operation) == "none" else catalog
+            held.setdefault((operation, named), set()).update(*map(policy.holders_of, roles))
+    rows = [(op, catalog is not None, catalog, sorted(h))
+            for (op, catalog), h in sorted(held.items(), key=str)]
+    return small_frame(spark, rows, operation=TEXT, named=pa.bool_(), catalog=TEXT, holders=TEXTS)
 
 
 def decide_allow(requests: DataFrame, permissions: DataFrame, catalog: str = "iceberg") -> DataFrame:
@@ -152,20 +166,13 @@ def decide_allow(requests: DataFrame, permissions: DataFrame, catalog: str = "ic
         "catalog_name": F.col(_RESOURCE + "table.catalogName"),
         "schema_name": F.col(_RESOURCE + "table.schemaName"),
         "table_name": F.col(_RESOURCE + "table.tableName")})
+    keys = {k: F.col(k) for k in ("operation", "schema_name", "table_name")}
+    return allow_by_permission(flat, permissions, keys, lambda of: (
+        (F.col("catalog_name") == catalog) & F.arrays_overlap("groups", of("holders"))))
 
-    def permitted(shapes: DataFrame) -> DataFrame:
-        callers = (shapes.where(F.col("catalog_name") == catalog)
-                   .withColumn("holder", F.explode("groups")))
-        return callers.join(permissions, ["operation", "schema_name", "table_name", "holder"],
-                            "left_semi")
 
-    return allow_by_shape(
-        flat, ["groups", "operation", "catalog_name", "schema_name", "table_name"], permitted)
-
-
-def decide_catalog(requests: DataFrame, catalog_permissions: DataFrame) -> DataFrame:
-    """Catalog-level requests, denied by default. ``catalog_permissions`` has one row per
-    ``(operation, catalog, holder)``; an operation without a resource needs no catalog."""
+def decide_catalog(requests: DataFrame, permissions: DataFrame) -> DataFrame:
+    """Catalog-level requests, denied by default, by ``catalog_permissions``."""
     by_shape = {
         "catalog": F.col(_RESOURCE + "catalog.name"),
         "schema": F.col(_RESOURCE + "schema.catalogName"),
@@ -178,28 +185,26 @@ def decide_catalog(requests: DataFrame, catalog_permissions: DataFrame) -> DataF
         named = F.when(operation.isin(operations), path).otherwise(named)
     bare = operation.isin([o for o, s in CATALOG_OPERATION_SHAPES.items() if s == "none"])
     flat = flat_requests(requests).withColumn("catalog", named)
+    keys = {"operation": operation, "named": ~bare, "catalog": F.col("catalog")}
+    return allow_by_permission(flat, permissions, keys,
+                               lambda of: F.arrays_overlap("groups", of("holders")))
 
-    def permitted(shapes: DataFrame) -> DataFrame:
-        callers = shapes.withColumn("holder", F.explode("groups"))
-        no_resource = callers.where(bare).join(
-            catalog_permissions, ["operation", "holder"], "left_semi")
-        on_catalog = callers.where(~bare).join(
-            catalog_permissions, ["operation", "catalog", "holder"], "left_semi")
-        return no_resource.unionByName(on_catalog)
-
-    return allow_by_shape(flat, ["groups", "operation", "catalog"], permitted)
 
-
-def visible_objects(listings: DataFrame, catalog_permissions: DataFrame) -> DataFrame:
+def visible_objects(listings: DataFrame, permissions: DataFrame) -> DataFrame:
     """Browse filter: of the catalogs, schemas and tables listed to callers, those they may see.
     Nothing is reported for the rest."""
     asked = listings.where(F.col("action.operation").isin(
         "FilterCatalogs", "FilterSchemas", "FilterTables"))
-    return decide_catalog(asked, catalog_permissions).where("allowed").drop("allowed")
+    return decide_catalog(asked, permissions).where("allowed").drop("allowed")
 
 
-def topic_acls(spark: SparkSession) -> DataFrame:
-    return small_frame(spark, TOPIC_ACLS, account=TEXT, resource_type=TEXT, acl=TEXT)
+def topic_acls(spark: SparkSession, acls=TOPIC_ACLS) -> DataFrame:
+    """One row per ``(account, resource_type)`` with its ``operations``."""
+    held: dict[tuple, set[str]] = {}
+    for account, resource_type, operation in acls:
+        held.setdefault((account, resource_type), set()).add(operation)
+    rows = [(*key, sorted(operations)) for key, operations in sorted(held.items())]
+    return small_frame(spark, rows, account=TEXT, resource_type=TEXT, operations=TEXTS)
 
 
 def decide_topic_acl(requests: DataFrame, acls: DataFrame, account_prefix: str = "svc-") -> DataFrame:
@@ -208,12 +213,9 @@ def decide_topic_acl(requests: DataFrame, acls: DataFrame, account_prefix: str =
     flat = requests.withColumns({
         "account": account, "resource_type": F.col("action.resourceType"),
         "operation": F.col("action.operation")})
-
-    def permitted(shapes: DataFrame) -> DataFrame:
-        asked = shapes.withColumn("acl", F.explode(F.array("operation", F.lit("All"))))
-        return asked.join(acls, ["account", "resource_type", "acl"], "left_semi")
-
-    return allow_by_shape(flat, ["account", "resource_type", "operation"], permitted)
+    keys = {"account": F.col("account"), "resource_type": F.col("resource_type")}
+    return allow_by_permission(flat, acls, keys, lambda of: F.arrays_overlap(
+        F.array("operation", F.lit("All")), of("operations")))
 
 
 def app_roles(users: DataFrame, roles: DataFrame | None = None) -> DataFrame:

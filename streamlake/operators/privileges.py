@@ -4,45 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# The privileges in their customary order.
-PRIVILEGES = ["select", "insert", "update", "delete"]
+from streamlake.policy import PRIVILEGES, Policy
+
 KEY = ["role", "privilege", "schema_name", "table_name"]
 
-# Who is granted what on all relations of a schema, and on those created later.
+# Who is granted what on all relations of a schema, on those created later, and
+# what is revoked on relations with personal data.
 SCHEMA_GRANTS = {"analysts": ["select"], "engineers": PRIVILEGES, "admins": PRIVILEGES}
 DEFAULT_GRANTS = {"engineers": PRIVILEGES, "admins": PRIVILEGES}
-
-
-def schema_grants(relations: DataFrame, granted: Column) -> DataFrame:
-    """Expand grants on all relations: each relation row yields its grant rows in place, so
-    neither a cross join nor a shuffle takes place."""
-    return (relations.select(F.explode(granted).alias("g"), "schema_name", "table_name")
-            .select("g.role", "g.privilege", "schema_name", "table_name"))
-
-
-def grant_rows(granted: dict[str, list[str]]) -> Column:
-    return F.array(*[F.struct(F.lit(role).alias("role"), F.lit(p).alias("privilege"))
-                     for role, privileges in granted.items() for p in privileges])
+PII_REVOKES = {"analysts": ["select"]}
 
 
 def effective_privileges(grants: DataFrame, revokes: DataFrame, holders: DataFrame) -> DataFrame:
-    """Grants less revokes, passed on to every role that holds the granted one."""
+    """Grants less revokes, both as tables, passed on to every role that holds the granted one."""
     standing = grants.join(revokes, KEY, "left_anti")
     return (standing.join(holders, "role")
             .select(F.col("holder").alias("role"), "privilege", "schema_name", "table_name")
             .distinct())
 
 
-def relation_privileges(relations: DataFrame, holders: DataFrame) -> DataFrame:
-    """Effective privileges on relations ``(schema_name, table_name, is_new, is_pii)``: analysts
-    read the relations that existed at grant time and hold no personal data; engineers and
-    admins have all privileges, on later relations too."""
-    granted = (F.when(F.col("is_new"), grant_rows(DEFAULT_GRANTS))
-               .otherwise(grant_rows(SCHEMA_GRANTS)))
-    grants = schema_grants(relations, granted)
-    revokes = schema_grants(relations.where("is_pii AND NOT is_new"),
-                            grant_rows({"analysts": ["select"]}))
-    return effective_privileges(grants, revokes, holders)
+def held_privileges(granted: dict, revoked: dict, policy: Policy) -> Column:
+    """Array of ``(role, privilege)`` that the grants leave once revokes are taken off and the rest
+    is passed on to the holders of each role."""
+    held = {(holder, privilege) for role, privileges in granted.items() for privilege in privileges
+            if privilege not in revoked.get(role, ()) for holder in policy.holders_of(role)}
+    return F.array(*[F.struct(F.lit(role).alias("role"), F.lit(privilege).alias("privilege"))
+                     for role, privilege in sorted(held)])
+
+
+def with_privileges(relations: DataFrame, policy: Policy) -> DataFrame:
+    """Relations ``(schema_name, table_name, is_new, is_pii)`` with ``held``: analysts read the
+    relations that existed at grant time and hold no personal data; engineers and admins have
+    all privileges, on later relations too. Decided in the row, without join or shuffle."""
+    return relations.withColumn("held", (
+        F.when(F.col("is_new"), held_privileges(DEFAULT_GRANTS, {}, policy))
+        .when(F.col("is_pii"), held_privileges(SCHEMA_GRANTS, PII_REVOKES, policy))
+        .otherwise(held_privileges(SCHEMA_GRANTS, {}, policy))))
+
+
+def relation_privileges(relations: DataFrame, policy: Policy) -> DataFrame:
+    """One row per role, privilege and relation; a relation stands in one row."""
+    return with_privileges(relations, policy).select(
+        F.explode("held").alias("p"), "schema_name", "table_name").select(
+        "p.role", "p.privilege", "schema_name", "table_name")
 
 
 def privilege_lists(effective: DataFrame) -> DataFrame:
@@ -51,7 +55,9 @@ def privilege_lists(effective: DataFrame) -> DataFrame:
     bit = F.create_map(*[F.lit(x) for i, p in enumerate(PRIVILEGES) for x in (p, 1 << i)])
     held = [F.when(F.col("bits").bitwiseAND(1 << i) != 0, p) for i, p in enumerate(PRIVILEGES)]
     return (effective.groupBy("role", "schema_name", "table_name")
-            .agg(F.bit_or(bit[F.col("privilege")]).alias("bits"))
+            .agg(F.bit_or(F.coalesce(bit[F.col("privilege")], F.raise_error(F.concat(
+                F.lit("unknown privilege: "), F.coalesce("privilege", F.lit("null")))).cast("int")))
+                .alias("bits"))
             .select("role", "schema_name", "table_name",
                     F.concat_ws(", ", *held).alias("privileges")))
 
@@ -64,15 +70,11 @@ def has_privilege(effective: DataFrame, role: str, table: str, privilege: str) -
     return effective.where(held).agg((F.count("*") > 0).alias("has_privilege"))
 
 
-def default_deny_probe(relations: DataFrame, effective: DataFrame) -> DataFrame:
+def default_deny_probe(relations: DataFrame, policy: Policy) -> DataFrame:
     """For each relation created after the grants: can each role read it?"""
-    def can_read(role: str):
-        return F.coalesce(F.bool_or(F.col("role") == role), F.lit(False))
-
-    reads = effective.where("privilege = 'select'").select("schema_name", "table_name", "role")
-    return (relations.where("is_new").select("schema_name", "table_name")
-            .join(reads, ["schema_name", "table_name"], "left")
-            .groupBy("schema_name", "table_name")
-            .agg(can_read("analysts").alias("analyst_select"),
-                 can_read("engineers").alias("engineer_select"),
-                 can_read("admins").alias("admin_select")))
+    def can_read(role: str) -> Column:
+        return F.exists("held", lambda p: (p["role"] == role) & (p["privilege"] == "select"))
+
+    return with_privileges(relations.where("is_new"), policy).select(
+        "schema_name", "table_name", can_read("analysts").alias("analyst_select"),
+        can_read("engineers").alias("engineer_select"), can_read("admins").alias("admin_select"))

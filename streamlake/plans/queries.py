@@ -333,7 +333,7 @@ def topic_acl_matrix(spark, sf_dir):
 
 @query
 def authz_decide_allow(spark, sf_dir):
-    permissions = access.table_permissions(SHIPPED.grants_frame(spark), SHIPPED.holders(spark))
+    permissions = access.table_permissions(spark, SHIPPED)
     return access.decide_allow(_requests(spark, sf_dir, plural=True), permissions).select(
         "request_id", "user", "operation", "catalog_name", "table_name", "allowed")
 
@@ -341,14 +341,14 @@ def authz_decide_allow(spark, sf_dir):
 @query
 def authz_catalog_ops(spark, sf_dir):
     return access.decide_catalog(_requests(spark, sf_dir, plural=True),
-                                 SHIPPED.catalog_permissions(spark)).select(
+                                 access.catalog_permissions(spark, SHIPPED)).select(
         "request_id", "user", "operation", "catalog", "allowed")
 
 
 @query
 def authz_visible_tables(spark, sf_dir):
     return access.visible_objects(_requests(spark, sf_dir, plural=True),
-                                  SHIPPED.catalog_permissions(spark)).select(
+                                  access.catalog_permissions(spark, SHIPPED)).select(
         "request_id", "user", "operation", "catalog", "schema_name", "table_name")
 
 
@@ -383,7 +383,7 @@ def group_effective_roles(spark, sf_dir):
 @query
 def effective_privileges(spark, sf_dir):
     relations = derive.relation_catalogue(load(spark, sf_dir, "part"))
-    return privileges.relation_privileges(relations, SHIPPED.holders(spark))
+    return privileges.relation_privileges(relations, SHIPPED)
 
 
 @query
@@ -394,8 +394,7 @@ def privilege_lists(spark, sf_dir):
 @query
 def default_deny_probe(spark, sf_dir):
     relations = derive.relation_catalogue(load(spark, sf_dir, "part"))
-    return privileges.default_deny_probe(
-        relations, privileges.relation_privileges(relations, SHIPPED.holders(spark)))
+    return privileges.default_deny_probe(relations, SHIPPED)
 
 
 @query

@@ -8,8 +8,14 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from streamlake.functions.masks import MASK_KINDS
+
 TEXT, TEXTS = pa.string(), pa.list_(pa.string())
 
+# Classes of data, and the privileges in their customary order.
+CLASSIFICATIONS = ("public", "internal", "pii")
+PRIVILEGES = ("select", "insert", "update", "delete")
+
 
 def small_frame(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
     """Declared rows as a relation Spark knows the size of, so that it can plan a broadcast."""
@@ -71,12 +77,6 @@ class Policy:
                            column_mask=pa.map_(TEXT, TEXT), row_filter=TEXT,
                            allow_unmasked=pa.bool_())
 
-    def catalog_permissions(self, spark: SparkSession) -> DataFrame:
-        """One row per ``(operation, catalog, holder)``."""
-        rows = sorted({(op, catalog, h) for catalog, roles, operations in self.catalog_grants
-                       for op in operations for r in roles for h in self.holders_of(r)})
-        return small_frame(spark, rows, operation=TEXT, catalog=TEXT, holder=TEXT)
-
 
 def split_resource(resource: Column) -> tuple[Column, Column]:
     """``schema.table`` -> (schema, table), cut at the last dot."""
@@ -86,7 +86,8 @@ def split_resource(resource: Column) -> tuple[Column, Column]:
 
 def from_mapping(document: dict) -> Policy:
     """Policy from the parsed declaration files (``roles``, ``groups``, ``resources`` and
-    ``catalogGrants`` sections). Unknown keys are refused."""
+    ``catalogGrants`` sections). Refused are unknown keys, classes, privileges and masks, names that
+    are empty or declared twice, and empty lists of roles, privileges or operations."""
     def take(entry: dict, required: set[str], optional: set[str]) -> dict:
         missing, unknown = required - set(entry), set(entry) - required - optional
         if missing or unknown:
@@ -94,30 +95,49 @@ def from_mapping(document: dict) -> Policy:
                              f"unknown {sorted(unknown)}")
         return entry
 
+    def names(entry: dict, key: str, some: bool = True) -> tuple[str, ...]:
+        listed = entry.get(key, ())
+        if isinstance(listed, str) or (some and not listed) or not all(
+                isinstance(x, str) and x for x in listed):
+            raise ValueError(f"declaration entry {entry}: {key} must list names")
+        return tuple(listed)
+
+    def once(entries: list[tuple], what: str) -> dict:
+        found = {}
+        for name, value in entries:
+            if not isinstance(name, str) or not name:
+                raise ValueError(f"a {what} without name")
+            if name in found:
+                raise ValueError(f"{what} {name} is declared twice")
+            found[name] = value
+        return found
+
     take(document, set(), {"roles", "groups", "resources", "catalogGrants"})
-    roles = {r["name"]: tuple(r.get("includes", ()))
-             for r in (take(r, {"name"}, {"includes"}) for r in document.get("roles", ()))}
-    groups = {g["name"]: tuple(g["roles"])
-              for g in (take(g, {"name", "roles"}, set()) for g in document.get("groups", ()))}
-    resources, grants = {}, []
+    roles = once([(r["name"], names(take(r, {"name"}, {"includes"}), "includes", False))
+                  for r in document.get("roles", ())], "role")
+    groups = once([(g["name"], names(take(g, {"name", "roles"}, set()), "roles"))
+                   for g in document.get("groups", ())], "group")
+    resources, grants = [], []
     for entry in document.get("resources", ()):
         take(entry, {"resource", "classification", "grants"}, {"sensitiveColumns"})
-        if entry["classification"] not in ("public", "internal", "pii"):
+        if entry["classification"] not in CLASSIFICATIONS:
             raise ValueError(f"unknown classification: {entry['classification']}")
-        resources[entry["resource"]] = (entry["classification"],
-                                        tuple(entry.get("sensitiveColumns", ())))
+        resources.append((entry["resource"], (entry["classification"],
+                                              names(entry, "sensitiveColumns", False))))
         for g in entry["grants"]:
             take(g, {"roles", "privileges"}, {"columnMask", "rowFilter", "allowUnmasked"})
-            if not set(g["privileges"]) <= {"select", "insert", "update", "delete"}:
+            if not set(names(g, "privileges")) <= set(PRIVILEGES):
                 raise ValueError(f"unknown privilege: {g['privileges']}")
-            grants.append(Grant(entry["resource"], tuple(g["roles"]), tuple(g["privileges"]),
-                                dict(g.get("columnMask", {})), g.get("rowFilter"),
-                                bool(g.get("allowUnmasked", False))))
+            masks = dict(g.get("columnMask", {}))
+            if not set(masks.values()) <= set(MASK_KINDS):
+                raise ValueError(f"unknown mask: {masks}")
+            grants.append(Grant(entry["resource"], names(g, "roles"), names(g, "privileges"), masks,
+                                g.get("rowFilter"), bool(g.get("allowUnmasked", False))))
     catalog_grants = tuple(
-        (c["catalog"], tuple(c["roles"]), tuple(c["operations"]))
+        (c["catalog"], names(c, "roles"), names(c, "operations"))
         for c in (take(c, {"catalog", "roles", "operations"}, set())
                   for c in document.get("catalogGrants", ())))
-    return Policy(roles, groups, resources, tuple(grants), catalog_grants)
+    return Policy(roles, groups, once(resources, "resource"), tuple(grants), catalog_grants)
 
 
 # The shipped declaration. The three roles inherit upwards; catalog-level

@@ -88,7 +88,7 @@ CATALOG_SHAPES = {"catalog": {"catalog": ("iceberg",)}, "schema": {"schema": ("i
 
 
 def test_catalog_operations_by_shape(spark):
-    permissions = SHIPPED.catalog_permissions(spark)
+    permissions = access.catalog_permissions(spark, SHIPPED)
     operations = list(access.CATALOG_OPERATION_SHAPES.items())
     good = [request(["analysts"], op, **CATALOG_SHAPES[shape]) for op, shape in operations]
     assert decide(spark, access.decide_catalog, good, permissions) == [True] * len(good)
@@ -103,7 +103,7 @@ def test_catalog_operations_by_shape(spark):
 
 @pytest.fixture(scope="module")
 def permissions(spark):
-    return access.table_permissions(SHIPPED.grants_frame(spark), SHIPPED.holders(spark))
+    return access.table_permissions(spark, SHIPPED)
 
 
 def test_table_grants(spark, permissions):
@@ -128,7 +128,7 @@ def test_listing_keeps_what_may_be_seen(spark):
             request(["admins"], "FilterCatalogs", catalog=("iceberg",)),
             request(["admins"], "ShowTables", schema=("iceberg", "lake"))]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id INT, " + REQUEST)
-    seen = access.visible_objects(df, SHIPPED.catalog_permissions(spark)).collect()
+    seen = access.visible_objects(df, access.catalog_permissions(spark, SHIPPED)).collect()
     assert sorted(r.id for r in seen) == [0, 3, 4]
 
 
@@ -283,7 +283,18 @@ def test_lint(spark, policy, want):
     {"roles": [{"name": "a", "extra": 1}]}, {"groups": [{"name": "a"}]}, {"unknown": []},
     {"resources": [{"resource": "r", "classification": "secret", "grants": []}]},
     {"resources": [{"resource": "r", "classification": "pii", "grants": [
-        {"roles": ["a"], "privileges": ["drop"]}]}]}])
+        {"roles": ["a"], "privileges": ["drop"]}]}]},
+    {"roles": [{"name": "a", "includes": ["b"]}, {"name": "a"}]}, {"roles": [{"name": ""}]},
+    {"groups": [{"name": "g", "roles": ["a"]}, {"name": "g", "roles": ["b"]}]},
+    {"groups": [{"name": "g", "roles": []}]}, {"groups": [{"name": "g", "roles": "a"}]},
+    {"resources": [{"resource": "r", "classification": c, "grants": []} for c in ("pii", "public")]},
+    {"resources": [{"resource": "r", "classification": "pii", "grants": [
+        {"roles": [], "privileges": ["select"]}]}]},
+    {"resources": [{"resource": "r", "classification": "pii", "grants": [
+        {"roles": ["a"], "privileges": []}]}]},
+    {"resources": [{"resource": "r", "classification": "pii", "grants": [
+        {"roles": ["a"], "privileges": ["select"], "columnMask": {"email": "hsah"}}]}]},
+    {"catalogGrants": [{"catalog": "c", "roles": ["a"], "operations": []}]}])
 def test_declarations_are_strict(document):
     with pytest.raises(ValueError):
         from_mapping(document)
@@ -325,7 +336,7 @@ def test_privileges_and_default_deny(spark):
         [("public", "orders", False, False), ("public", "customers", False, True),
          ("public", "probe", True, False)],
         "schema_name STRING, table_name STRING, is_new BOOLEAN, is_pii BOOLEAN")
-    effective = privileges.relation_privileges(relations, SHIPPED.holders(spark))
+    effective = privileges.relation_privileges(relations, SHIPPED)
     held = {(r.role, r.privilege, r.table_name) for r in effective.collect()}
     assert {t for r, p, t in held if r == "analysts"} == {"orders"}
     assert all((r, p, t) in held for r in ("engineers", "admins") for p in privileges.PRIVILEGES
@@ -336,8 +347,28 @@ def test_privileges_and_default_deny(spark):
     lists = {(r.role, r.table_name): r.privileges for r in privileges.privilege_lists(effective).collect()}
     assert lists["analysts", "orders"] == "select" and ("analysts", "probe") not in lists
     assert lists["admins", "customers"] == "select, insert, update, delete"
-    probe = privileges.default_deny_probe(relations, effective).collect()
+    probe = privileges.default_deny_probe(relations, SHIPPED).collect()
     assert [tuple(r) for r in probe] == [("public", "probe", False, True, True)]
+    with pytest.raises(Exception, match="unknown privilege: truncate"):
+        privileges.privilege_lists(effective.withColumn("privilege", F.lit("truncate"))).collect()
+
+
+def test_grants_and_revokes_as_tables_agree_with_the_decision_in_the_row(spark):
+    relations = spark.createDataFrame(
+        [("s", f"t{n}", n % 2 == 0, n % 3 == 0) for n in range(12)],
+        "schema_name STRING, table_name STRING, is_new BOOLEAN, is_pii BOOLEAN")
+
+    def table(rows, granted):
+        listed = [(r, p) for r, privileges_ in granted.items() for p in privileges_]
+        return rows.select("schema_name", "table_name", F.explode(F.array(*[
+            F.struct(F.lit(r).alias("role"), F.lit(p).alias("privilege")) for r, p in listed])).alias("g")) \
+            .select("g.role", "g.privilege", "schema_name", "table_name")
+
+    grants = table(relations.where("is_new"), privileges.DEFAULT_GRANTS).union(
+        table(relations.where("NOT is_new"), privileges.SCHEMA_GRANTS))
+    revokes = table(relations.where("is_pii AND NOT is_new"), privileges.PII_REVOKES)
+    by_tables = privileges.effective_privileges(grants, revokes, SHIPPED.holders(spark))
+    assert pairs(by_tables) == pairs(privileges.relation_privileges(relations, SHIPPED))
 
 
 def test_names_grants_and_masks_that_collide(spark):

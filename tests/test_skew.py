@@ -3,12 +3,14 @@
 Broadcasts are switched off, as for sides too large, and the split thresholds are set low.
 """
 
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from streamlake.operators import access, cdc, clickstream, graph, lint, loading, maintenance
+from streamlake.policy import SHIPPED
 
 ROWS, PARTS = 60000, 16
 
@@ -59,12 +61,49 @@ def test_children_of_a_hot_parent_are_split(session):
     assert "LeftAnti" in plan and "skew=true" in plan
 
 
-def test_requests_of_a_hot_shape_are_split(session):
-    requests = rows(session, shape=hot(), pad=F.sha2(F.col("id").cast("string"), 256))
-    decided = access.allow_by_shape(requests, ["shape"], lambda shapes: shapes.where("shape % 2 = 0"))
+def requests_of(rows_):
+    """Requests of one caller for table ``shape``."""
+    names = ["catalogName", "schemaName", "tableName"]
+    table = F.struct(F.lit("iceberg").alias(names[0]), F.lit("lake").alias(names[1]),
+                     F.col("shape").alias(names[2]))
+    column = F.struct(*[F.lit(None).cast("string").alias(n) for n in [*names, "columnName"]])
+    schema = F.struct(*[F.lit(None).cast("string").alias(n) for n in names[:2]])
+    return rows_.select(
+        "id", "pad", F.struct(F.struct(F.lit("u").alias("user"), F.array(F.lit("g")).alias("groups"))
+                              .alias("identity")).alias("context"),
+        F.struct(F.lit("SelectFromColumns").alias("operation"), F.struct(
+            table.alias("table"), column.alias("column"), schema.alias("schema"))
+            .alias("resource")).alias("action"))
+
+
+def hot_requests(session):
+    return requests_of(rows(session, shape=F.concat(F.lit("t"), hot().cast("string")),
+                            pad=F.sha2(F.col("id").cast("string"), 256)))
+
+
+def declared(session):
+    return session.range(0, 1000, 2).select(
+        F.lit("SelectFromColumns").alias("operation"), F.lit("lake").alias("schema_name"),
+        F.concat(F.lit("t"), "id").alias("table_name"), F.array(F.lit("g")).alias("holders"))
+
+
+def test_requests_of_a_hot_table_are_split(session):
+    decided = access.decide_allow(hot_requests(session), declared(session))
     count, plan = run(decided)
     assert count == ROWS and "skew=true" in plan
-    assert decided.where("allowed").count() == requests.where("shape % 2 = 0").count()
+    assert decided.where("allowed").count() == rows(session, shape=hot()).where("shape % 2 = 0").count()
+
+
+def test_a_log_is_read_once_and_not_shuffled_for_declared_permissions(spark, tmp_path):
+    """The threshold lies below the log's size and above that of what is declared."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    hot_requests(session).write.parquet(str(tmp_path / "log"))
+    log = session.read.parquet(str(tmp_path / "log"))
+    decided = access.decide_allow(log, access.table_permissions(session, SHIPPED))
+    count, plan = run(decided)
+    assert count == ROWS
+    assert plan.count("Scan parquet") == 1 and not re.search(r"(?<!Broadcast)Exchange", plan)
 
 
 def test_grants_on_a_hot_resource_are_split(session):
