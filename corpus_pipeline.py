@@ -10,15 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamlake.llm import decontaminate, langid, mixing, neardup, tokens
-from streamlake.llm.common import keep_table
+from streamlake.llm.common import keep_table, prepare
 from streamlake.llm.queries import vocabulary
-from streamlake.session import configure
 from streamlake.sources.tables import load
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from their labels; those the model rejects go."""
-    configure(spark)
+    prepare(spark)
     rows = docs.select("text", F.struct("*").alias("row"))
     return langid.predict(rows, langid.train(docs), keep="row").where("NOT rejected").select("row.*")
 
@@ -26,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the smallest id; of several rows with
     that id, the one whose text has the smallest hash. Rows without an id stay."""
-    configure(spark)
+    prepare(spark)
     chosen = keep_table(neardup.classes(docs).where("kept AND doc_id IS NOT NULL")
                         .select(F.col("doc_id").alias("chosen")).distinct(), "pipeline-chosen")
     turn = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row.text")))
@@ -38,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    configure(spark)
+    prepare(spark)
     found = decontaminate.find(docs, load(spark, sf_dir, "benchmark"))
     hit = keep_table(found.where("n_hit > 0").select(F.col("doc_id").alias("hit")).distinct(),
                      "pipeline-contaminated")
@@ -48,13 +47,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it."""
-    configure(spark)
+    prepare(spark)
     return mixing.mixed(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files of the mix, written and read back: a row per written document."""
-    configure(spark)
+    prepare(spark)
     return tokens.digests(spark, tokens.write(docs, vocabulary()))
 
 

@@ -7,12 +7,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlake.session import run_dir
+from streamlake.session import configure, run_dir
 
 # Fixed value: words are runs of anything but the ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
+# What is handed to a Python task at once. The default counts rows only, and rows may be long.
+BATCH_BYTES = 4 << 20
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the settings that results and memory bounds depend on."""
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def keep_table(df: DataFrame, job: str, compression: str = "zstd") -> DataFrame:
     """Write a table below the shared folder and read it back: it survives lost executors, is
     computed once however often it is read, and its true size is known to later joins.

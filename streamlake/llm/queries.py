@@ -17,13 +17,13 @@ from streamlake.llm import (
     tokens,
     warc,
 )
-from streamlake.session import configure
+from streamlake.llm.common import prepare
 from streamlake.sources.tables import load
 
 
 def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    configure(spark)
+    prepare(spark)
     pages = load(spark, sf_dir, "pages")
     rows = pages.select("html", F.struct("page_id", "url").alias("row"))
     texts = extract.extract(rows, extract.train(pages), keep="row")
@@ -33,7 +33,7 @@ def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those not held out."""
-    configure(spark)
+    prepare(spark)
     docs = load(spark, sf_dir, "documents")
     told = langid.predict(docs.select("text", F.struct("doc_id").alias("row")),
                           langid.train(docs), keep="row")
@@ -43,7 +43,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived and read back."""
-    configure(spark)
+    prepare(spark)
     records = warc.read(spark, warc.write(load(spark, sf_dir, "pages")))
     return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
                           "payload_digest", "record_type", "refers_to")
@@ -51,7 +51,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in all documents."""
-    configure(spark)
+    prepare(spark)
     found = decontaminate.find(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -61,13 +61,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
-    configure(spark)
+    prepare(spark)
     return neardup.classes(load(spark, sf_dir, "documents"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices of all documents: the best one, and how many there are of which licences."""
-    configure(spark)
+    prepare(spark)
     found = licenses.scan(load(spark, sf_dir, "documents"))
     best = F.when(F.size("matches") > 0, F.col("matches")[0])
     names = F.array_sort(F.array_distinct(F.col("matches")["license"]))
@@ -78,20 +78,20 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
-    configure(spark)
+    prepare(spark)
     return mixing.mix(load(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all vectors."""
-    configure(spark)
+    prepare(spark)
     return embeddings.classes(load(spark, sf_dir, "embeddings"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, from the files of the shards."""
-    configure(spark)
+    prepare(spark)
     docs = load(spark, sf_dir, "documents")
     written = sharding.read_shards(spark, sharding.shard(docs), docs.schema)
     checked = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -109,7 +109,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
-    configure(spark)
+    prepare(spark)
     return tokens.digests(spark, tokens.write(load(spark, sf_dir, "documents"), vocabulary()))
 
 
