@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from streamlake.functions.times import parse_iso
+from streamlake.session import run_dir
 
 
 def normalize(envelopes: DataFrame) -> DataFrame:
     """Envelopes -> one row per change: the row image, ``op``, ``ts_ms`` and ``seq``.
 
     Inserts, reads and updates carry the image after the change, deletes the one before it. An
-    update or delete without its before-image fails, as does an unknown operation code.
+    update or delete without its before-image fails, as do an unknown operation code and a change
+    without any position in the log.
     """
     op, before, after = F.col("op"), F.col("before"), F.col("after")
     image = (F.when(op.isin("c", "r"), after)
@@ -21,6 +23,8 @@ def normalize(envelopes: DataFrame) -> DataFrame:
                  F.lit("change record without usable row image, op="),
                  F.coalesce(op, F.lit("null"))))))
     seq = F.coalesce("seq", "source.lsn") if "source" in envelopes.columns else F.col("seq")
+    seq = F.when(seq.isNull() & F.col("ts_ms").isNull(), F.raise_error(
+        F.lit("change record without position")).cast("bigint")).otherwise(seq)
     return (envelopes.select(image.alias("image"), "op", "ts_ms", seq.alias("seq"))
             .select("image.*", "op", "ts_ms", "seq"))
 
@@ -44,9 +48,12 @@ def bootstrap(snapshot: DataFrame, tail: DataFrame) -> DataFrame:
 
 
 def latest_per_key(changes: DataFrame, key: str, order: str = "seq") -> DataFrame:
-    """Last change of every key. The rank filter is also applied ahead of the shuffle, so each
-    input partition sends one row per key however often a key changed."""
-    newest = Window.partitionBy(key).orderBy(F.col(order).desc(), F.col("ts_ms").desc())
+    """Last change of every key, by position, then time; of equals, a delete before others, then by a
+    digest of the row, so that the choice is the same every time. The rank filter is also applied
+    ahead of the shuffle, so each input partition sends one row per key however often a key changed."""
+    newest = Window.partitionBy(key).orderBy(
+        F.col(order).desc(), F.col("ts_ms").desc(), (F.col("op") == "d").desc(),
+        F.xxhash64(*changes.columns).desc())
     return (changes.withColumn("rank", F.row_number().over(newest))
             .where("rank = 1").drop("rank"))
 
@@ -64,13 +71,16 @@ def as_of(changes: DataFrame, key: str, ts_ms: int) -> DataFrame:
 def merge(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Target after the changes: untouched rows plus the surviving new images.
 
-    The target is not shuffled while the changed keys fit a broadcast; Spark decides by their
-    measured size and otherwise sorts and merges. Keys and images are read apart, as the keys
-    alone need neither ranking nor the other columns.
+    The last images are written below the shared folder first: the log is read and parsed once, and
+    the planner knows how large they are. While their keys fit a broadcast the target stays where
+    it is; otherwise both sides are sorted and merged.
     """
-    kept = target.join(changes.select(key).distinct(), key, "left_anti")
-    last = latest_per_key(changes, key).where("op <> 'd'")
-    return kept.unionByName(last.select(*target.columns))
+    spark = changes.sparkSession
+    path, last = run_dir(spark, "merge"), latest_per_key(changes, key)
+    last.write.parquet(path)
+    last = spark.read.schema(last.schema).parquet(path)
+    kept = target.join(last.select(key), key, "left_anti")
+    return kept.unionByName(last.where("op <> 'd'").select(*target.columns))
 
 
 def merge_into(changes: DataFrame, table: str, key: str) -> None:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 def drift(desired: DataFrame, actual: DataFrame) -> DataFrame:
     """Compare rows ``(object, name, roles)``, object being role or group.
 
-    Roles compare by name, groups by their sorted role list. Groups that only exist in the
+    Roles compare by name, groups by their sorted role list. ``expected`` and ``found`` are the
+    role lists of the two sides, null where a side lacks the object. Groups that only exist in the
     actual state are not reported.
     """
     def listed(side: DataFrame, column: str) -> DataFrame:
@@ -19,13 +20,9 @@ def drift(desired: DataFrame, actual: DataFrame) -> DataFrame:
     kind = (F.when(have.isNull(), "unapplied")
             .when(want.isNull() & (F.col("object") == "role"), "manual")
             .when((F.col("object") == "group") & (want != have), "mismatch"))
-    detail = (F.when(have.isNull(), "declared, not in place")
-              .when(want.isNull(), "only in place, changed by hand?")
-              .otherwise(F.concat(F.lit("declared ["), want, F.lit("], in place ["), have,
-                                  F.lit("]"))))
     return (listed(desired, "want").join(listed(actual, "have"), ["object", "name"], "full_outer")
             .select(kind.alias("kind"), F.concat("object", F.lit("/"), "name").alias("target"),
-                    detail.alias("detail"))
+                    want.alias("expected"), have.alias("found"))
             .where(F.col("kind").isNotNull()))
 
 

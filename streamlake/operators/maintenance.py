@@ -1,4 +1,4 @@
-"""Table maintenance: compaction, its plan, and snapshot expiry."""
+"""Table maintenance: small files of a table are merged, large ones stay where they are."""
 
 from __future__ import annotations
 
@@ -6,77 +6,101 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from streamlake.session import run_dir
+
 SMALL_FILE_BYTES = 100 * 1024 * 1024
 TARGET_FILE_BYTES = 512 * 1024 * 1024
-RETENTION_DAYS = 7
-# However tiny the files are, no task opens more of them than this.
-MAX_FILES_PER_TASK = 65536
+PLAN = "folder string, path string, bytes bigint, rewrite_group bigint"
+
+
+def data_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(folder, path, bytes)`` of the Parquet files of a table, from the file system's listing; no
+    file is opened. ``folder`` tells the partitions of a partitioned table apart."""
+    listed = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+              .option("recursiveFileLookup", "true").load(path))
+    return listed.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "path",
+                         F.col("length").alias("bytes"))
 
 
 def compaction_plan(files: DataFrame, small_bytes: int = SMALL_FILE_BYTES,
                     target_bytes: int = TARGET_FILE_BYTES) -> DataFrame:
-    """Assign every small file to a rewrite group of about ``target_bytes``.
+    """Assign the small files of each folder to rewrite groups of about ``target_bytes``. Files that
+    would be alone in their group are left out, as are those of ``small_bytes`` and more.
 
-    Groups follow a running total of sizes in the order of the path digests. A running total
-    over a whole table would put the table in one task, so it is built in two steps: totals per
-    4096 digest ranges (that many rows per table at most), then inside each range.
+    Groups follow a running total of sizes in the order of the path digests. A running total over a
+    whole folder would put it in one task, so it is built in two steps: totals per 4096 digest
+    ranges (that many rows per folder at most), then inside each range.
     """
     small = (files.where(F.col("bytes") < small_bytes)
              .withColumn("digest", F.md5(F.col("path").cast("binary")))
              .withColumn("slice", F.substring("digest", 1, 3)))
-    earlier = (Window.partitionBy("table_name").orderBy("slice")
+    earlier = (Window.partitionBy("folder").orderBy("slice")
                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (small.groupBy("table_name", "slice").agg(F.sum("bytes").alias("slice_bytes"))
-               .select("table_name", "slice",
+    offsets = (small.groupBy("folder", "slice").agg(F.sum("bytes").alias("slice_bytes"))
+               .select("folder", "slice",
                        F.coalesce(F.sum("slice_bytes").over(earlier), F.lit(0)).alias("offset")))
-    inside = (Window.partitionBy("table_name", "slice").orderBy("digest", "path")
+    inside = (Window.partitionBy("folder", "slice").orderBy("digest", "path")
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (small.withColumn("before", F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
-            .join(offsets, ["table_name", "slice"])
-            .select("table_name", "path", "bytes",
-                    F.expr(f"(offset + before) DIV {target_bytes}").alias("rewrite_group")))
-
-
-def rewrite(spark: SparkSession, source: str, destination: str,
-            target_bytes: int = TARGET_FILE_BYTES) -> None:
-    """Write the table at ``source`` to ``destination`` in files of about ``target_bytes``.
-
-    Small files are packed into read partitions of the target size, and each partition writes
-    one file: a scan and a write, no shuffle. The settings live in a sibling session.
+    grouped = (small.withColumn("before", F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
+               .join(offsets, ["folder", "slice"])
+               .select("folder", "path", "bytes",
+                       F.expr(f"(offset + before) DIV {target_bytes}").alias("rewrite_group")))
+    several = (grouped.groupBy("folder", "rewrite_group").count().where("count > 1")
+               .select("folder", "rewrite_group"))
+    return grouped.join(several, ["folder", "rewrite_group"], "left_semi").select(
+        "folder", "path", "bytes", "rewrite_group")
+
+
+def compact(spark: SparkSession, source: str, destination: str, small_bytes: int = SMALL_FILE_BYTES,
+            target_bytes: int = TARGET_FILE_BYTES) -> DataFrame:
+    """Merge the small files of the table at ``source`` into files below ``destination``, which keeps
+    the table's partitioning, and return the plan that was carried out. Nothing of the source is
+    changed; ``compacted`` reads its other files together with the merged ones.
+
+    Only rows of planned files are read and moved, once, to the task of their group.
     """
-    sibling = spark.newSession()
-    sibling.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
-    sibling.conf.set("spark.sql.files.minPartitionNum", "1")
-    sibling.conf.set("spark.sql.files.openCostInBytes", str(target_bytes // MAX_FILES_PER_TASK))
-    sibling.conf.set("spark.sql.session.timeZone", "UTC")
-    sibling.read.parquet(source).write.mode("overwrite").parquet(destination)
-
-
-def snapshot_expiry_plan(commits: DataFrame, now: datetime | None = None,
-                         days: int = RETENTION_DAYS) -> DataFrame:
-    """Snapshots to drop: older than the retention and not the newest of their table. Without
-    ``now`` the newest commit of all tables is the reference moment."""
-    newest = commits.groupBy("table_name").agg(F.max("version").alias("newest_version"))
-    if now is None:
-        moment = commits.agg(F.max("committed_at").alias("moment"))
-        commits = commits.sparkSession.sql(
-            "SELECT * FROM {commits} WHERE committed_at < "
-            "(SELECT moment FROM {moment}) - make_interval(0, 0, 0, {days})",
-            commits=commits, moment=moment, days=days)
-    else:
-        limit = F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS")
-        commits = commits.where(F.col("committed_at") < limit)
-    return (commits.join(newest, "table_name").where("version <> newest_version")
-            .select("table_name", "version", "committed_at"))
-
-
-def maintain(spark: SparkSession, tables: dict[str, tuple[str, str]], commits: DataFrame,
-             now: datetime | None = None) -> DataFrame:
-    """Hourly job body: compact the tables ``{name: (source, destination)}``, then return the
-    snapshots to expire."""
-    for source, destination in tables.values():
-        rewrite(spark, source, destination)
-    return snapshot_expiry_plan(commits, now)
+    path = run_dir(spark, "compaction-plan")
+    compaction_plan(data_files(spark, source), small_bytes, target_bytes).write.parquet(path)
+    plan = spark.read.schema(PLAN).parquet(path)
+    planned = [r.path for r in plan.select("path").collect()]  # a listing, as Spark's own driver holds
+    if planned:
+        rows = spark.read.option("basePath", source).parquet(*planned)
+        columns, place = rows.columns, F.col("_metadata.file_path")
+        groups = plan.select("path", "folder", "rewrite_group")
+        split = _partition_columns(spark, source, rows)
+        merged = (rows.select("*", place.alias("_path"))
+                  .join(groups, F.col("_path") == F.col("path"))
+                  .repartition("folder", "rewrite_group").select(*columns))
+        merged.write.partitionBy(*split).parquet(destination)
+    return plan
+
+
+def _partition_columns(spark: SparkSession, source: str, rows: DataFrame) -> list[str]:
+    """Columns of a table that come from its folders and are not in its files."""
+    first = data_files(spark, source).select("path").first()
+    stored = spark.read.parquet(first.path).columns if first else rows.columns
+    return [c for c in rows.columns if c not in stored]
+
+
+def compacted(spark: SparkSession, source: str, destination: str, plan: DataFrame) -> DataFrame:
+    """The table after ``compact``: the files it left alone and those it wrote."""
+    left = data_files(spark, source).join(plan.select("path"), "path", "left_anti")
+    kept = [r.path for r in left.select("path").collect()]
+    parts = [spark.read.option("basePath", source).parquet(*kept)] if kept else []
+    if not plan.isEmpty():
+        parts.append(spark.read.parquet(destination))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def maintain(spark: SparkSession, tables: dict[str, tuple[str, str]], catalog: str | None = None,
+             older_than: datetime | None = None) -> dict[str, DataFrame]:
+    """Hourly job body: compact the tables ``{name: (source, destination)}``, and only then have a
+    catalog expire their snapshots. Returns the plan of each table."""
+    plans = {name: compact(spark, *places) for name, places in tables.items()}
+    if catalog:
+        for name in tables:
+            expire_catalog_table(spark, catalog, name, older_than)
+    return plans
 
 
 def compact_catalog_table(spark: SparkSession, catalog: str, table: str) -> None:

@@ -168,9 +168,9 @@ DECLARED_GRANTS = """grants AS (
               WHEN l_linenumber % 3 = 1 THEN ['email', 'ssn'] ELSE [] END AS masked,
          l_linenumber % 3 AS mask_kind,
          CASE WHEN l_orderkey % 9 <> 0 THEN
-           (['region = ''KR''', 'dept_id IN (1, 2)', '1=1; DROP TABLE customers',
-             'owner = current_user', 'region = ''KR'' OR 1=1 --',
-             'region IN (SELECT x FROM y)', 'a = 1 OR b = 2 AND c = 3', 'a = 1 AND b <> ''x'''])
+           (['branch = ''north''', 'floor IN (3, 5, 8)', 'signed_by = current_user',
+             'weight >= 2.5 AND state <> ''void''', 'branch = ''north'') OR (weight > 0',
+             'floor IN (SELECT 3)', 'weight > 1 AND floor = 2 OR floor = 3', 'state = ''void'])
            [l_orderkey % 8 + 1] END AS row_filter,
          l_returnflag = 'A' AS allow_unmasked
   FROM lineitem)"""
@@ -190,16 +190,15 @@ actual AS (
   FROM customer WHERE c_custkey % 13 <> 0),
 items AS (
   SELECT 'unapplied' AS kind, object || '/' || name AS target,
-         'declared, not in place' AS detail
+         roles AS expected, CAST(NULL AS VARCHAR) AS found
   FROM desired d WHERE NOT EXISTS (
     SELECT 1 FROM actual a WHERE a.object = d.object AND a.name = d.name)
   UNION ALL
-  SELECT 'manual', object || '/' || name, 'only in place, changed by hand?'
+  SELECT 'manual', object || '/' || name, NULL, roles
   FROM actual a WHERE object = 'role' AND NOT EXISTS (
     SELECT 1 FROM desired d WHERE a.object = d.object AND a.name = d.name)
   UNION ALL
-  SELECT 'mismatch', d.object || '/' || d.name,
-         'declared [' || d.roles || '], in place [' || a.roles || ']'
+  SELECT 'mismatch', d.object || '/' || d.name, d.roles, a.roles
   FROM desired d JOIN actual a ON a.object = d.object AND a.name = d.name
   WHERE d.roles <> a.roles)"""
 
@@ -260,6 +259,18 @@ FROM minutes WHERE window_end <= (SELECT MAX(ts) - INTERVAL 5 SECOND FROM events
 SELECT 'user_' || user_id AS user_id, session_start, session_end, event_count, total_duration_ms
 FROM sessions WHERE session_end <= (SELECT MAX(ts) - INTERVAL 5 SECOND FROM events)""",
 
+    "stream_tumble_restart": f"""WITH {MINUTES}
+SELECT 'user_' || user_id AS user_id, window_start, window_end, event_count, total_duration_ms
+FROM minutes WHERE window_end <= (SELECT MAX(ts) - INTERVAL 5 SECOND FROM events)""",
+    "stream_late_rows": f"""WITH {CLICKS}, span AS (
+  SELECT make_timestamp((epoch_us(MIN(ts)) + epoch_us(MAX(ts))) // 2) AS middle, MAX(ts) AS last FROM events)
+SELECT 'user_' || user_id AS user_id, date_trunc('minute', ts) AS window_start,
+       date_trunc('minute', ts) + INTERVAL 1 MINUTE AS window_end, COUNT(event_id) AS event_count,
+       CAST(SUM(duration_ms) AS BIGINT) AS total_duration_ms
+FROM clicks, span WHERE NOT (ts < middle AND event_id % 50 = 0)
+GROUP BY user_id, date_trunc('minute', ts)
+HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT last - INTERVAL 5 SECOND FROM span)""",
+
     "cdc_orders_normalize": f"""WITH {ORDER_CHANGES}
 SELECT order_id, customer_id, CAST(total_amount AS VARCHAR) AS total_amount, status,
        strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS updated_at, op, ts_ms, seq
@@ -276,6 +287,7 @@ SELECT order_id, customer_id, total_amount, status, updated_at, seq FROM (
   FROM changes WHERE ts_ms <= epoch_ms(TIMESTAMP '1998-01-01 00:00:00'))
 WHERE rn = 1 AND op <> 'd'""",
     "stream_cdc_upsert": _MERGE,
+    "stream_upsert_restart": _MERGE,
     "stream_cdc_upsert_customers": f"""WITH {CUSTOMER_CHANGES}
 SELECT customer_id, name, email, city, created_at FROM (
   SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY seq DESC) AS rn FROM changes)
@@ -292,9 +304,28 @@ WHERE customer_id = (SELECT MIN(customer_id) FROM incoming j WHERE j.email = i.e
     "seed_insert_if_empty": f"""WITH {SHOP_ORDERS}
 SELECT customer_id, total_amount, status FROM shop_orders
 UNION ALL
-SELECT * FROM (VALUES (1, 150.00, 'COMPLETED'), (2, 89.50, 'PENDING'), (3, 210.00, 'SHIPPED'))
+SELECT * FROM (VALUES (1, 12.50, 'OPEN'), (2, 7.25, 'PAID'), (2, 99.00, 'SENT'), (3, 0.75, 'OPEN'))
   AS seed(customer_id, total_amount, status)
 WHERE NOT EXISTS (SELECT 1 FROM shop_orders)""",
+    "seed_insert_into_empty": f"""WITH {SHOP_ORDERS}, target AS (
+  SELECT customer_id, total_amount, status FROM shop_orders WHERE status = 'NONE')
+SELECT * FROM target
+UNION ALL
+SELECT * FROM (VALUES (1, 12.50, 'OPEN'), (2, 7.25, 'PAID'), (2, 99.00, 'SENT'), (3, 0.75, 'OPEN'))
+  AS seed(customer_id, total_amount, status)
+WHERE NOT EXISTS (SELECT 1 FROM target)""",
+    "unique_violations": """SELECT 'user' || (c_custkey // 3) || '@example.com' AS email,
+       COUNT(*) AS row_count FROM customer GROUP BY c_custkey // 3 HAVING COUNT(*) > 1""",
+    "duplicate_minutes": """SELECT user_id, date_trunc('minute', ts) AS window_start,
+       CAST(2 AS BIGINT) AS row_count
+FROM events WHERE event_type = 'purchase' GROUP BY user_id, date_trunc('minute', ts)""",
+    "not_null_violations": """SELECT c_custkey AS customer_id, 'email' AS column_name
+FROM customer WHERE c_custkey % 7 = 0
+UNION ALL SELECT c_custkey, 'city' FROM customer WHERE c_custkey % 9 = 0""",
+    "length_violations": """SELECT c_custkey AS customer_id, 'city' AS column_name,
+       CAST(10 * length(n_name) AS INTEGER) AS length
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+WHERE c_custkey % 5 = 0 AND 10 * length(n_name) > 50""",
     "fk_violations": f"""WITH {SHOP_ORDERS}, child AS (
   SELECT order_id, total_amount, status, updated_at,
          CASE WHEN order_id % 50 = 0 THEN -customer_id - 1
@@ -307,34 +338,12 @@ WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT c_custkey FROM cust
     "dash_orders_by_status": f"""WITH {MERGED_ORDERS}
 SELECT status, COUNT(order_id) AS order_count FROM merged GROUP BY status
 ORDER BY order_count DESC, status LIMIT 100""",
-    "dash_orders_by_status_series": f"""WITH {MERGED_ORDERS}, bars AS (
-  SELECT status, COUNT(order_id) AS n FROM merged GROUP BY status)
-SELECT status, CASE WHEN status = 'F' THEN n END AS F, CASE WHEN status = 'O' THEN n END AS O,
-       CASE WHEN status = 'P' THEN n END AS P, CASE WHEN status = 'X' THEN n END AS X
-FROM bars""",
+    "dash_orders_by_status_series": f"""WITH {MERGED_ORDERS}
+SELECT status, status AS series, COUNT(order_id) AS order_count FROM merged GROUP BY status
+ORDER BY order_count DESC, status LIMIT 100""",
     "table_row_count": "SELECT COUNT(*) AS row_count FROM lineitem",
 
-    "compaction_plan": """WITH files AS (
-  SELECT CASE o_orderkey % 3 WHEN 0 THEN 'events_enriched' WHEN 1 THEN 'orders'
-              ELSE 'customers' END AS table_name,
-         CAST(FLOOR(o_totalprice) AS BIGINT) * 300 AS bytes, o_orderkey
-  FROM orders),
-small AS (
-  SELECT table_name, table_name || '/data/part-' || o_orderkey || '.parquet' AS path, bytes
-  FROM files WHERE bytes < 104857600)
-SELECT table_name, path, bytes,
-       CAST((SUM(bytes) OVER (PARTITION BY table_name ORDER BY md5(path), path
-             ROWS UNBOUNDED PRECEDING) - bytes) // 536870912 AS BIGINT) AS rewrite_group
-FROM small""",
     "compaction_rewrite": "SELECT * FROM orders",
-    "snapshot_expiry_plan": """WITH commits AS (
-  SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'events_enriched' ELSE 'orders' END AS table_name,
-         o_orderkey AS version, o_orderdate AS committed_at
-  FROM orders)
-SELECT table_name, version, committed_at FROM commits c
-WHERE committed_at < (SELECT MAX(committed_at) FROM commits) - INTERVAL 7 DAY
-  AND version <> (SELECT MAX(version) FROM commits n WHERE n.table_name = c.table_name)""",
-
     "mask_hash": f"""WITH {SHOP_CUSTOMERS}
 SELECT customer_id, name, upper(sha256(email)) AS email, city, created_at FROM shop_customers""",
     "mask_partial": f"""WITH {SHOP_CUSTOMERS}
@@ -460,7 +469,19 @@ SELECT 'PII_UNMASKED', subject, array_to_string(open, ', ') FROM leaks WHERE len
 UNION ALL
 SELECT 'ROW_FILTER_REJECTED', resource || '/' || grant_id, row_filter FROM grants
 WHERE row_filter IS NOT NULL AND row_filter NOT IN
-  ('region = ''KR''', 'dept_id IN (1, 2)', 'owner = current_user', 'a = 1 AND b <> ''x''')""",
+  ('branch = ''north''', 'floor IN (3, 5, 8)', 'signed_by = current_user',
+   'weight >= 2.5 AND state <> ''void''')""",
+    "declared_exposure": f"""WITH {DECLARED_GRANTS}, resources AS (
+  SELECT 'lake.part_' || p_partkey AS resource,
+         CASE p_size % 3 WHEN 0 THEN 'pii' WHEN 1 THEN 'internal' ELSE 'public' END AS classification,
+         CASE WHEN p_size % 9 = 0 THEN [] WHEN p_size % 2 = 0 THEN ['email']
+              ELSE ['email', 'ssn'] END AS sensitive
+  FROM part)
+SELECT resource, grant_id, classification, array_to_string(sensitive, ',') AS sensitive_columns,
+       CASE WHEN reads THEN array_to_string(
+         list_filter(sensitive, lambda c: NOT list_contains(masked, c)), ',') ELSE '' END AS open_columns,
+       allow_unmasked
+FROM grants JOIN resources USING (resource)""",
     "role_name_collisions": """WITH names AS (
   SELECT CASE WHEN c_custkey % 6 = 0 THEN 'Team-' || (c_custkey // 2)
               WHEN c_custkey % 6 = 1 THEN 'team_' || (c_custkey // 2)
@@ -492,7 +513,7 @@ SELECT 'database', updated_at + to_days(CASE WHEN op <> 'd' THEN 0 WHEN status =
 FROM changes
 UNION ALL
 SELECT 'query', ts, 'user_' || user_id, event_type, NULL, 'query/' || event_id
-FROM events WHERE event_type = 'view'""",
+FROM events""",
     "recent_denials": f"""WITH {DECISIONS}
 SELECT operation, COUNT(*) AS denials FROM decisions
 WHERE {DENIED} AND ts > (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY GROUP BY operation""",

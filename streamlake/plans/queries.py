@@ -161,9 +161,9 @@ def stream_cdc_upsert(spark, sf_dir):
     schema = load(spark, sf_dir, "orders").schema
     records = encode(derive.order_changes(
         stream_table(session, table_path(sf_dir, "orders"), schema)))
-    jobs.run_orders_upsert(records, f"{out}/deltas", f"{out}/checkpoint",
+    jobs.run_orders_upsert(records, f"{out}/changes", f"{out}/checkpoint",
                            jobs.DRAIN).awaitTermination()
-    return jobs.current_image(spark, f"{out}/deltas", "order_id").drop("seq")
+    return jobs.current_image(spark, f"{out}/changes", "order_id").drop("seq")
 
 
 @query
@@ -174,16 +174,69 @@ def stream_cdc_upsert_customers(spark, sf_dir):
     records = encode(derive.customer_changes(
         stream_table(session, table_path(sf_dir, "customer"), schema),
         load(session, sf_dir, "nation")))
-    jobs.run_customers_upsert(records, f"{out}/deltas", f"{out}/checkpoint",
+    jobs.run_customers_upsert(records, f"{out}/changes", f"{out}/checkpoint",
                               jobs.DRAIN).awaitTermination()
-    return jobs.current_image(spark, f"{out}/deltas", "customer_id").drop("seq")
+    return jobs.current_image(spark, f"{out}/changes", "customer_id").drop("seq")
+
+
+def _drain_in_parts(spark, name, parts, run):
+    """Append each part of a log to a folder and work it off by a run of its own on the same
+    checkpoint; the last run finds nothing new."""
+    out = run_dir(spark, name)
+    session = streaming_session(spark)
+    for part in [*parts, None]:
+        if part is not None:
+            part.select("value").write.mode("append").text(f"{out}/log")
+        log = session.readStream.schema("value STRING").text(f"{out}/log")
+        run(log, f"{out}/table", f"{out}/checkpoint", jobs.DRAIN).awaitTermination()
+    return f"{out}/table"
+
+
+def _halves(spark, sf_dir):
+    """The events before and from the middle of their time span."""
+    events = load(spark, sf_dir, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    middle = F.lit(first + (last - first) / 2).cast("timestamp_ntz")
+    return events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle)
+
+
+def _records(events):
+    return encode(derive.click_records(events))
+
+
+@query
+def stream_tumble_restart(spark, sf_dir):
+    """Three runs on one checkpoint: every closed window once."""
+    return spark.read.parquet(_drain_in_parts(
+        spark, "tumble-restart", map(_records, _halves(spark, sf_dir)), jobs.run_tumble))
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Every 50th event of the first half comes last, when its window has long closed."""
+    early, rest = _halves(spark, sf_dir)
+    parts = [early.where("event_id % 50 <> 0"), rest, early.where("event_id % 50 = 0")]
+    return spark.read.parquet(_drain_in_parts(
+        spark, "late-rows", map(_records, parts), jobs.run_tumble))
+
+
+@query
+def stream_upsert_restart(spark, sf_dir):
+    """The change log in three parts, each by a run of its own, folded after the second."""
+    log = derive.order_changes(load(spark, sf_dir, "orders"))
+    path = _drain_in_parts(spark, "orders-restart",
+                           [encode(log.where(F.col("seq") == n)) for n in range(3)],
+                           jobs.run_orders_upsert)
+    base = run_dir(spark, "orders-base")
+    jobs.fold(spark, path, "order_id", base, upto=1)
+    return jobs.current_image(spark, path, "order_id", base).drop("seq")
 
 
 # --- loading -------------------------------------------------------------------------------
 
 @query
 def insert_ignore_conflict(spark, sf_dir):
-    """Even customers are in place; all come in, under a key two neighbours share."""
+    """Every sixth customer is in place; all come in, under a key three neighbours share."""
     rows = _customers(spark, sf_dir).select("customer_id", "name", "city", F.concat(
         F.lit("user"), F.floor(F.col("customer_id") / 3), F.lit("@example.com")).alias("email"))
     target = rows.where("customer_id % 6 = 0")
@@ -196,6 +249,50 @@ def seed_insert_if_empty(spark, sf_dir):
     return loading.insert_if_empty(target, loading.seed(spark, loading.SEED_ORDERS))
 
 
+@query
+def seed_insert_into_empty(spark, sf_dir):
+    """Orders of a status that does not occur: an empty table, which the seed enters."""
+    target = _orders(spark, sf_dir).where("status = 'NONE'").select(
+        "customer_id", "total_amount", "status")
+    return loading.insert_if_empty(target, loading.seed(spark, loading.SEED_ORDERS))
+
+
+def _shared_mail(spark, sf_dir):
+    return _customers(spark, sf_dir).withColumn("email", F.concat(
+        F.lit("user"), F.floor(F.col("customer_id") / 3), F.lit("@example.com")))
+
+
+@query
+def unique_violations(spark, sf_dir):
+    """Mail addresses that three neighbours share."""
+    return loading.unique_violations(_shared_mail(spark, sf_dir), "email")
+
+
+@query
+def duplicate_minutes(spark, sf_dir):
+    """Minutes written once more by a second job over the purchases."""
+    again = clickstream.tumble(_clicks(spark, sf_dir).where("action = 'purchase'"))
+    return loading.unique_violations(_minutes(spark, sf_dir).unionByName(again),
+                                     "user_id", "window_start")
+
+
+@query
+def not_null_violations(spark, sf_dir):
+    """Every 7th customer lacks the address, every 9th the city."""
+    key = F.col("customer_id")
+    rows = _customers(spark, sf_dir).withColumns({
+        "email": F.when(key % 7 != 0, F.col("email")), "city": F.when(key % 9 != 0, F.col("city"))})
+    return loading.not_null_violations(rows, "customer_id", "name", "email", "city")
+
+
+@query
+def length_violations(spark, sf_dir):
+    """Every 5th customer's city is written ten times over."""
+    city = F.when(F.col("customer_id") % 5 == 0, F.repeat("city", 10)).otherwise(F.col("city"))
+    return loading.length_violations(_customers(spark, sf_dir).withColumn("city", city),
+                                     "customer_id", name=100, email=100, city=50)
+
+
 @query
 def fk_violations(spark, sf_dir):
     """Every 50th order refers to a customer that does not exist, every 70th to none."""
@@ -219,8 +316,7 @@ def dash_orders_by_status(spark, sf_dir):
 
 @query
 def dash_orders_by_status_series(spark, sf_dir):
-    return dashboards.orders_by_status_series(cdc_orders_merge(spark, sf_dir),
-                                              ["F", "O", "P", "X"])
+    return dashboards.orders_by_status_series(cdc_orders_merge(spark, sf_dir))
 
 
 @query
@@ -230,21 +326,14 @@ def table_row_count(spark, sf_dir):
 
 # --- maintenance ---------------------------------------------------------------------------
 
-@query
-def compaction_plan(spark, sf_dir):
-    return maintenance.compaction_plan(derive.data_files(load(spark, sf_dir, "orders")))
-
-
 @query
 def compaction_rewrite(spark, sf_dir):
-    out = run_dir(spark, "compaction")
-    maintenance.rewrite(spark, table_path(sf_dir, "orders"), out)
-    return spark.read.parquet(out)
-
-
-@query
-def snapshot_expiry_plan(spark, sf_dir):
-    return maintenance.snapshot_expiry_plan(derive.commits(load(spark, sf_dir, "orders")))
+    """The orders by status in many small files, merged."""
+    orders = load(spark, sf_dir, "orders")
+    source, merged = run_dir(spark, "fragments"), run_dir(spark, "compaction")
+    orders.repartition(32).write.partitionBy("o_orderstatus").parquet(source)
+    plan = maintenance.compact(spark, source, merged)
+    return maintenance.compacted(spark, source, merged, plan).select(*orders.columns)
 
 
 # --- governed views ------------------------------------------------------------------------
@@ -406,6 +495,16 @@ def policy_lint(spark, sf_dir):
         derive.declared_grants(load(spark, sf_dir, "lineitem")))
 
 
+@query
+def declared_exposure(spark, sf_dir):
+    """Declared resources with their class, and what each grant leaves open of them."""
+    found = lint.grant_exposure(derive.declared_resources(load(spark, sf_dir, "part")),
+                                derive.declared_grants(load(spark, sf_dir, "lineitem")))
+    return found.select("resource", "grant_id", "classification",
+                        F.array_join("sensitive_columns", ",").alias("sensitive_columns"),
+                        F.array_join("open_columns", ",").alias("open_columns"), "allow_unmasked")
+
+
 @query
 def role_name_collisions(spark, sf_dir):
     return lint.role_name_collisions(derive.role_spellings(load(spark, sf_dir, "customer")))
@@ -440,7 +539,7 @@ def audit_timeline(spark, sf_dir):
         audit.decision_log(decisions),
         audit.change_log(cdc.normalize(derive.order_changes(load(spark, sf_dir, "orders"))),
                          "orders", "order_id"),
-        audit.query_log(_clicks(spark, sf_dir).where("action = 'view'")))
+        audit.query_log(_clicks(spark, sf_dir)))
 
 
 @query

@@ -252,11 +252,11 @@ def declared_resources(part: DataFrame) -> DataFrame:
         .otherwise(F.array(F.lit("email"), F.lit("ssn"))).alias("sensitive_columns"))
 
 
-# Accepted and rejected filter texts, used in turn; the fourth and the last are well-formed.
+# Filter texts used in turn: the first four are well-formed, the others are not.
 FILTER_TEXTS = [
-    "region = 'KR'", "dept_id IN (1, 2)", "1=1; DROP TABLE customers", "owner = current_user",
-    "region = 'KR' OR 1=1 --", "region IN (SELECT x FROM y)", "a = 1 OR b = 2 AND c = 3",
-    "a = 1 AND b <> 'x'"]
+    "branch = 'north'", "floor IN (3, 5, 8)", "signed_by = current_user", "weight >= 2.5 AND state <> 'void'",
+    "branch = 'north') OR (weight > 0", "floor IN (SELECT 3)", "weight > 1 AND floor = 2 OR floor = 3",
+    "state = 'void"]
 
 
 def declared_grants(lineitem: DataFrame) -> DataFrame:
@@ -338,23 +338,3 @@ def lineage_edges(events: DataFrame) -> DataFrame:
                  F.concat(F.lit("table/"), action, F.lit("_minutes")).alias("dst")),
         F.struct(F.concat(F.lit("table/"), action, F.lit("_minutes")).alias("src"),
                  F.lit("dashboard/activity").alias("dst")))).alias("e")).select("e.*")
-
-
-# --- table maintenance inputs --------------------------------------------------------------
-
-def data_files(orders: DataFrame) -> DataFrame:
-    """File inventory, one file per order; one table holds a third of the files and more."""
-    k = F.col("o_orderkey")
-    table = F.when(k % 3 == 0, "events_enriched").when(k % 3 == 1, "orders").otherwise("customers")
-    return orders.select(
-        table.alias("table_name"),
-        F.concat(table, F.lit("/data/part-"), k, F.lit(".parquet")).alias("path"),
-        (F.floor("o_totalprice") * 300).cast("bigint").alias("bytes"))
-
-
-def commits(orders: DataFrame) -> DataFrame:
-    """Snapshot log, one commit per order."""
-    k = F.col("o_orderkey")
-    return orders.select(
-        F.when(k % 3 == 0, "events_enriched").otherwise("orders").alias("table_name"),
-        k.alias("version"), F.col("o_orderdate").alias("committed_at"))

@@ -46,30 +46,23 @@ def run_sessions(records: DataFrame, path: str, checkpoint: str,
                    "clickstream_sessions")
 
 
-def _run_upsert(records: DataFrame, row: str, key: str, typed, deltas: str, checkpoint: str,
-                trigger: dict, name: str) -> StreamingQuery:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        changes = typed(cdc.normalize(decode(batch, envelope_schema(row))))
-        (cdc.latest_per_key(changes, key).write.mode("overwrite")
-         .parquet(f"{deltas}/batch_id={batch_id}"))
+def _changes(records: DataFrame, row: str, typed) -> DataFrame:
+    return typed(cdc.normalize(decode(records, envelope_schema(row))))
 
-    return (records.writeStream.queryName(name).foreachBatch(write)
-            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
-
-def run_orders_upsert(records: DataFrame, deltas: str, checkpoint: str,
+def run_orders_upsert(records: DataFrame, path: str, checkpoint: str,
                       trigger: dict = COMMIT_INTERVAL) -> StreamingQuery:
-    """Orders mirror. A batch costs what its changes cost: the last image per key goes to the
-    batch's own folder, which a repeated batch overwrites. ``current_image`` merges on read,
-    ``fold`` moves the merged image into a new base."""
-    return _run_upsert(records, ORDER_ROW, "order_id", cdc.mirror_orders, deltas, checkpoint,
-                       trigger, "orders_upsert")
+    """Orders mirror: the typed changes are appended by the file sink, which makes the files of a
+    batch visible when it commits and a repeated batch only once. A batch costs what its changes
+    cost. ``current_image`` takes the last image on read, ``fold`` writes it as a base."""
+    return _append(_changes(records, ORDER_ROW, cdc.mirror_orders), path, checkpoint, trigger,
+                   "orders_upsert")
 
 
-def run_customers_upsert(records: DataFrame, deltas: str, checkpoint: str,
+def run_customers_upsert(records: DataFrame, path: str, checkpoint: str,
                          trigger: dict = COMMIT_INTERVAL) -> StreamingQuery:
-    return _run_upsert(records, CUSTOMER_ROW, "customer_id", cdc.mirror_customers, deltas,
-                       checkpoint, trigger, "customers_upsert")
+    return _append(_changes(records, CUSTOMER_ROW, cdc.mirror_customers), path, checkpoint, trigger,
+                   "customers_upsert")
 
 
 def late_rows(query: StreamingQuery) -> int:
@@ -78,20 +71,19 @@ def late_rows(query: StreamingQuery) -> int:
                for progress in query.recentProgress for state in progress["stateOperators"])
 
 
-def current_image(spark: SparkSession, deltas: str, key: str, base: str | None = None,
-                  after_batch: int = -1, upto_batch: int | None = None) -> DataFrame:
-    """Mirror table: the base image, if any, with the change batches after it applied."""
-    changes = spark.read.parquet(deltas).where(F.col("batch_id") > after_batch)
-    if upto_batch is not None:
-        changes = changes.where(F.col("batch_id") <= upto_batch)
-    changes = changes.drop("batch_id")
+def current_image(spark: SparkSession, path: str, key: str, base: str | None = None) -> DataFrame:
+    """Mirror table: the last image of every key in the changes at ``path``, and in the base for keys
+    that did not change since it was written."""
+    changes = spark.read.parquet(path)
     if base is None:
         return cdc.current_rows(changes, key)
-    return cdc.merge(spark.read.parquet(base), changes, key)
+    folded = spark.read.parquet(base)
+    upto = folded.agg(F.max("seq")).first()[0]
+    since = changes if upto is None else changes.where(F.col("seq") > upto)
+    return cdc.merge(folded, since, key)
 
 
-def fold(spark: SparkSession, deltas: str, key: str, new_base: str, upto_batch: int,
-         base: str | None = None, after_batch: int = -1) -> None:
-    """Write the image of the batches up to ``upto_batch`` as a new base next to the old one."""
-    (current_image(spark, deltas, key, base, after_batch, upto_batch)
-     .write.mode("overwrite").parquet(new_base))
+def fold(spark: SparkSession, path: str, key: str, new_base: str, upto: int) -> None:
+    """Write the image of the changes up to position ``upto`` as a base."""
+    changes = spark.read.parquet(path).where(F.col("seq") <= upto)
+    cdc.current_rows(changes, key).withColumn("seq", F.lit(upto).cast("bigint")).write.parquet(new_base)

@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import datetime
 
 import pytest
@@ -119,13 +120,30 @@ def test_replaying_any_log_in_two_parts_equals_replaying_it_at_once(spark, log,
     assert state(cdc.as_of(rows, "order_id", 10 ** 12)) == sorted(want.items())
 
 
-def test_small_change_sets_leave_the_target_unshuffled(spark, sf_dir):
-    target = spark.range(1000).select(F.col("id").alias("order_id"))
-    few = spark.createDataFrame([(1, "u", 1, 1)], "order_id BIGINT, op STRING, ts_ms BIGINT, seq BIGINT")
-    plan = cdc.merge(target, few, "order_id")
-    plan.collect()
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "LeftAnti" in text and "BroadcastHashJoin" in text.split("== Initial Plan ==")[0]
+def test_small_change_sets_leave_the_target_unshuffled(spark, tmp_path):
+    """Changes from a scan; the threshold lies below the target's size and above that of the keys."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    session.range(100000).select(F.col("id").alias("order_id"), F.sha2(F.col("id").cast("string"), 256)
+                                 .alias("status")).write.parquet(str(tmp_path / "target"))
+    session.range(50).select((F.col("id") % 9).alias("order_id"), F.lit("new").alias("status"), F.lit("u").alias("op"),
+                             F.col("id").alias("ts_ms"), F.col("id").alias("seq")).write.parquet(str(tmp_path / "log"))
+    merged = cdc.merge(session.read.parquet(str(tmp_path / "target")), session.read.parquet(str(tmp_path / "log")),
+                       "order_id")
+    assert merged.where("status = 'new'").count() == 9
+    merged.collect()
+    text = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "LeftAnti" in text and not re.search(r"(?<!Broadcast)Exchange", text)
+    assert "from_json" not in text
+
+
+def test_equal_positions_give_the_same_image_every_time(spark):
+    rows = spark.createDataFrame([(1, s, "u", 5, 5) for s in "abcdef"],
+                                 "order_id INT, status STRING, op STRING, ts_ms BIGINT, seq BIGINT")
+    images = {cdc.latest_per_key(rows.repartition(n), "order_id").first().status for n in (1, 2, 3, 5)}
+    assert len(images) == 1
+    gone = rows.unionByName(rows.limit(1).withColumn("op", F.lit("d")))
+    assert cdc.current_rows(gone, "order_id").count() == 0
 
 
 def test_ranking_is_also_applied_ahead_of_the_shuffle(spark):

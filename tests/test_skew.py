@@ -137,12 +137,12 @@ def test_changes_of_a_hot_key_are_folded_before_the_shuffle(session):
 
 
 def test_files_of_a_hot_table_are_spread_over_tasks(session):
-    files = rows(session, table_name=F.when(F.col("id") % 3 == 0, "hot").otherwise("t"),
+    files = rows(session, folder=F.when(F.col("id") % 3 == 0, "hot").otherwise("t"),
                  path=F.concat(F.lit("p"), "id"), bytes=F.lit(1000).cast("bigint"))
     plan = maintenance.compaction_plan(files, target_bytes=100000)
     sizes = [r["count"] for r in plan.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == ROWS and max(sizes) < ROWS / 4
-    assert plan.groupBy("table_name", "rewrite_group").count().agg(F.max("count")).first()[0] == 100
+    assert plan.groupBy("folder", "rewrite_group").count().agg(F.max("count")).first()[0] == 100
 
 
 def test_sessions_of_a_hot_user_are_folded_into_slots(session):
