@@ -45,6 +45,14 @@ def partitions_for(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def sample_of(df: DataFrame, rows: int, *key: Column) -> DataFrame:
+    """About ``rows`` rows, twice that at most, chosen by a hash of ``key``: a share of the table by its
+    number of rows, so that no task sends more than its part of the sample. The same rows each time."""
+    share = min(1.0, rows / max(df.count(), 1))
+    place = F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1 << 31))
+    return df.where(place < int(share * (1 << 31))).limit(2 * rows)
+
+
 def in_blocks(df: DataFrame, size: Column, most: int, spread: Column) -> DataFrame:
     """Deal rows out so that any two rows of a group of ``size`` rows meet in some block of about
     ``2 * most`` at most, however large the group: the group is cut into ``n`` parts by ``spread``,

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streamlake.llm.common import in_blocks, keep_table, runs
+from streamlake.llm.common import in_blocks, keep_table, runs, sample_of
 from streamlake.llm.components import components
 
 PIVOTS = 256
@@ -54,10 +54,10 @@ def _unit(column) -> list[np.ndarray]:
     return out
 
 
-def choose_pivots(nodes: DataFrame) -> dict[int, np.ndarray]:
-    """Reference vectors by dimension, each the one furthest from those before it, out of ``SAMPLE``
+def choose_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Reference vectors by dimension, each the one furthest from those before it, out of about ``SAMPLE``
     vectors: so a large group of copies gives one pivot and not many."""
-    sample = nodes.select("vector", F.xxhash64("vector").alias("order")).orderBy("order").limit(SAMPLE)
+    sample = sample_of(vectors, SAMPLE, F.col("vec_id"))
     by_size: dict[int, list] = {}
     for v in _unit(sample.select("vector").toArrow().column(0)):
         by_size.setdefault(len(v), []).append(v)
@@ -195,7 +195,7 @@ def classes(rows: DataFrame) -> DataFrame:
         known.where("usable").groupBy("d1", "d2").agg(
             F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"),
             F.first("label").alias("label"), F.first("vector").alias("vector")),
-        choose_pivots(known.where("usable").select("vector"))), "vectors")
+        choose_pivots(known.where("usable").select("vec_id", "vector"))), "vectors")
     sizes = inverted(nodes)
     lists = keep_table(
         sizes.join(sizes.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")

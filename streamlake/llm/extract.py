@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamlake.llm.boosting import Boosted, fit
+from streamlake.llm.common import sample_of
 
 TRAINING_PAGES = 400  # sampled for their texts
 TRAINING_BYTES = 200_000  # a larger page is not sampled
@@ -373,13 +374,12 @@ def marks(page: Page) -> np.ndarray:
 
 
 def train(pages: DataFrame, sample: int = TRAINING_PAGES, layouts: int = LAYOUTS) -> Boosted:
-    """A model of what belongs to an article, from layouts around the texts of up to ``sample`` pages.
+    """A model of what belongs to an article, from layouts around the texts of about ``sample`` pages.
 
     Nothing of a page's own markup is taken as true: a layout's parts are known because it was made here.
     """
-    rows = (pages.where((F.octet_length("html") > 0) & (F.octet_length("html") <= TRAINING_BYTES))
-            .select("html", F.xxhash64("html").alias("order"))
-            .orderBy("order").limit(sample).select("html").toPandas())
+    usable = pages.where((F.octet_length("html") > 0) & (F.octet_length("html") <= TRAINING_BYTES))
+    rows = sample_of(usable, sample, F.col("page_id")).select("html").toPandas()
     draw = np.random.default_rng(7)
     material = [_pieces(Page(html)) for html in rows["html"]]
     made = [Page(lay_out(long, short, draw)) for long, short in material if long or short

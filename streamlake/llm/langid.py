@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamlake.llm.common import keep_table
+from streamlake.llm.common import keep_table, sample_of
 
 ORDER = 4
 CODE_BITS = 16
@@ -25,7 +25,7 @@ FAR_LETTER = 0xFFFF  # stands for any letter beyond the basic plane
 SEGMENT = 1 << 20  # characters worked on at once
 DENSE = 1 << 24  # grams are numbered directly while the batch's alphabet allows so many
 MODEL_GRAMS = 4_000_000  # bound of the broadcast model; the most frequent grams stay
-CALIBRATION_ROWS = 20_000  # labelled rows that the acceptance is fitted on
+CALIBRATION_ROWS = 8_000  # labelled rows that the acceptance is fitted on
 CALIBRATION_BYTES = 10_000  # a longer text is not sampled
 UNDETERMINED = "und"
 LEAST_LIMIT = 8.0  # deviations
@@ -289,14 +289,16 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
         return -np.log(np.maximum(posterior(entropy, length, sharpness)[rows, own], 1e-12)).mean()
 
     model.sharpness = min((2.0 ** i for i in range(-4, 7)), key=loss)
-    mine = entropy[rows, own]
-    model.centre = np.array([np.median(mine[own == i]) if (own == i).any() else np.median(mine)
+    # Of the language that fits best, as in use: a wrong label says nothing about the text.
+    which = entropy.argmin(axis=1)
+    mine = entropy[rows, which]
+    model.centre = np.array([np.median(mine[which == i]) if (which == i).any() else np.median(mine)
                              for i in range(len(model.languages))])
-    off = (mine - model.centre[own]) ** 2
+    off = (mine - model.centre[which]) ** 2
     design = np.stack([np.ones(len(off)), 1 / length], axis=1)
     fitted = np.linalg.lstsq(design * length[:, None] ** 0.5, off * length ** 0.5, rcond=None)[0]
     model.spread = np.maximum(fitted, [1e-4, 1e-2])
-    model.limit = max(LEAST_LIMIT, 1.25 * float(deviations(model, mine, length, own).max()))
+    model.limit = max(LEAST_LIMIT, 1.25 * float(deviations(model, mine, length, which).max()))
     return model
 
 
@@ -328,12 +330,8 @@ def train(docs: DataFrame) -> Model | None:
     table = counts.toPandas()
     model = fit({lang: (part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy())
                  for lang, part in table.groupby("lang")})
-    rows = labelled.where(F.col("lang").isin(model.languages)).count()
-    share = min(1.0, CALIBRATION_ROWS / max(rows, 1))
-    sample = (labelled.where(F.crc32(F.concat_ws(":", F.lit("calibrate"), "doc_id").cast("binary"))
-                             < int(share * (1 << 32)))
-              .where(F.octet_length("text") <= CALIBRATION_BYTES).select("text", "lang")
-              .limit(2 * CALIBRATION_ROWS).toPandas())
+    short = labelled.where(F.octet_length("text") <= CALIBRATION_BYTES)
+    sample = sample_of(short, CALIBRATION_ROWS, F.col("doc_id")).select("text", "lang").toPandas()
     sample = sample[sample["lang"].isin(model.languages)]
     return calibrate(model, sample["text"].tolist(), sample["lang"].tolist())
 
