@@ -218,6 +218,45 @@ def decide_topic_acl(requests: DataFrame, acls: DataFrame, account_prefix: str =
         F.array("operation", F.lit("All")), of("operations")))
 
 
+def table_rules(spark: SparkSession, policy: Policy) -> DataFrame:
+    """One row per ``(schema_name, table_name)`` with its ``rules (role, row_filter, column, mask)``: what
+    the grants of a role impose on whoever holds this very role."""
+    held: dict[tuple, set[tuple]] = {}
+    for grant in policy.grants:
+        schema, _, table = grant.resource.rpartition(".")
+        rules = held.setdefault((schema, table), set())
+        for role in grant.roles:
+            if grant.row_filter:
+                rules.add((role, grant.row_filter, None, None))
+            rules.update((role, None, column, kind) for column, kind in grant.column_mask.items())
+    names = ("role", "row_filter", "column", "mask")
+    rows = [(*key, [dict(zip(names, rule)) for rule in sorted(rules, key=str)])
+            for key, rules in sorted(held.items())]
+    return small_frame(spark, rows, schema_name=TEXT, table_name=TEXT, rules=pa.list_(
+        pa.struct([(name, TEXT) for name in names])))
+
+
+def governing_rules(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """Requests on tables with the ``row_filters`` and ``masks`` (``column:kind``) that apply to the
+    caller, both distinct and in order; all filters apply, and two masks for one column are a conflict
+    that the list shows. Joined like the decisions: the log is read once."""
+    flat = flat_requests(requests)
+    declared = rules.select(F.col("schema_name").alias("_schema"), F.col("table_name").alias("_table"),
+                            "rules")
+    own = F.filter(F.coalesce("rules", F.array().cast(rules.schema["rules"].dataType)),
+                   lambda r: F.array_contains("groups", r["role"]))
+
+    def listed(value) -> Column:
+        return F.array_sort(F.array_distinct(F.array_compact(F.transform("_own", value))))
+
+    return (flat.join(declared, (F.col("schema_name") == F.col("_schema"))
+                      & (F.col("table_name") == F.col("_table")), "left")
+            .withColumn("_own", own)
+            .withColumn("row_filters", listed(lambda r: r["row_filter"]))
+            .withColumn("masks", listed(lambda r: F.concat(r["column"], F.lit(":"), r["mask"])))
+            .drop("_schema", "_table", "_own", "rules"))
+
+
 def app_roles(users: DataFrame, roles: DataFrame | None = None) -> DataFrame:
     """Add ``app_role`` by ``group_name``; ``roles`` is ``(group_name, app_role)``, by default
     the fixed mapping."""

@@ -392,6 +392,17 @@ SELECT request_id, "user", operation, catalog_name, table_name,
              AND operation IN ('SelectFromColumns', 'InsertIntoTable', 'UpdateTableColumns',
                                'DeleteFromTable')
              AND list_has_any(groups, ['engineers', 'admins']))), FALSE) AS allowed
+FROM aimed""",
+    "authz_row_rules": f"""WITH {_requests('s')}, aimed AS (
+  SELECT request_id, CASE WHEN shape IN ('table', 'column') THEN named_table END AS table_name,
+         COALESCE(list_contains(groups, 'analysts'), FALSE) AS analyst,
+         COALESCE(list_contains(groups, 'engineers'), FALSE) AS engineer
+  FROM requests)
+SELECT request_id, table_name,
+       CASE WHEN table_name = 'orders' AND analyst THEN 'order_id > 0 and status = ''O'''
+            WHEN table_name = 'orders' AND engineer THEN 'order_id > 0' ELSE '' END AS row_filters,
+       CASE WHEN table_name = 'orders' AND analyst THEN 'total_amount:null'
+            WHEN table_name = 'customers' AND engineer THEN 'email:hash,name:partial' ELSE '' END AS masks
 FROM aimed""",
     "authz_catalog_ops": f"""WITH {CATALOG_DECISIONS}
 SELECT request_id, "user", operation, catalog, allowed FROM catalog_decisions""",

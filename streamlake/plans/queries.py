@@ -427,6 +427,19 @@ def authz_decide_allow(spark, sf_dir):
         "request_id", "user", "operation", "catalog_name", "table_name", "allowed")
 
 
+@query
+def authz_row_rules(spark, sf_dir):
+    """Filters and masks that apply to each request, by three grants on two tables."""
+    policy = Policy(SHIPPED.roles, SHIPPED.groups, {}, (
+        Grant("lake.orders", ("analysts",), ("select",), {"total_amount": "null"}, "status = 'O'"),
+        Grant("lake.orders", ("analysts", "engineers"), ("select",), row_filter="order_id > 0"),
+        Grant("lake.customers", ("engineers",), ("select",), {"email": "hash", "name": "partial"})), ())
+    found = access.governing_rules(_requests(spark, sf_dir, plural=True),
+                                   access.table_rules(spark, policy))
+    return found.select("request_id", "table_name", F.array_join("row_filters", " and ").alias("row_filters"),
+                        F.array_join("masks", ",").alias("masks"))
+
+
 @query
 def authz_catalog_ops(spark, sf_dir):
     return access.decide_catalog(_requests(spark, sf_dir, plural=True),
