@@ -45,6 +45,13 @@ def partitions_for(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fetched(df: DataFrame):
+    """A small result as a pandas frame, with the memory of its transfer given back."""
+    table = df.toPandas()
+    pa.default_memory_pool().release_unused()
+    return table
+
+
 def sample_of(df: DataFrame, rows: int, *key: Column) -> DataFrame:
     """About ``rows`` rows, twice that at most, chosen by a hash of ``key``: a share of the table by its
     number of rows, so that no task sends more than its part of the sample. The same rows each time."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamlake.llm.boosting import Boosted, fit
-from streamlake.llm.common import sample_of
+from streamlake.llm.common import fetched, sample_of
 
 TRAINING_PAGES = 400  # sampled for their texts
 TRAINING_BYTES = 200_000  # a larger page is not sampled
@@ -379,7 +379,7 @@ def train(pages: DataFrame, sample: int = TRAINING_PAGES, layouts: int = LAYOUTS
     Nothing of a page's own markup is taken as true: a layout's parts are known because it was made here.
     """
     usable = pages.where((F.octet_length("html") > 0) & (F.octet_length("html") <= TRAINING_BYTES))
-    rows = sample_of(usable, sample, F.col("page_id")).select("html").toPandas()
+    rows = fetched(sample_of(usable, sample, F.col("page_id")).select("html"))
     draw = np.random.default_rng(7)
     material = [_pieces(Page(html)) for html in rows["html"]]
     made = [Page(lay_out(long, short, draw)) for long, short in material if long or short

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamlake.llm.common import keep_table, sample_of
+from streamlake.llm.common import fetched, keep_table, sample_of
 
 ORDER = 4
 CODE_BITS = 16
@@ -327,11 +327,12 @@ def train(docs: DataFrame) -> Model | None:
         return None
     if total > MODEL_GRAMS:
         counts = counts.orderBy(F.desc("n"), "lang", "gram").limit(MODEL_GRAMS)
-    table = counts.toPandas()
+    table = fetched(counts)
     model = fit({lang: (part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy())
                  for lang, part in table.groupby("lang")})
+    del table
     short = labelled.where(F.octet_length("text") <= CALIBRATION_BYTES)
-    sample = sample_of(short, CALIBRATION_ROWS, F.col("doc_id")).select("text", "lang").toPandas()
+    sample = fetched(sample_of(short, CALIBRATION_ROWS, F.col("doc_id")).select("text", "lang"))
     sample = sample[sample["lang"].isin(model.languages)]
     return calibrate(model, sample["text"].tolist(), sample["lang"].tolist())
 

@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS,
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """``(source, source_size, target, repeats, limit)``: every document of the source is taken
+    """``(source, source_size, target, repeats, limit)``, written: every document of the source is taken
     ``repeats`` times, and those positioned below ``limit`` once more."""
     epochs = F.when(F.col("source_size") > 0, F.least(
         F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeats))).otherwise(0)
@@ -88,12 +88,13 @@ def thresholds(sized: DataFrame, budgets: DataFrame, max_repeats: int = MAX_REPE
         limit = F.when(F.col("cut").isNotNull(), F.shiftleft("cut", shift)).when(
             F.col("last").isNotNull(), F.shiftleft(F.col("last") + 1, shift)).otherwise(
             F.col("limit"))
-        bounds = found.select(
+        # A row per source: written, so that the plans of the levels do not pile up.
+        bounds = keep_table(found.select(
             "source", "source_size", "target", "repeats",
             F.when(F.col("open"), F.col("rest") - F.coalesce("under", F.lit(0)))
             .otherwise(F.col("rest")).alias("rest"),
             F.when(F.col("open"), limit).otherwise(F.col("limit")).alias("limit"),
-            (F.col("open") & F.col("cut").isNotNull()).alias("open"))
+            (F.col("open") & F.col("cut").isNotNull()).alias("open")), "mix-level")
     return bounds.select("source", "source_size", "target", "repeats", "limit")
 
 
@@ -106,7 +107,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS,
         position(F.col("doc_id")).alias("position")), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     budgets = keep_table(targets(sizes, weights, max_repeats), "mix-targets")
-    return sized, keep_table(thresholds(sized, budgets, max_repeats), "mix-bounds")
+    return sized, thresholds(sized, budgets, max_repeats)
 
 
 def with_repeats(rows: DataFrame, bounds: DataFrame) -> DataFrame:

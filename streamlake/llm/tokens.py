@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamlake.llm import rans
-from streamlake.llm.common import keep_table
+from streamlake.llm.common import fetched, keep_table
 from streamlake.session import run_dir
 
 END_ID = 1
@@ -133,8 +133,8 @@ def encoder(path: str, cached_pieces: int = CACHED_PIECES) -> PieceEncoder:
     return _ENCODERS[key]
 
 
-def _portions(texts: list[str | None], most: int = 4 << 20) -> Iterator[list[str | None]]:
-    """Runs of texts of some million characters, so that working arrays stay small."""
+def _portions(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str | None]]:
+    """Runs of texts of about a million characters, so that working arrays stay small."""
     held, size = [], 0
     for text in texts:
         held.append(text)
@@ -156,7 +156,13 @@ def pack(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
     and, in one more row for each task (all else null), how often each id occurs there. A null text
     counts as empty; a null id stays null."""
     def packed(batches):
-        gc.disable()  # lists of millions of strings, but no cycles
+        gc.disable()  # lists of many strings, but no cycles
+        try:
+            yield from _packed(batches)
+        finally:
+            gc.enable()
+
+    def _packed(batches):
         coder = encoder(path)
         kind = packed_kind(coder.vocabulary, end_id)
         end = np.array([] if end_id is None else [end_id], dtype=kind)
@@ -214,7 +220,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = END_ID,
     """
     spark = docs.sparkSession
     packed = keep_table(pack(docs, tokenizer_path, end_id), "tokens-packed")
-    counts = symbol_counts(packed).orderBy("symbol").toPandas()
+    counts = fetched(symbol_counts(packed).orderBy("symbol"))
     symbols = counts["symbol"].to_numpy(dtype=np.uint32)
     freq = rans.scaled(counts["n"].to_numpy())
     out = run_dir(spark, "tokens")
