@@ -49,6 +49,42 @@ def relation_privileges(relations: DataFrame, policy: Policy) -> DataFrame:
         "p.role", "p.privilege", "schema_name", "table_name")
 
 
+# What all privileges of a kind of object are, and who is granted what on the objects of
+# a database that exist at grant time; later tables follow ``DEFAULT_GRANTS``, later objects of other
+# kinds are granted to nobody.
+ALL_PRIVILEGES = {
+    "table": (*PRIVILEGES, "truncate", "references", "trigger"),
+    "sequence": ("usage", "select", "update"), "schema": ("usage", "create"),
+    "database": ("create", "connect", "temporary")}
+OBJECT_GRANTS = {
+    "table": {"analysts": ("select",), "engineers": ("all",), "admins": ("all",)},
+    "sequence": {"engineers": ("all",), "admins": ("all",)},
+    "schema": {role: ("usage",) for role in ("analysts", "engineers", "admins")},
+    "database": {"analysts": ("connect",), "engineers": ("connect",), "admins": ("connect", "all")}}
+LATER_TABLES = {"engineers": ("all",), "admins": ("all",)}
+
+
+def object_privileges(objects: DataFrame, policy: Policy) -> DataFrame:
+    """Privileges on any object ``(kind, name, is_new, is_pii)`` of a database, with all privileges of a
+    kind spelled out; decided in the row. An unknown kind fails."""
+    def held(kind: str, granted: dict, revoked: dict | None = None) -> Column:
+        spelled = {role: [p for q in privileges for p in (ALL_PRIVILEGES[kind] if q == "all" else (q,))]
+                   for role, privileges in granted.items()}
+        return held_privileges(spelled, revoked or {}, policy)
+
+    kind, nobody = F.col("kind"), F.array().cast("array<struct<role:string,privilege:string>>")
+    rows = F.when(kind == "table", F.when(F.col("is_new"), held("table", LATER_TABLES))
+                  .when(F.col("is_pii"), held("table", OBJECT_GRANTS["table"], PII_REVOKES))
+                  .otherwise(held("table", OBJECT_GRANTS["table"])))
+    for other in ("sequence", "schema", "database"):
+        rows = rows.when(kind == other, F.when(F.col("is_new"), nobody).otherwise(
+            held(other, OBJECT_GRANTS[other])))
+    rows = rows.otherwise(F.raise_error(F.concat(F.lit("unknown kind of object: "),
+                                                 F.coalesce(kind, F.lit("null"))))
+                          .cast("array<struct<role:string,privilege:string>>"))
+    return objects.select(F.explode(rows).alias("p"), "kind", "name").select("p.*", "kind", "name")
+
+
 def privilege_lists(effective: DataFrame) -> DataFrame:
     """One row per role and relation with its privileges in their customary order. They are
     gathered as bits, which a hash aggregate combines ahead of the shuffle."""

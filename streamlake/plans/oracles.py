@@ -433,6 +433,23 @@ SELECT DISTINCT group_name, effective_role FROM teams JOIN reach USING (role)"""
 SELECT role, schema_name, table_name, CASE WHEN role = 'analysts' THEN 'select'
        ELSE 'select, insert, update, delete' END AS privileges
 FROM effective GROUP BY role, schema_name, table_name""",
+    "object_privileges": """WITH objects AS (
+  SELECT (['table', 'sequence', 'schema', 'database'])[p_partkey % 4 + 1] AS kind, p_partkey,
+         p_partkey % 5 = 0 AS is_new, p_size > 40 AS is_pii
+  FROM part),
+spelled(kind, privilege) AS (VALUES
+  ('table', 'select'), ('table', 'insert'), ('table', 'update'), ('table', 'delete'), ('table', 'truncate'),
+  ('table', 'references'), ('table', 'trigger'), ('sequence', 'usage'), ('sequence', 'select'),
+  ('sequence', 'update'), ('schema', 'usage'), ('schema', 'create'), ('database', 'create'),
+  ('database', 'connect'), ('database', 'temporary')),
+roles(role) AS (VALUES ('analysts'), ('engineers'), ('admins'))
+SELECT role, privilege, kind, kind || '_' || p_partkey AS name
+FROM objects JOIN spelled USING (kind), roles
+WHERE CASE kind
+  WHEN 'table' THEN role <> 'analysts' OR (privilege = 'select' AND NOT is_new AND NOT is_pii)
+  WHEN 'sequence' THEN role <> 'analysts' AND NOT is_new
+  WHEN 'schema' THEN privilege = 'usage' AND NOT is_new
+  ELSE (privilege = 'connect' OR role = 'admins') AND NOT is_new END""",
     "default_deny_probe": f"""WITH {EFFECTIVE}
 SELECT schema_name, table_name,
        COALESCE(bool_or(role = 'analysts'), FALSE) AS analyst_select,

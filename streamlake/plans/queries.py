@@ -493,6 +493,11 @@ def privilege_lists(spark, sf_dir):
     return privileges.privilege_lists(effective_privileges(spark, sf_dir))
 
 
+@query
+def object_privileges(spark, sf_dir):
+    return privileges.object_privileges(derive.database_objects(load(spark, sf_dir, "part")), SHIPPED)
+
+
 @query
 def default_deny_probe(spark, sf_dir):
     relations = derive.relation_catalogue(load(spark, sf_dir, "part"))

@@ -327,6 +327,14 @@ def relation_catalogue(part: DataFrame) -> DataFrame:
         (F.col("p_partkey") % 5 == 0).alias("is_new"), (F.col("p_size") > 40).alias("is_pii"))
 
 
+def database_objects(part: DataFrame) -> DataFrame:
+    """One object per part, of the four kinds in turn."""
+    k = F.col("p_partkey")
+    kind = pick(["table", "sequence", "schema", "database"], k % 4)
+    return part.select(kind.alias("kind"), F.concat(kind, F.lit("_"), k).alias("name"),
+                       (k % 5 == 0).alias("is_new"), (F.col("p_size") > 40).alias("is_pii"))
+
+
 def lineage_edges(events: DataFrame) -> DataFrame:
     """Topic per user > job per action > table > dashboard."""
     action = F.col("event_type")

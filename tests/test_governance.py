@@ -396,6 +396,22 @@ def test_grants_and_revokes_as_tables_agree_with_the_decision_in_the_row(spark):
     assert pairs(by_tables) == pairs(privileges.relation_privileges(relations, SHIPPED))
 
 
+def test_all_privileges_are_spelled_out_by_kind(spark):
+    objects = spark.createDataFrame(
+        [("table", "t", False, True), ("sequence", "q", False, False), ("sequence", "late", True, False),
+         ("schema", "s", False, False), ("database", "d", False, False)],
+        "kind STRING, name STRING, is_new BOOLEAN, is_pii BOOLEAN")
+    held = {(r.role, r.name): set() for r in privileges.object_privileges(objects, SHIPPED).collect()}
+    for r in privileges.object_privileges(objects, SHIPPED).collect():
+        held[r.role, r.name].add(r.privilege)
+    assert ("analysts", "t") not in held and ("engineers", "late") not in held
+    assert held["engineers", "t"] == set(privileges.ALL_PRIVILEGES["table"])
+    assert held["admins", "d"] == {"create", "connect", "temporary"} and held["engineers", "d"] == {"connect"}
+    assert held["analysts", "s"] == {"usage"} and held["engineers", "q"] == {"usage", "select", "update"}
+    with pytest.raises(Exception, match="unknown kind of object: view"):
+        privileges.object_privileges(objects.withColumn("kind", F.lit("view")), SHIPPED).collect()
+
+
 def test_names_grants_and_masks_that_collide(spark):
     names = spark.createDataFrame([("Team-a",), ("team_a",), ("team-b",), ("team-b",)], "name STRING")
     assert pairs(lint.role_name_collisions(names)) == [("team_a", 2, "Team-a", "team_a")]
