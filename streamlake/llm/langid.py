@@ -4,7 +4,7 @@ Characters are lower-cased letters; everything between them is one blank. A 4-gr
 character codes in one 64-bit integer, so its hash is exact, its suffix the lower bits. The models
 of all languages share sorted arrays of these hashes; beside each hash stands its probability
 under every language. A text gets the language of the lowest cross-entropy per character. How far entropies
-of a language's own texts reach, at any length, is learned too, and bounds what is accepted.
+of a language's own texts vary, at any length, is learned too, and bounds what is accepted.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ MODEL_GRAMS = 4_000_000  # bound of the broadcast model; the most frequent grams
 CALIBRATION_ROWS = 8_000  # labelled rows that the acceptance is fitted on
 CALIBRATION_BYTES = 10_000  # a longer text is not sampled
 UNDETERMINED = "und"
-LEAST_LIMIT = 8.0  # deviations
+MOST_DEVIATIONS = 5.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -170,7 +170,6 @@ class Model:
     sharpness: float = 1.0
     centre: np.ndarray | None = None
     spread: np.ndarray | None = None  # variance = spread[0] + spread[1] / characters
-    limit: float = float("inf")
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         """Of each 4-gram's last character after the others, a column per language."""
@@ -298,13 +297,18 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
     design = np.stack([np.ones(len(off)), 1 / length], axis=1)
     fitted = np.linalg.lstsq(design * length[:, None] ** 0.5, off * length ** 0.5, rcond=None)[0]
     model.spread = np.maximum(fitted, [1e-4, 1e-2])
-    model.limit = max(LEAST_LIMIT, 1.25 * float(deviations(model, mine, length, which).max()))
     return model
 
 
-def deviations(model: Model, entropy: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:
-    return (entropy - model.centre[which]) / np.sqrt(
-        model.spread[0] + model.spread[1] / np.maximum(length, 1))
+def too_far(model: Model, entropy: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Is the text in none of the languages? Its entropy must lie nearer to that of letters drawn at random
+    than to what texts of the language have, and further off than chance allows at its length. So texts
+    of two languages, lists, and texts that hold codes or repeat themselves are accepted."""
+    if model.centre is None:
+        return np.zeros(len(entropy), bool)
+    off = entropy - model.centre[which]
+    return (off > (-model.unseen - model.centre[which]) / 2) & (off > MOST_DEVIATIONS * np.sqrt(
+        model.spread[0] + model.spread[1] / np.maximum(length, 1)))
 
 
 def posterior(entropy: np.ndarray, length: np.ndarray, sharpness: float) -> np.ndarray:
@@ -342,8 +346,8 @@ def predict(docs: DataFrame, model: Model | None, keep: str = "doc_id") -> DataF
 
     ``lang_pred`` is the learned language of the lowest cross-entropy per character, the first by name of
     equals, and ``score`` its calibrated share. A text that is null or holds no letter is ``und`` with
-    score 0, as is every text where nothing was learned. ``rejected`` are these and texts whose entropy
-    lies further out than that of any text the acceptance was fitted on. Only the text is looked at.
+    score 0, as is every text where nothing was learned. ``rejected`` are these and texts that are
+    ``too_far`` from every language. Only the text is looked at.
     """
     kind = docs.select(keep).schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -361,9 +365,7 @@ def predict(docs: DataFrame, model: Model | None, keep: str = "doc_id") -> DataF
                 some = length > 0
                 names = [learned.languages[b] if s else UNDETERMINED for b, s in zip(best, some, strict=True)]
                 score = np.where(some, posterior(entropy, length, learned.sharpness)[rows, best], 0.0)
-                rejected = ~some
-                if learned.centre is not None:
-                    rejected |= deviations(learned, entropy[rows, best], length, best) > learned.limit
+                rejected = ~some | too_far(learned, entropy[rows, best], length, best)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)],
                 [keep, "lang_pred", "score", "rejected"])
