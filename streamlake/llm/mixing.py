@@ -1,8 +1,8 @@
 """Mixing of sources to target weights by nested hash thresholds.
 
 Every document has a fixed 60-bit position, the leading digits of a digest of its id. A source takes
-its documents below a threshold on that scale, so a larger budget takes a superset of a smaller one
-and nothing is sorted. The threshold is found from sums of words by source and hash bucket; only the
+its documents below a threshold on that scale, so nothing is sorted and a larger budget takes what a
+smaller one does, but for the last few small documents that fill it up. The threshold is found from sums of words by source and hash bucket; only the
 bucket that holds the boundary is opened into finer buckets, ``LEVELS`` times.
 """
 
@@ -54,16 +54,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS,
             .select("source", "source_size", "target"))
 
 
-def thresholds(sized: DataFrame, budgets: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """``(source, source_size, target, repeats, limit)``, written: every document of the source is taken
-    ``repeats`` times, and those positioned below ``limit`` once more."""
-    epochs = F.when(F.col("source_size") > 0, F.least(
-        F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeats))).otherwise(0)
-    bounds = (budgets.withColumn("repeats", epochs.cast("long"))
-              .withColumn("rest", F.when(F.col("repeats") >= max_repeats, 0.0).otherwise(
-                  F.col("target") - F.col("repeats") * F.col("source_size")))
-              .withColumn("limit", F.lit(0).cast("long"))
-              .withColumn("open", F.col("rest") > 0))
+def _search(sized: DataFrame, bounds: DataFrame, nearest: bool) -> DataFrame:
+    """``bounds (source, rest, ...)`` with ``limit``, the position below which the documents of ``sized`` hold
+    ``rest`` words, and ``rest`` less these. The document at the limit is left out, or with ``nearest``
+    taken when that comes nearer."""
+    kept = [c for c in bounds.columns if c not in ("rest", "limit", "open")]
+    bounds = bounds.withColumn("limit", F.lit(0).cast("long")).withColumn("open", F.col("rest") > 0)
     for level in range(1, LEVELS + 1):
         shift = POSITION_BITS - LEVEL_BITS * level
         at_boundary = bounds.where("open").select(
@@ -76,7 +72,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame, max_repeats: int = MAX_REPE
         running = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
         steps = sums.withColumn("upto", running).withColumn("below", F.col("upto") - F.col("words"))
         ends = F.col("b.rest") < F.col("upto")
-        if level == LEVELS:  # the last bucket is taken where that comes nearer to the budget
+        if nearest and level == LEVELS:
             ends &= F.col("upto") - F.col("b.rest") > F.col("b.rest") - F.col("below")
         found = (bounds.alias("b").join(steps.alias("s"),
                                         F.col("b.source").eqNullSafe(F.col("s.source")), "left")
@@ -90,18 +86,39 @@ def thresholds(sized: DataFrame, budgets: DataFrame, max_repeats: int = MAX_REPE
             F.col("limit"))
         # A row per source: written, so that the plans of the levels do not pile up.
         bounds = keep_table(found.select(
-            "source", "source_size", "target", "repeats",
-            F.when(F.col("open"), F.col("rest") - F.coalesce("under", F.lit(0)))
+            *kept, F.when(F.col("open"), F.col("rest") - F.coalesce("under", F.lit(0)))
             .otherwise(F.col("rest")).alias("rest"),
             F.when(F.col("open"), limit).otherwise(F.col("limit")).alias("limit"),
             (F.col("open") & F.col("cut").isNotNull()).alias("open")), "mix-level")
-    return bounds.select("source", "source_size", "target", "repeats", "limit")
+    return bounds
+
+
+def thresholds(sized: DataFrame, budgets: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """``(source, source_size, target, repeats, limit, left, small_limit)``, written: every document of the
+    source is taken ``repeats`` times, those positioned below ``limit`` once more. What the document at
+    the limit is too large for, ``left`` words, goes by a second threshold to documents behind it that
+    are not larger: those below ``small_limit``."""
+    epochs = F.when(F.col("source_size") > 0, F.least(
+        F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeats))).otherwise(0)
+    wanted = (budgets.withColumn("repeats", epochs.cast("long"))
+              .withColumn("rest", F.when(F.col("repeats") >= max_repeats, 0.0).otherwise(
+                  F.col("target") - F.col("repeats") * F.col("source_size"))))
+    first = _search(sized, wanted, nearest=False)
+    ends = first.select(F.col("source").alias("of"), F.col("limit").alias("end"), F.col("rest").alias("left"))
+    small = (sized.join(ends, F.col("source").eqNullSafe(F.col("of")))
+             .where((F.col("position") >= F.col("end")) & (F.col("size") <= F.col("left")))
+             .select("source", "size", "position"))
+    again = first.select("source", "source_size", "target", "repeats", F.col("limit").alias("first_limit"),
+                         F.col("rest").alias("left"), "rest")
+    return _search(small, again, nearest=True).select(
+        "source", "source_size", "target", "repeats", F.col("first_limit").alias("limit"), "left",
+        F.col("limit").alias("small_limit"))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS,
          max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, DataFrame]:
-    """The sizes of ``docs (doc_id, source, text)`` and the thresholds of the sources, both written:
-    ``doc_id, source, size, position`` and ``source, source_size, target, repeats, limit``."""
+    """The sizes of ``docs (doc_id, source, text)``, ``doc_id, source, size, position``, and the thresholds
+    of the sources, both written."""
     sized = keep_table(docs.select(
         "doc_id", "source", spaced_word_count(F.col("text")).alias("size"),
         position(F.col("doc_id")).alias("position")), "mix-sizes")
@@ -110,13 +127,15 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS,
     return sized, thresholds(sized, budgets, max_repeats)
 
 
-def with_repeats(rows: DataFrame, bounds: DataFrame) -> DataFrame:
-    """``rows (source, position)`` with ``source_size, target, repeats`` of the mix."""
+def with_repeats(rows: DataFrame, bounds: DataFrame, size: Column) -> DataFrame:
+    """``rows (source, position)`` with ``source_size, target, repeats`` of the mix. ``size`` is only worked
+    out between the two limits."""
     of_source = bounds.select(F.col("source").alias("of"), "source_size", "target",
-                              F.col("repeats").alias("epochs"), "limit")
-    repeats = F.col("epochs") + F.when(F.col("position") < F.col("limit"), 1).otherwise(0)
+                              F.col("repeats").alias("epochs"), "limit", "left", "small_limit")
+    once_more = F.when(F.col("position") < F.col("limit"), 1).when(
+        F.col("position") < F.col("small_limit"), F.when(size <= F.col("left"), 1).otherwise(0)).otherwise(0)
     return rows.join(of_source, F.col("source").eqNullSafe(F.col("of"))).withColumn(
-        "repeats", repeats).drop("of", "epochs", "limit")
+        "repeats", F.col("epochs") + once_more).drop("of", "epochs", "limit", "left", "small_limit")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS,
@@ -132,7 +151,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS,
     The texts are read once; sums are combined before each shuffle, so that a source with most of
     the documents is a few rows per task, and the budgets are a row per source.
     """
-    return with_repeats(*plan(docs, weights, max_repeats)).drop("position").withColumn(
+    sized, bounds = plan(docs, weights, max_repeats)
+    return with_repeats(sized, bounds, F.col("size")).drop("position").withColumn(
         "taken", F.col("size") * F.col("repeats"))
 
 
@@ -142,6 +162,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS,
     _, bounds = plan(docs, weights, max_repeats)
     rows = docs.select(F.struct("*").alias("row"), "source",
                        position(F.col("doc_id")).alias("position"))
-    taken = with_repeats(rows, bounds).where("repeats > 0").select(
+    size = spaced_word_count(F.col("row.text"))
+    taken = with_repeats(rows, bounds, size).where("repeats > 0").select(
         "row", F.explode(F.sequence(F.lit(1).cast("long"), "repeats")).alias("copy"))
     return taken.select("row.*")

@@ -160,13 +160,35 @@ rests AS (
 steps AS (
     SELECT source, place, sum(words) OVER (PARTITION BY source ORDER BY place) AS upto, words
     FROM (SELECT source, place, sum(size) AS words FROM sized GROUP BY source, place)),
+firsts AS (
+    SELECT s.source, s.place, upto, rest FROM steps s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source
+    WHERE rest > 0 AND upto <= rest),
+filled AS (SELECT source, max(upto) AS upto FROM firsts GROUP BY source),
+lefts AS (
+    SELECT r.source, rest - coalesce(upto, 0) AS rest FROM rests r
+    LEFT JOIN filled f ON r.source IS NOT DISTINCT FROM f.source WHERE rest > 0),
+small AS (
+    SELECT d.source, d.place, sum(d.size) AS words, any_value(l.rest) AS rest
+    FROM sized d JOIN lefts l ON d.source IS NOT DISTINCT FROM l.source AND d.size <= l.rest
+    WHERE NOT EXISTS (SELECT 1 FROM firsts f
+        WHERE d.source IS NOT DISTINCT FROM f.source AND d.place = f.place)
+    GROUP BY d.source, d.place),
+small_steps AS (
+    SELECT *, sum(words) OVER (PARTITION BY source ORDER BY place) AS upto FROM small),
+seconds AS (
+    SELECT source, place, rest FROM small_steps
+    WHERE upto <= rest OR (upto - words < rest AND upto - rest <= rest - (upto - words))),
 taken AS (
-    SELECT s.source, s.place FROM steps s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source
-    WHERE rest > 0 AND (upto <= rest OR (upto - words < rest AND upto - rest <= rest - (upto - words))))
+    SELECT d.doc_id, d.source, d.place FROM sized d JOIN firsts f
+    ON d.source IS NOT DISTINCT FROM f.source AND d.place = f.place
+    UNION
+    SELECT d.doc_id, d.source, d.place FROM sized d JOIN seconds f
+    ON d.source IS NOT DISTINCT FROM f.source AND d.place = f.place AND d.size <= f.rest)
 SELECT d.doc_id, d.size, r.source_size, r.target,
     d.size * (r.repeats + CASE WHEN t.place IS NULL THEN 0 ELSE 1 END) AS taken
 FROM sized d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source
 LEFT JOIN taken t ON d.source IS NOT DISTINCT FROM t.source AND d.place = t.place
+    AND d.doc_id IS NOT DISTINCT FROM t.doc_id
 """
 
 WARC = """
