@@ -112,7 +112,7 @@ def test_mix_comes_near_its_targets(spark, sf_dir):
         by[key][1] = max(by[key][1], r["size"])
         assert r.taken % max(r["size"], 1) == 0 and r.taken <= 3 * r["size"]
     assert abs(sum(target for _, target in by) - total) < 1e-3 * total
-    assert all(abs(taken - target) <= max(longest / 20, 100) and target <= 3 * size
+    assert all(abs(taken - target) <= longest / 2 and target <= 3 * size
                for (size, target), (taken, longest) in by.items())
 
 
