@@ -244,7 +244,9 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     Texts are dealt out by ``a`` and a block of its partners, so a document with many partners is
     compared in many tasks and no text stands in one row for each of its pairs.
     """
-    wide = pairs.join(pairs.groupBy("a").count().withColumnRenamed("a", "of"), F.col("a") == F.col("of"))
+    # Written, so that the join is of two plain tables, which Spark splits where one ``a`` is hot.
+    partners = keep_table(pairs.groupBy(F.col("a").alias("of")).count(), "neardup-partners")
+    wide = pairs.join(partners, F.col("a") == F.col("of"))
     dealt = wide.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / VERIFY_BLOCK))
                         .alias("block"))
     asked = (dealt.select("a", "block", F.col("b").alias("node"), F.lit(1).alias("role"))
