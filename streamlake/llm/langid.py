@@ -3,13 +3,13 @@
 Characters are lower-cased letters; everything between them is one blank. A 4-gram is four 16-bit
 character codes in one 64-bit integer, so its hash is exact, its suffix the lower bits. The models
 of all languages share sorted arrays of these hashes; beside each hash stands its probability
-under every language. A text gets the language of the lowest cross-entropy per character. How far entropies
+under every language. Arrays of many grams are cut into parts, used one after the other. A text gets the language of the lowest cross-entropy per character. How far entropies
 of a language's own texts vary, at any length, is learned too, and bounds what is accepted.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,8 @@ BLANK = 32
 FAR_LETTER = 0xFFFF  # stands for any letter beyond the basic plane
 SEGMENT = 1 << 20  # characters worked on at once
 DENSE = 1 << 24  # grams are numbered directly while the batch's alphabet allows so many
-MODEL_GRAMS = 4_000_000  # bound of the broadcast model; the most frequent grams stay
+PART_GRAMS = 1_000_000  # about so many counted grams are fitted and broadcast as one part of the model
+HELD_PARTS = 4  # parts of the model that a process holds at once
 CALIBRATION_ROWS = 8_000  # labelled rows that the acceptance is fitted on
 CALIBRATION_BYTES = 10_000  # a longer text is not sampled
 UNDETERMINED = "und"
@@ -192,7 +193,49 @@ class Model:
         return out
 
 
+@dataclass
+class PartedModel:
+    """A model whose grams are dealt over parts by their third character, then their second: by these
+    two all grams and contexts that the last character's probability can fall back to are in one part,
+    but for single characters, which are in each. ``cuts`` are the first places of all parts but one."""
+
+    languages: list[str]
+    cuts: np.ndarray
+    parts: list  # broadcasts of a Model each
+    unseen: float
+    sharpness: float = 1.0
+    centre: np.ndarray | None = None
+    spread: np.ndarray | None = None
+    held: list[int] = field(default_factory=list)
+
+    def part(self, i: int) -> Model:
+        if i not in self.held:
+            if len(self.held) >= HELD_PARTS:
+                of = self.parts[self.held.pop(0)]
+                if of._path is not None:  # it can be read again
+                    vars(of).pop("_value", None)
+            self.held.append(i)
+        return self.parts[i].value
+
+    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
+        if len(self.parts) == 1:
+            return self.part(0).log_probabilities(keys)
+        low = np.uint64((1 << CODE_BITS) - 1)
+        second, third = (keys >> np.uint64(2 * CODE_BITS)) & low, (keys >> np.uint64(CODE_BITS)) & low
+        which = np.searchsorted(self.cuts, (third << np.uint64(CODE_BITS)) | second, side="right")
+        out = np.empty((len(keys), len(self.languages)))
+        needed = np.unique(which).tolist()
+        for i in sorted(needed, key=lambda i: i not in self.held):
+            out[which == i] = self.part(i).log_probabilities(keys[which == i])
+        return out
+
+    def __getstate__(self):
+        return {**vars(self), "held": []}
+
+
 def _rows_of(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
     return at, sorted_keys[at] == keys
 
@@ -204,8 +247,8 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     is discounted by ``n1 / (n1 + 2 n2)``, and what that frees goes to the next lower order.
     """
     languages = sorted(counts)
-    one = np.uint64(CODE_BITS)
     grams_of: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+    discounts = {}
     for lang in languages:
         keys, n = counts[lang]
         order = np.argsort(keys)
@@ -215,6 +258,19 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             kept, n = np.unique(tails, return_counts=True)
             by[k] = kept, n.astype(np.float64)
         grams_of[lang] = by
+        for k, (_, n) in by.items():
+            discounts[lang, k] = _discount(np.count_nonzero(n == 1), np.count_nonzero(n == 2))
+    return _fitted(languages, grams_of, discounts)
+
+
+def _discount(ones: int, twos: int) -> float:
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
+def _fitted(languages: list[str], grams_of: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]],
+            discounts: dict[tuple[str, int], float]) -> Model:
+    """The model of all grams, or of a part of them, by language and order: sorted hashes and counts."""
+    one = np.uint64(CODE_BITS)
     seen = {k: np.unique(np.concatenate([grams_of[x][k][0] for x in languages])) for k in range(1, ORDER + 1)}
     contexts = {k: np.unique(seen[k + 1] >> one) for k in range(ORDER)}
     alphabet = len(seen[1]) + 1
@@ -224,8 +280,7 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         lower = None
         for k in range(1, ORDER + 1):
             keys, n = grams_of[lang][k]
-            ones, twos = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
-            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+            discount = discounts[lang, k]
             at, _ = _rows_of(contexts[k - 1], keys >> one)
             total = np.bincount(at, n, len(contexts[k - 1]))
             kinds = np.bincount(at, minlength=len(contexts[k - 1]))
@@ -235,7 +290,8 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             weights[k - 1][:, column] = np.log(share)
             context, _ = _rows_of(contexts[k - 1], seen[k] >> one)
             own, there = _rows_of(keys, seen[k])
-            mass = np.where(there, np.maximum(n[own] - discount, 0), 0)
+            mass = np.zeros(len(own))
+            mass[there] = np.maximum(n[own[there]] - discount, 0)
             p = np.divide(mass, total[context], out=np.zeros(len(mass)), where=has[context])
             if k == 1:
                 below = np.full(len(p), 1 / alphabet)
@@ -247,7 +303,7 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return Model(languages, seen, known, contexts, weights, float(np.log(1 / alphabet)))
 
 
-def entropies(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
+def entropies(texts: list[str | None], model: Model | PartedModel) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy per character under each language, and the number of characters."""
     total = np.zeros((len(texts), len(model.languages)))
     length = np.zeros(len(texts), np.int64)
@@ -274,7 +330,7 @@ def entropies(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.nda
     return -total / np.maximum(length, 1)[:, None], length
 
 
-def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
+def calibrate(model: Model | PartedModel, texts: list[str], langs: list[str]) -> Model | PartedModel:
     """Fit the sharpness of scores and the acceptance on labelled texts."""
     entropy, length = entropies(texts, model)
     own = np.array([model.languages.index(x) for x in langs])
@@ -300,7 +356,7 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
     return model
 
 
-def too_far(model: Model, entropy: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:
+def too_far(model: Model | PartedModel, entropy: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Is the text in none of the languages? Its entropy must lie nearer to that of letters drawn at random
     than to what texts of the language have, and further off than chance allows at its length. So texts
     of two languages, lists, and texts that hold codes or repeat themselves are accepted."""
@@ -320,28 +376,73 @@ def posterior(entropy: np.ndarray, length: np.ndarray, sharpness: float) -> np.n
     return share / share.sum(axis=1, keepdims=True)
 
 
-def train(docs: DataFrame) -> Model | None:
+def fit_table(counts: DataFrame) -> PartedModel | None:
+    """``fit`` over all rows of ``counts (lang, gram, n)``, None if there are none. The counts of every order
+    stay in Spark; the driver fits and sends one part after the other."""
+    spark = counts.sparkSession
+    total = counts.count()
+    if not total:
+        return None
+    code = (1 << CODE_BITS) - 1
+    orders = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):
+        tails = F.col("gram").bitwiseAND(F.lit((1 << (CODE_BITS * k)) - 1))
+        orders[k] = keep_table(orders[k + 1].groupBy("lang", tails.alias("gram")).agg(
+            F.count(F.lit(1)).alias("n")), "langid-grams")
+    discounts = {}
+    for k, table in orders.items():
+        for r in table.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"),
+                                           F.count_if(F.col("n") == 2).alias("twos")).collect():
+            discounts[r["lang"], k] = _discount(r["ones"], r["twos"])
+    languages = sorted({lang for lang, _ in discounts})
+    third = F.shiftright("gram", CODE_BITS).bitwiseAND(F.lit(code))
+    second = F.shiftright("gram", 2 * CODE_BITS).bitwiseAND(F.lit(code))
+    place = F.shiftleft(third, CODE_BITS).bitwiseOR(second)
+    wanted = -(-total // PART_GRAMS)
+    cuts: list[int] = []
+    if wanted > 1:
+        shares = [i / wanted for i in range(1, wanted)]
+        cuts = sorted(set(counts.select(F.percentile_approx(place, shares, max(10_000, 100 * wanted))).first()[0]))
+
+    def by_language(table: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        out = {}
+        for lang, rows in fetched(table.select("lang", "gram", "n")).groupby("lang"):
+            keys = rows["gram"].to_numpy().view(np.uint64)
+            order = np.argsort(keys)
+            out[lang] = keys[order], rows["n"].to_numpy()[order].astype(np.float64)
+        return out
+
+    none = np.zeros(0, np.uint64), np.zeros(0)
+    single = by_language(orders[1])
+    alphabet = len(np.unique(np.concatenate([keys for keys, _ in single.values()]))) + 1
+    parts = []
+    for begin, end in zip([None, *cuts], [*cuts, None], strict=True):
+        own = F.lit(True) if begin is None else place >= begin
+        own &= F.lit(True) if end is None else place < end
+        # Pairs go with their first character, which several parts may share.
+        pair = F.lit(True) if begin is None else third >= begin >> CODE_BITS
+        pair &= F.lit(True) if end is None else third <= (end - 1) >> CODE_BITS
+        found = {k: by_language(orders[k].where(pair if k == 2 else own)) for k in range(2, ORDER + 1)} | {1: single}
+        parts.append(spark.sparkContext.broadcast(_fitted(
+            languages, {x: {k: found[k].get(x, none) for k in found} for x in languages}, discounts)))
+    return PartedModel(languages, np.array(cuts, np.uint64), parts, float(np.log(1 / alphabet)))
+
+
+def train(docs: DataFrame) -> PartedModel | None:
     """Models of the languages of ``docs (doc_id, text, lang)``, from the texts of labelled rows that are
-    not held out; None if there are none. Grams are counted over all of these rows."""
+    not held out; None if there are none. Grams are counted over all of these rows, and all are kept."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
                           & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = keep_table(gram_counts(labelled), "langid-grams")
-    total = counts.count()
-    if not total:
+    model = fit_table(keep_table(gram_counts(labelled), "langid-grams"))
+    if model is None:
         return None
-    if total > MODEL_GRAMS:
-        counts = counts.orderBy(F.desc("n"), "lang", "gram").limit(MODEL_GRAMS)
-    table = fetched(counts)
-    model = fit({lang: (part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy())
-                 for lang, part in table.groupby("lang")})
-    del table
     short = labelled.where(F.octet_length("text") <= CALIBRATION_BYTES)
     sample = fetched(sample_of(short, CALIBRATION_ROWS, F.col("doc_id")).select("text", "lang"))
     sample = sample[sample["lang"].isin(model.languages)]
     return calibrate(model, sample["text"].tolist(), sample["lang"].tolist())
 
 
-def predict(docs: DataFrame, model: Model | None, keep: str = "doc_id") -> DataFrame:
+def predict(docs: DataFrame, model: PartedModel | None, keep: str = "doc_id") -> DataFrame:
     """Language of ``docs (text)``: ``keep`` (a column passed on), ``lang_pred, score, rejected``.
 
     ``lang_pred`` is the learned language of the lowest cross-entropy per character, the first by name of
@@ -350,10 +451,9 @@ def predict(docs: DataFrame, model: Model | None, keep: str = "doc_id") -> DataF
     ``too_far`` from every language. Only the text is looked at.
     """
     kind = docs.select(keep).schema[0].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judged(batches):
-        learned = shared.value
+        learned = model
         for batch in batches:
             texts = batch.column(1).to_pylist()
             names, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))

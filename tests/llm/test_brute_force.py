@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from streamlake.llm import decontaminate, embeddings, langid, mixing, neardup, rans, tokens
 from streamlake.llm.components import components
@@ -220,3 +221,23 @@ def test_budgets_share_out_everything(spark):
         target |= {s: 3.0 * size[s] for s in over}
         left -= sum(3.0 * size[s] for s in over)
     assert got == pytest.approx(target)
+
+
+def test_language_model_of_several_parts_keeps_every_gram(spark, monkeypatch):
+    for name in ("MODEL_GRAMS", "PART_GRAMS"):
+        monkeypatch.setattr(langid, name, 10, raising=False)
+    many = ["the cat sat on the mat and looked at the dog", "der hund und die katze sitzen auf der matte"]
+    rows = [(i, many[i % 2], ("en", "de")[i % 2]) for i in range(60)] + [
+        (i, "\u4eca\u5929\u5929\u6c14\u5f88\u597d \U00020000", "zh") for i in range(60, 64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == ["de", "en", "zh"]
+    counted = langid.gram_counts(docs.where(~langid.held_out(F.col("doc_id")))).toPandas()
+    whole = langid.fit({lang: (part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy())
+                        for lang, part in counted.groupby("lang")})
+    texts = [*many, rows[-1][1], "xyz \u5929\u6c14 mat \u0436\u0443\u043a", "q", "", None]
+    got, length = langid.entropies(texts, model)
+    expected, _ = langid.entropies(texts, whole)
+    assert np.allclose(got, expected, rtol=0, atol=1e-12) and len(model.parts) > langid.HELD_PARTS
+    told = langid.predict(docs.repartition(3), model).collect()
+    assert {(r.doc_id, r.lang_pred) for r in told} == {(i, lang) for i, _, lang in rows}
