@@ -16,10 +16,13 @@ PLAN = "folder string, path string, bytes bigint, rewrite_group bigint"
 def data_files(spark: SparkSession, path: str) -> DataFrame:
     """``(folder, path, bytes)`` of the Parquet files of a table, from the file system's listing; no
     file is opened. ``folder`` tells the partitions of a partitioned table apart."""
-    listed = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-              .option("recursiveFileLookup", "true").load(path))
-    return listed.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "path",
-                         F.col("length").alias("bytes"))
+    return _listing(spark, path).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "path",
+                                        F.col("length").alias("bytes"))
+
+
+def _listing(spark: SparkSession, path: str) -> DataFrame:
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+            .option("recursiveFileLookup", "true").load(path))
 
 
 def compaction_plan(files: DataFrame, small_bytes: int = SMALL_FILE_BYTES,
@@ -57,7 +60,9 @@ def compact(spark: SparkSession, source: str, destination: str, small_bytes: int
     the table's partitioning, and return the plan that was carried out. Nothing of the source is
     changed; ``compacted`` reads its other files together with the merged ones.
 
-    Only rows of planned files are read and moved, once, to the task of their group.
+    Only rows of planned files are read and moved, once, to the task of their group. A row knows its file
+    in Spark's encoded spelling, which the listing gives beside the plain path. Fails if the merged
+    files do not hold as many rows as the planned ones.
     """
     path = run_dir(spark, "compaction-plan")
     compaction_plan(data_files(spark, source), small_bytes, target_bytes).write.parquet(path)
@@ -66,12 +71,16 @@ def compact(spark: SparkSession, source: str, destination: str, small_bytes: int
     if planned:
         rows = spark.read.option("basePath", source).parquet(*planned)
         columns, place = rows.columns, F.col("_metadata.file_path")
-        groups = plan.select("path", "folder", "rewrite_group")
+        spelt = _listing(spark, source).select("path", F.col("_metadata.file_path").alias("_spelt"))
+        groups = plan.join(spelt, "path").select("_spelt", "folder", "rewrite_group")
         split = _partition_columns(spark, source, rows)
         merged = (rows.select("*", place.alias("_path"))
-                  .join(groups, F.col("_path") == F.col("path"))
+                  .join(groups, F.col("_path") == F.col("_spelt"))
                   .repartition("folder", "rewrite_group").select(*columns))
         merged.write.partitionBy(*split).parquet(destination)
+        wanted, written = rows.count(), spark.read.parquet(destination).count()
+        if written != wanted:
+            raise RuntimeError(f"{written} rows merged into {destination}, {wanted} planned from {source}")
     return plan
 
 

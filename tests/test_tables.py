@@ -116,6 +116,16 @@ def test_small_files_are_merged_within_their_partition(spark, tmp_path):
     assert {p: p.stat().st_mtime_ns for p in parquet_files(source)} == before
 
 
+def test_folders_and_paths_of_any_spelling_are_merged_whole(spark, tmp_path):
+    source, out = tmp_path / "a table 100%25 é", tmp_path / "big ones"
+    values = ["plain", "New York", "é", "a:b", "50%", "2024-01-01 10:00:00", None]
+    rows = spark.createDataFrame([(i, v) for v in values for i in range(40)], "id long, c string")
+    rows.repartition(4).write.partitionBy("c").parquet(str(source))
+    plan = maintenance.compact(spark, str(source), str(out))
+    assert plan.count() == len(parquet_files(source)) > len(parquet_files(out)) == len(values)
+    assert same(rows, maintenance.compacted(spark, str(source), str(out), plan))
+
+
 def test_large_and_lone_files_are_left_alone(spark, tmp_path):
     source, out = tmp_path / "mixed", tmp_path / "merged"
     rows = spark.range(60000).withColumn("v", F.rand(1))
