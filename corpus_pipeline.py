@@ -6,7 +6,7 @@ Between the stages the documents are Parquet below the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamlake.llm import decontaminate, langid, mixing, neardup, tokens
@@ -23,26 +23,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest id; of several rows with
-    that id, the one whose text has the smallest hash. Rows without an id stay."""
+    """One document of each class of near-duplicates, the one with the smallest id, one without id last. Rows are
+    told apart by id and text, so texts of a repeated id are judged each for itself. Texts without
+    words are nobody's duplicate and stay."""
     prepare(spark)
-    chosen = keep_table(neardup.classes(docs).where("kept AND doc_id IS NOT NULL")
-                        .select(F.col("doc_id").alias("chosen")).distinct(), "pipeline-chosen")
-    turn = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row.text")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
-    first = (rows.join(chosen, F.col("id") == F.col("chosen"), "left_semi")
-             .withColumn("turn", turn).where("turn = 1").select("row.*"))
-    return first.unionByName(docs.where("doc_id IS NULL"))
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+    named = keep_table(
+        neardup.classes(docs.select(key.alias("doc_id"), "text"))
+        .groupBy(F.col("doc_id").alias("of"), "component_id")
+        .agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")), "pipeline-classes")
+    ids = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("id")).distinct()
+    first = (named.where("n > 0").join(ids, F.col("of") == F.col("key")).groupBy("component_id")
+             .agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key", "copies")).alias("first")))
+    chosen = keep_table(first.select(F.col("first.key").alias("of"), F.col("first.copies").alias("copies"))
+                        .union(named.where("n = 0").select("of", F.lit(1).cast("long"))), "pipeline-chosen")
+    rows = docs.select(key.alias("key"), F.struct("*").alias("row"))
+
+    def those(condition: str) -> DataFrame:
+        return rows.join(chosen.where(condition).select("of"), F.col("key") == F.col("of"), "left_semi")
+
+    # Only rows that are there several times are brought together, one of each task.
+    once = those("copies > 1").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return those("copies = 1").select("row.*").unionByName(once.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Rows are told apart by id and text."""
     prepare(spark)
-    found = decontaminate.find(docs, load(spark, sf_dir, "benchmark"))
+    key = F.struct("doc_id", F.xxhash64("text").alias("text"))
+    found = decontaminate.find(docs.select(key.alias("doc_id"), "text"), load(spark, sf_dir, "benchmark"))
     hit = keep_table(found.where("n_hit > 0").select(F.col("doc_id").alias("hit")).distinct(),
                      "pipeline-contaminated")
-    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
-    return rows.join(hit, F.col("id").eqNullSafe(F.col("hit")), "left_anti").select("row.*")
+    rows = docs.select(key.alias("key"), F.struct("*").alias("row"))
+    return rows.join(hit, F.col("key") == F.col("hit"), "left_anti").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

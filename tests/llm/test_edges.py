@@ -19,6 +19,7 @@ from streamlake.llm import (
     warc,
 )
 from streamlake.llm.queries import vocabulary
+from streamlake.sources.tables import load
 
 # Names the operators use inside, as further columns of the input.
 CLASHING = ["text_key", "words", "hash", "at", "around", "of_doc", "copies", "node", "key", "label", "d1", "d2",
@@ -196,3 +197,24 @@ def test_pipeline_stages(spark, docs, empty, sf_dir):
                 assert out.columns == table.columns
                 rows = out
             out.collect()
+
+
+def decided(df):
+    return sorted(((r.doc_id or 0, r.text or "", r.source) for r in df.collect()))
+
+
+def test_pipeline_decides_rows_not_ids(spark, sf_dir):
+    passage = load(spark, sf_dir, "benchmark").where("size(split(text, ' ')) >= 10").first().text
+    clean, other = (" ".join(f"{w}{i}" for i in range(60)) for w in ("word", "other"))
+    docs = spark.createDataFrame(
+        [(None, passage, "a"), (None, clean, "a"), (7, passage, "a"), (7, other, "a"), (None, other, "b"), (8, None, "a"),
+         (None, None, "a")], "doc_id long, text string, source string")
+    assert decided(corpus_pipeline.decontamination(spark, docs, sf_dir)) == sorted(
+        [(0, clean, "a"), (7, other, "a"), (0, other, "b"), (8, "", "a"), (0, "", "a")])
+    third = " ".join(f"third{i}" for i in range(60))
+    docs = spark.createDataFrame(
+        [(5, clean, "a"), (5, other, "a"), (6, clean + " more", "a"), (None, other, "a"), (None, third, "a"),
+         (None, third, "a"), (9, "", "a"), (None, None, "a"), (None, None, "a"), (4, other + " more", "a")],
+        "doc_id long, text string, source string")
+    assert decided(corpus_pipeline.near_duplicates(spark, docs, sf_dir)) == sorted(
+        [(5, clean, "a"), (4, other + " more", "a"), (0, third, "a"), (9, "", "a"), (0, "", "a"), (0, "", "a")])
