@@ -16,6 +16,7 @@ from streamlake.llm import (
     sharding,
     tokens,
     warc,
+    whitening,
 )
 from streamlake.llm.common import prepare
 from streamlake.sources.tables import load
@@ -113,6 +114,13 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, tokens.write(load(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every usable vector on the 16 leading components."""
+    prepare(spark)
+    return whitening.whiten(load(spark, sf_dir, "embeddings")).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES = {"op1_extract": op1_extract, "op6_licenses": op6_licenses, "op2_langid": op2_langid, "op4_decontaminate": op4_decontaminate, "op5_neardup": op5_neardup,
            "op3_warc": op3_warc, "op7_mixing": op7_mixing, "op8_embeddings": op8_embeddings, "op9_sharding": op9_sharding,
-           "op10_tokens": op10_tokens}
+           "op10_tokens": op10_tokens, "op11_whitening": op11_whitening}
