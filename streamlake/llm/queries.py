@@ -14,6 +14,7 @@ from streamlake.llm import (
     mixing,
     neardup,
     sharding,
+    spelling,
     tokens,
     warc,
     whitening,
@@ -121,6 +122,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of every word of all documents, with their forms and roots."""
+    prepare(spark)
+    return spelling.variants(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_extract": op1_extract, "op6_licenses": op6_licenses, "op2_langid": op2_langid, "op4_decontaminate": op4_decontaminate, "op5_neardup": op5_neardup,
            "op3_warc": op3_warc, "op7_mixing": op7_mixing, "op8_embeddings": op8_embeddings, "op9_sharding": op9_sharding,
-           "op10_tokens": op10_tokens, "op11_whitening": op11_whitening}
+           "op10_tokens": op10_tokens, "op11_whitening": op11_whitening,
+           "op13_spelling": op13_spelling}
