@@ -16,6 +16,7 @@ from streamlake.llm import (
     sharding,
     spelling,
     tokens,
+    toxicity,
     warc,
     whitening,
 )
