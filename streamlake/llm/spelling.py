@@ -22,6 +22,7 @@ so following them always ends. Other input columns, whatever their names, are ig
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ SHORTEST = 5
 LEAST_COUNT = 3
 FORM_FACTOR = 2
 
-GROUPS = 6  # letter groups, by code point modulo GROUPS; the trie's levels in this order
+GROUPS = 8  # letter groups, by code point modulo GROUPS; the trie's levels in this order
 TOP_LEVELS = 2  # levels that choose the subtree a task searches
 BLOCK = 20_000  # members, and queries, of one task at most
 LETTERS = [chr(c) for c in range(ord("a"), ord("z") + 1)] + [chr(c) for c in range(0xC0, 0x100)]
@@ -100,31 +101,60 @@ def one_edit(a: str, b: str) -> bool:
     return short[i:] == long_[i + 1:]
 
 
+def _codes(words: list[str]) -> np.ndarray:
+    """Words of one length as a matrix of code points (all letters of ``RUN`` lie below 256)."""
+    return np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), -1)
+
+
+def _one_edit_pairs(queries: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """``(i, j)`` of the queries and members one edit apart, all queries of one length and all members
+    of one length: one replacement when the lengths agree, else one insertion or deletion (the shorter
+    word is the longer's first ``p`` and last ``s`` code points with ``p + s`` at least its length)."""
+    short_q = queries.shape[1] <= members.shape[1]
+    short, long_ = (queries, members) if short_q else (members, queries)
+    if short.shape[1] == long_.shape[1]:
+        differ = (short[:, None, :] != long_[None, :, :]).sum(axis=2)
+        return np.argwhere(differ == 1)
+    n = short.shape[1]
+    head = np.logical_and.accumulate(short[:, None, :] == long_[None, :, :n], axis=2).sum(axis=2)
+    tail = np.logical_and.accumulate((short[:, None, :] == long_[None, :, 1:])[:, :, ::-1], axis=2).sum(axis=2)
+    found = np.argwhere(head + tail >= n)
+    return found if short_q else found[:, ::-1]
+
+
 def _search(block: pa.RecordBatch) -> tuple[list[str], list[str]]:
     """Members form a trie over the levels below the top ones; each query searches it depth first,
-    spending what is left of its surplus and deficit budget, and verifies the words at the leaves."""
+    spending what is left of its surplus and deficit budget, and verifies the words at the leaves.
+    Queries of one count vector and budget share one search, and are verified together against each
+    leaf reached (words of one vector have one length)."""
     rows = block.select(["word", "counts", "role", "surplus", "deficit"]).to_pydict()
     role = rows["role"]
-    members = [(w, c) for w, c, r in zip(rows["word"], rows["counts"], role) if r == 0]
-    queries = [(w, c, s, d) for w, c, s, d, r in zip(rows["word"], rows["counts"], rows["surplus"],
-                                                     rows["deficit"], role) if r == 1]
     trie: dict = {}
-    for word, counts in members:
-        node = trie
-        for c in counts[TOP_LEVELS:]:
-            node = node.setdefault(int(c), {})
-        node.setdefault("", []).append(word)
+    for word, counts, r in zip(rows["word"], rows["counts"], role):
+        if r == 0:
+            node = trie
+            for c in counts[TOP_LEVELS:]:
+                node = node.setdefault(int(c), {})
+            node.setdefault("", []).append(word)
+    alike: dict[tuple, list[str]] = {}
+    for word, counts, surplus, deficit, r in zip(rows["word"], rows["counts"], rows["surplus"],
+                                                 rows["deficit"], role):
+        if r == 1:
+            alike.setdefault((tuple(counts[TOP_LEVELS:]), surplus, deficit), []).append(word)
+    codes: dict[int, np.ndarray] = {}
     found_word, found_near = [], []
-    for word, counts, surplus, deficit in queries:
-        levels = [int(c) for c in counts[TOP_LEVELS:]]
+    for (levels, surplus, deficit), words in alike.items():
+        asked = _codes(words)
         stack = [(trie, 0, 1 - int(surplus), 1 - int(deficit))]
         while stack:
             node, level, more, less = stack.pop()
             if level == len(levels):
-                for near in node.get("", ()):
-                    if one_edit(word, near):
-                        found_word.append(word)
-                        found_near.append(near)
+                leaf = node.get("", ())
+                if id(leaf) not in codes:
+                    codes[id(leaf)] = _codes(leaf)
+                for i, j in _one_edit_pairs(asked, codes[id(leaf)]):
+                    found_word.append(words[i])
+                    found_near.append(leaf[j])
                 continue
             own = levels[level]
             for step, spends_more, spends_less in ((0, 0, 0), (1, 1, 0), (-1, 0, 1)):
