@@ -26,7 +26,7 @@ def engine(sf_dir):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) < set(entry.queries()) and entry.queries()["pipeline"] is corpus_pipeline.run
     assert set(ORACLES) < set(entry.oracle_sql())
 
