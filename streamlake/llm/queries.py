@@ -123,6 +123,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of those not held out."""
+    prepare(spark)
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.train(docs, load(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("text", F.struct("doc_id").alias("row")), model)
+    return scored.select("row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"),
+                         "score", "predicted")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants of every word of all documents, with their forms and roots."""
     prepare(spark)
@@ -131,5 +141,5 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_extract": op1_extract, "op6_licenses": op6_licenses, "op2_langid": op2_langid, "op4_decontaminate": op4_decontaminate, "op5_neardup": op5_neardup,
            "op3_warc": op3_warc, "op7_mixing": op7_mixing, "op8_embeddings": op8_embeddings, "op9_sharding": op9_sharding,
-           "op10_tokens": op10_tokens, "op11_whitening": op11_whitening,
+           "op10_tokens": op10_tokens, "op11_whitening": op11_whitening, "op12_toxicity": op12_toxicity,
            "op13_spelling": op13_spelling}
