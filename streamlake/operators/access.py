@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from streamlake.functions.masks import apply_masks
+from streamlake.operators import asof
 from streamlake.functions.rowfilter import to_column
 from streamlake.policy import TEXT, TEXTS, Policy, small_frame
 
@@ -62,11 +63,12 @@ def has_group(groups: Column, name: str) -> Column:
 # --- deny-override decisions ---------------------------------------------------------------
 
 def decide_deny(requests: DataFrame, write_operations: list[str] | None = None,
-                plural_groups: bool = False) -> DataFrame:
+                plural_groups: bool = False, protected: Column | None = None) -> DataFrame:
     """Query-engine requests: allowed unless a deny rule holds. A row-wise expression, no shuffle.
 
     ``write_operations`` may extend the shipped list, which has no ``UpdateTableColumns``;
-    ``plural_groups`` also recognises ``analysts``, ``engineers`` and ``admins``.
+    ``plural_groups`` also recognises ``analysts``, ``engineers`` and ``admins``; ``protected`` says
+    which requests touch personal data (by default: those on the ``customers`` table).
     """
     user, groups = F.col(_IDENTITY + "user"), F.col(_IDENTITY + "groups")
 
@@ -75,8 +77,9 @@ def decide_deny(requests: DataFrame, write_operations: list[str] | None = None,
         return member | has_group(groups, name + "s") if plural_groups else member
 
     analyst, engineer, admin = is_a("analyst"), is_a("engineer"), is_a("admin")
-    customers = (yes(F.col(_RESOURCE + "table.tableName") == "customers")
-                 | yes(F.col(_RESOURCE + "column.tableName") == "customers"))
+    customers = yes(protected) if protected is not None else (
+        yes(F.col(_RESOURCE + "table.tableName") == "customers")
+        | yes(F.col(_RESOURCE + "column.tableName") == "customers"))
     system = (yes(F.col(_RESOURCE + "table.catalogName") == "system")
               | yes(F.col(_RESOURCE + "catalog.name") == "system")
               | yes(F.col(_RESOURCE + "schema.catalogName") == "system")
@@ -92,6 +95,25 @@ def decide_deny(requests: DataFrame, write_operations: list[str] | None = None,
         | F.col("deny_engineer_system") | F.col("deny_unknown_pii")))
 
 
+def named_table(requests: DataFrame) -> Column:
+    return F.coalesce(F.col(_RESOURCE + "table.tableName"), F.col(_RESOURCE + "column.tableName"))
+
+
+def decide_in_force(requests: DataFrame, changes: DataFrame, range_rows: int = asof.RANGE_ROWS) -> DataFrame:
+    """Deny-override decisions by the policy in force when each request was made.
+
+    ``changes`` is a log of ``version, ts, table_name, protected``: from its time on, a change decides
+    whether requests on its table touch personal data. A table without a change before a request keeps
+    the shipped rule (only ``customers`` is protected). Adds ``table_name``, the struct ``policy`` (the
+    change in force, or null) and ``protected``; the decision columns are those of ``decide_deny``.
+    """
+    named = requests.withColumn("table_name", named_table(requests))
+    joined = asof.last_before(named, changes.select("version", "ts", "table_name", "protected"),
+                              "table_name", "ts", "ts", "version", "policy", range_rows)
+    protected = F.coalesce(F.col("policy.protected"), F.col("table_name") == "customers", F.lit(False))
+    return decide_deny(joined.withColumn("protected", protected), protected=F.col("protected"))
+
+
 def decide_topic(requests: DataFrame, account_prefix: str = "svc-") -> DataFrame:
     """Broker requests: allowed unless an analyst asks for a restricted operation."""
     name = F.col("requestContext.principal.name")

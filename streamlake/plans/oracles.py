@@ -366,6 +366,32 @@ FROM shop_customers""",
 SELECT request_id, operation, deny_analyst_pii, deny_analyst_write, deny_engineer_system,
        deny_unknown_pii, NOT {DENIED} AS allowed
 FROM decisions""",
+    "decisions_as_of_policy": f"""WITH {DECISIONS},
+changes AS (
+  SELECT event_id AS version, ts, (['customers', 'orders', 'events_enriched', 'customers_v2'])
+         [(event_id // 50) % 4 + 1] AS table_name, (event_id // 50) % 3 <> 0 AS protected
+  FROM events WHERE event_id % 50 = 0),
+named AS (
+  SELECT *, CASE WHEN shape IN ('table', 'column') THEN named_table END AS table_name FROM flags),
+tagged AS (
+  SELECT request_id, table_name, ts, 1 AS kind, NULL::BIGINT AS version FROM named
+  UNION ALL
+  SELECT NULL, table_name, ts, 0, version FROM changes),
+carried AS (
+  SELECT request_id, last_value(version IGNORE NULLS) OVER (
+           PARTITION BY table_name ORDER BY ts, kind, version
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS policy_version
+  FROM tagged WHERE kind = 1 OR (table_name IS NOT NULL AND ts IS NOT NULL)),
+judged AS (
+  SELECT n.*, c.policy_version,
+         coalesce(p.protected, n.table_name = 'customers', FALSE) AS prot
+  FROM named n JOIN carried c USING (request_id)
+  LEFT JOIN changes p ON p.version = c.policy_version AND n.table_name IS NOT NULL AND n.ts IS NOT NULL)
+SELECT request_id, table_name, CASE WHEN table_name IS NOT NULL AND ts IS NOT NULL THEN policy_version END
+       AS policy_version, prot AS protected,
+       NOT ((analyst AND prot) OR (analyst AND write) OR (engineer AND system AND write)
+            OR (NOT (analyst OR engineer OR admin) AND prot)) AS allowed
+FROM judged""",
     "authz_topic_decide": f"""WITH {TOPIC_REQUESTS}
 SELECT request_id, operation, NOT (role = 'analyst' AND operation IN
        ('Write', 'Delete', 'Alter', 'AlterConfigs', 'Create')) AS allowed

@@ -407,6 +407,15 @@ def authz_decide_deny(spark, sf_dir):
         "deny_analyst_write", "deny_engineer_system", "deny_unknown_pii", "allowed")
 
 
+@query
+def decisions_as_of_policy(spark, sf_dir):
+    """Every request decided by the table policy in force at its time."""
+    events = load(spark, sf_dir, "events")
+    decided = access.decide_in_force(derive.access_requests(events, False), derive.policy_changes(events))
+    return decided.select("request_id", "table_name", F.col("policy.version").alias("policy_version"),
+                          "protected", "allowed")
+
+
 @query
 def authz_topic_decide(spark, sf_dir):
     return access.decide_topic(derive.topic_requests(load(spark, sf_dir, "events"))).select(

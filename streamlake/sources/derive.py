@@ -167,6 +167,19 @@ def access_requests(events: DataFrame, plural: bool) -> DataFrame:
         F.struct(operation.alias("operation"), resource.alias("resource")).alias("action"))
 
 
+POLICY_EVERY = 50  # every 50th event is also a change of one table's policy
+
+
+def policy_changes(events: DataFrame) -> DataFrame:
+    """Policy log: from its time on, a change says whether a table holds personal data; tables are
+    changed in turn, and every third change lifts the protection."""
+    e = F.col("event_id")
+    turn = F.floor(e / POLICY_EVERY)
+    return events.where(e % POLICY_EVERY == 0).select(
+        e.alias("version"), F.col("ts"), pick(REQUEST_TABLES, turn % 4).alias("table_name"),
+        (turn % 3 != 0).alias("protected"))
+
+
 def topic_requests(events: DataFrame) -> DataFrame:
     """Broker request log; identity by principal name, principal groups or request groups."""
     e, u = F.col("event_id"), F.col("user_id")
