@@ -74,3 +74,23 @@ def join_orders(minutes: DataFrame, orders: DataFrame) -> DataFrame:
     return orders.join(activity, "customer_id").select(
         "order_id", "customer_id", "total_amount", "status",
         "event_count", "total_duration_ms", "last_seen")
+
+
+ORDER_WINDOW = "1 hour"
+
+
+def orders_after_clicks(clicks: DataFrame, placements: DataFrame, within: str = ORDER_WINDOW) -> DataFrame:
+    """Each click with every order its user placed from the click on, up to ``within`` after it.
+
+    An equi-join on the user with a time-range condition: in a batch Spark joins by user and checks the
+    range; on two streams with watermarks the range also tells Spark when a row can no longer be
+    matched, so the state of both sides is dropped as the watermarks pass.
+    """
+    c, p = clicks.alias("c"), placements.alias("p")
+    condition = ((F.col("c.user_id") == F.col("p.user_id"))
+                 & (F.col("p.placed_at") >= F.col("c.timestamp"))
+                 & (F.col("p.placed_at") <= F.col("c.timestamp") + F.expr(f"INTERVAL {within}")))
+    return c.join(p, condition).select(
+        F.col("c.event_id").alias("event_id"), F.col("c.user_id").alias("user_id"),
+        F.col("c.timestamp").alias("clicked_at"), F.col("p.order_id").alias("order_id"),
+        F.col("p.placed_at").alias("placed_at"), F.col("p.total_amount").alias("total_amount"))

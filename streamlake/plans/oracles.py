@@ -93,6 +93,17 @@ def _in_group(name: str) -> str:
     return f"""(COALESCE(list_contains(groups, '{name}'), FALSE) OR "user" = '{name}')"""
 
 
+ORDERS_AFTER_CLICKS = """WITH clicks AS (
+  SELECT 'evt_' || event_id AS event_id, 'user_' || user_id AS user_id, ts AS clicked_at FROM events),
+placements AS (
+  SELECT o_orderkey AS order_id, 'user_' || o_custkey AS user_id,
+         CAST(o_totalprice AS DECIMAL(10,2)) AS total_amount,
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds((o_orderkey * 7919) % 2592000) AS placed_at
+  FROM orders)
+SELECT c.event_id, c.user_id, c.clicked_at, p.order_id, p.placed_at, p.total_amount
+FROM clicks c JOIN placements p ON c.user_id = p.user_id AND p.placed_at >= c.clicked_at
+  AND p.placed_at <= c.clicked_at + INTERVAL 1 HOUR"""
+
 DECISIONS = f"""{_requests('')}, flags AS (
   SELECT *, {_in_group('analyst')} AS analyst, {_in_group('engineer')} AS engineer,
          {_in_group('admin')} AS admin,
@@ -262,6 +273,8 @@ FROM sessions WHERE session_end <= (SELECT MAX(ts) - INTERVAL 5 SECOND FROM even
     "stream_tumble_restart": f"""WITH {MINUTES}
 SELECT 'user_' || user_id AS user_id, window_start, window_end, event_count, total_duration_ms
 FROM minutes WHERE window_end <= (SELECT MAX(ts) - INTERVAL 5 SECOND FROM events)""",
+    "events_orders_interval": ORDERS_AFTER_CLICKS,
+    "stream_events_orders_join": ORDERS_AFTER_CLICKS,
     "stream_late_rows": f"""WITH {CLICKS}, span AS (
   SELECT make_timestamp((epoch_us(MIN(ts)) + epoch_us(MAX(ts))) // 2) AS middle, MAX(ts) AS last FROM events)
 SELECT 'user_' || user_id AS user_id, date_trunc('minute', ts) AS window_start,

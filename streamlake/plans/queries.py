@@ -88,6 +88,13 @@ def events_orders_join(spark, sf_dir):
     return clickstream.join_orders(_minutes(spark, sf_dir), _orders(spark, sf_dir))
 
 
+@query
+def events_orders_interval(spark, sf_dir):
+    """Clicks with the orders their user placed within the hour after (batch)."""
+    clicks = derive.click_records(load(spark, sf_dir, "events"))
+    return clickstream.orders_after_clicks(clicks, derive.order_placements(load(spark, sf_dir, "orders")))
+
+
 @query
 def events_to_json(spark, sf_dir):
     return encode(derive.click_records(load(spark, sf_dir, "events")), key="user_id")
@@ -211,6 +218,28 @@ def stream_tumble_restart(spark, sf_dir):
         spark, "tumble-restart", map(_records, _halves(spark, sf_dir)), jobs.run_tumble))
 
 
+@query
+def stream_events_orders_join(spark, sf_dir):
+    """The interval join of clicks and placements as two streams, stopped and restarted in the middle
+    of their time span: both logs in two parts, a run after each, and a last run that finds nothing."""
+    out = run_dir(spark, "orders-after-clicks")
+    session = streaming_session(spark)
+    early, late = _halves(spark, sf_dir)
+    placements = derive.order_placements(load(spark, sf_dir, "orders"))
+    middle = late.agg(F.min("ts")).first()[0]
+    parts = [(early, placements.where(F.col("placed_at") < F.lit(middle))),
+             (late, placements.where(F.col("placed_at") >= F.lit(middle)))]
+    for part in [*parts, None]:
+        if part is not None:
+            _records(part[0]).select("value").write.mode("append").text(f"{out}/clicks")
+            part[1].write.mode("append").parquet(f"{out}/orders")
+        clicks = session.readStream.schema("value STRING").text(f"{out}/clicks")
+        orders = session.readStream.schema(placements.schema).parquet(f"{out}/orders")
+        jobs.run_orders_after_clicks(clicks, orders, f"{out}/table", f"{out}/checkpoint",
+                                     jobs.DRAIN).awaitTermination()
+    return spark.read.parquet(f"{out}/table")
+
+
 @query
 def stream_late_rows(spark, sf_dir):
     """Every 50th event of the first half comes last, when its window has long closed."""

@@ -45,6 +45,21 @@ def shop_customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
                     F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at")))
 
 
+CLICK_MONTH_START = 1704067200  # 2024-01-01 00:00:00 UTC, where the clickstream begins
+CLICK_MONTH_SECONDS = 30 * 86400
+
+
+def order_placements(orders: DataFrame) -> DataFrame:
+    """Order placements at the clickstream's time: every order placed once, at a moment of the
+    clickstream's month spread by its key, by the customer who is the clickstream's user of that id."""
+    offset = (F.col("o_orderkey") * 7919) % CLICK_MONTH_SECONDS
+    return orders.select(
+        F.col("o_orderkey").alias("order_id"),
+        F.concat(F.lit("user_"), F.col("o_custkey")).alias("user_id"),
+        F.col("o_totalprice").cast("decimal(10,2)").alias("total_amount"),
+        F.timestamp_seconds(F.lit(CLICK_MONTH_START) + offset).cast("timestamp_ntz").alias("placed_at"))
+
+
 def email_of(name: Column) -> Column:
     return F.concat(F.lower(F.replace(name, F.lit("#"), F.lit("."))), F.lit("@example.com"))
 

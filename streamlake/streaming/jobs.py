@@ -46,6 +46,18 @@ def run_sessions(records: DataFrame, path: str, checkpoint: str,
                    "clickstream_sessions")
 
 
+def run_orders_after_clicks(records: DataFrame, placements: DataFrame, path: str, checkpoint: str,
+                            trigger: dict = COMMIT_INTERVAL) -> StreamingQuery:
+    """Stream-stream interval join of clicks and order placements, both with watermarks: a match is
+    written once, in the batch that finds it; rows leave the state once no later row can match them."""
+    orders = (placements.withColumn("placed_at", F.col("placed_at").cast("timestamp"))
+              .withWatermark("placed_at", WATERMARK_DELAY))
+    joined = clickstream.orders_after_clicks(watermarked(records), orders)
+    return _append(joined.withColumns({"clicked_at": F.col("clicked_at").cast("timestamp_ntz"),
+                                       "placed_at": F.col("placed_at").cast("timestamp_ntz")}),
+                   path, checkpoint, trigger, "orders_after_clicks")
+
+
 def _changes(records: DataFrame, row: str, typed) -> DataFrame:
     return typed(cdc.normalize(decode(records, envelope_schema(row))))
 

@@ -161,3 +161,40 @@ def test_topics_are_read_from_the_start():
 def test_binary_values_decode(session):
     rows = session.createDataFrame([(bytearray(b'{"order_id": 1}'),), (None,)], "value BINARY")
     assert [r.order_id for r in decode(rows, "order_id BIGINT").collect()] == [1]
+
+
+def test_interval_join_drops_state_as_watermarks_pass(spark, sf_dir, tmp_path):
+    """Both sides in four time-ordered parts: every match is found once, and rows whose time range
+    the watermarks have passed leave the join's state."""
+    from pyspark.sql import functions as F
+
+    from streamlake.operators import clickstream
+    from streamlake.session import streaming_session
+    from streamlake.sources import derive
+    from streamlake.sources.tables import load
+    from streamlake.sources.topics import encode
+    from streamlake.streaming import jobs
+
+    events = load(spark, sf_dir, "events")
+    placements = derive.order_placements(load(spark, sf_dir, "orders"))
+    batch = clickstream.orders_after_clicks(derive.click_records(events), placements)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * k / 4 for k in range(1, 4)]
+    session = streaming_session(spark)
+    held = []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        def within(c):
+            return (F.lit(True) if low is None else c >= F.lit(low)) & (F.lit(True) if high is None else c < F.lit(high))
+        encode(derive.click_records(events.where(within(F.col("ts"))))).select("value") \
+            .write.mode("append").text(str(tmp_path / "clicks"))
+        placements.where(within(F.col("placed_at"))).write.mode("append").parquet(str(tmp_path / "orders"))
+        run = jobs.run_orders_after_clicks(
+            session.readStream.schema("value STRING").text(str(tmp_path / "clicks")),
+            session.readStream.schema(placements.schema).parquet(str(tmp_path / "orders")),
+            str(tmp_path / "table"), str(tmp_path / "checkpoint"), jobs.DRAIN)
+        run.awaitTermination()
+        held.append(sum(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress[-1:]))
+    got = spark.read.parquet(str(tmp_path / "table"))
+    assert sorted(got.collect()) == sorted(batch.collect())
+    total = events.count() + placements.count()
+    assert max(held) < total / 2  # the state never holds all rows: it is dropped as time passes
