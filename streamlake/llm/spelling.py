@@ -37,9 +37,10 @@ SHORTEST = 5
 LEAST_COUNT = 3
 FORM_FACTOR = 2
 
-GROUPS = 8  # letter groups, by code point modulo GROUPS; the trie's levels in this order
+GROUPS = 16  # letter groups, by code point modulo GROUPS; the trie's levels in this order
 TOP_LEVELS = 2  # levels that choose the subtree a task searches
-BLOCK = 20_000  # members, and queries, of one task at most
+BLOCK = 200_000  # members of one trie, at most
+QUERY_BLOCK = 1_000_000  # queries of one subtree handled by one task, at most
 LETTERS = [chr(c) for c in range(ord("a"), ord("z") + 1)] + [chr(c) for c in range(0xC0, 0x100)]
 
 
@@ -62,8 +63,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def described(words: DataFrame) -> DataFrame:
-    """``words`` with ``counts``: the count of each letter group, the trie's levels."""
-    counts = F.array(*[F.regexp_count("word", F.lit(_group_pattern(g))) for g in range(GROUPS)])
+    """``words`` with ``counts``: the counts of the letter groups of the top levels (the levels below
+    are counted where the trie is built)."""
+    counts = F.array(*[F.regexp_count("word", F.lit(_group_pattern(g))) for g in range(TOP_LEVELS)])
     return words.withColumn("counts", counts)
 
 
@@ -101,75 +103,155 @@ def one_edit(a: str, b: str) -> bool:
     return short[i:] == long_[i + 1:]
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    """Words of one length as a matrix of code points (all letters of ``RUN`` lie below 256)."""
-    return np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), -1)
-
-
-def _one_edit_pairs(queries: np.ndarray, members: np.ndarray) -> np.ndarray:
-    """``(i, j)`` of the queries and members one edit apart, all queries of one length and all members
-    of one length: one replacement when the lengths agree, else one insertion or deletion (the shorter
-    word is the longer's first ``p`` and last ``s`` code points with ``p + s`` at least its length)."""
-    short_q = queries.shape[1] <= members.shape[1]
-    short, long_ = (queries, members) if short_q else (members, queries)
+def _counts(words: list[str]) -> np.ndarray:
+    """The letter-group counts of each word, one row per word (all letters of ``RUN`` lie below 256)."""
+    codes = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(words)), lengths)
+    return np.bincount(owner * GROUPS + codes % GROUPS, minlength=len(words) * GROUPS).reshape(-1, GROUPS)
+
+
+class _Trie:
+    """The members' count vectors below the top levels as a trie: per level, the sorted keys
+    ``parent * width + count`` of its nodes (a node's number is its key's place), and per leaf its
+    members."""
+
+    def __init__(self, words: list[str], width: int):
+        self.words, self.width, self.known = words, width, _Words(words)
+        self.column = pa.array(words, pa.string())
+        counts = _counts(words)[:, TOP_LEVELS:]
+        node = np.zeros(len(words), np.int64)
+        self.levels = []
+        for level in range(counts.shape[1]):
+            keys, node = np.unique(node * width + counts[:, level], return_inverse=True)
+            self.levels.append(keys)
+        self.members = np.argsort(node, kind="stable")
+        self.starts = np.searchsorted(node[self.members], np.arange(len(self.levels[-1]) + 1))
+
+
+def _walk(trie: _Trie, asked: np.ndarray, more: np.ndarray, less: np.ndarray):
+    """Every (query vector, leaf) the search reaches: at each level a vector goes on with its own
+    count, one more (spending its surplus budget) or one less (spending its deficit budget), where the
+    trie has such a node. All vectors are walked together, level by level."""
+    group, node = np.arange(len(asked)), np.zeros(len(asked), np.int64)
+    for level, keys in enumerate(trie.levels):
+        own = asked[group, level]
+        moved = []
+        for step, spends_more, spends_less in ((0, 0, 0), (1, 1, 0), (-1, 0, 1)):
+            ok = (more >= spends_more) & (less >= spends_less) & (own + step >= 0) & (own + step < trie.width)
+            key = node[ok] * trie.width + own[ok] + step
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[at] == key
+            moved.append((group[ok][hit], at[hit], more[ok][hit] - spends_more, less[ok][hit] - spends_less))
+        group, node, more, less = (np.concatenate(parts) for parts in zip(*moved))
+    return group, node
+
+
+def _spread(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For entries ``which`` of a list of runs ``starts``: (entry number, item) of every item."""
+    sizes = starts[which + 1] - starts[which]
+    entry = np.repeat(np.arange(len(which)), sizes)
+    item = np.arange(entry.size) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[which][entry]
+    return entry, item
+
+
+def _one_edit_rows(short: np.ndarray, long_: np.ndarray) -> np.ndarray:
+    """Row-wise: is ``short`` one edit from ``long_``? Replacement when the widths agree, else the
+    shorter is the longer's first ``p`` and last ``s`` code points with ``p + s`` at least its length."""
     if short.shape[1] == long_.shape[1]:
-        differ = (short[:, None, :] != long_[None, :, :]).sum(axis=2)
-        return np.argwhere(differ == 1)
+        return (short != long_).sum(axis=1) == 1
     n = short.shape[1]
-    head = np.logical_and.accumulate(short[:, None, :] == long_[None, :, :n], axis=2).sum(axis=2)
-    tail = np.logical_and.accumulate((short[:, None, :] == long_[None, :, 1:])[:, :, ::-1], axis=2).sum(axis=2)
-    found = np.argwhere(head + tail >= n)
-    return found if short_q else found[:, ::-1]
-
-
-def _search(block: pa.RecordBatch) -> tuple[list[str], list[str]]:
-    """Members form a trie over the levels below the top ones; each query searches it depth first,
-    spending what is left of its surplus and deficit budget, and verifies the words at the leaves.
-    Queries of one count vector and budget share one search, and are verified together against each
-    leaf reached (words of one vector have one length)."""
-    rows = block.select(["word", "counts", "role", "surplus", "deficit"]).to_pydict()
-    role = rows["role"]
-    trie: dict = {}
-    for word, counts, r in zip(rows["word"], rows["counts"], role):
-        if r == 0:
-            node = trie
-            for c in counts[TOP_LEVELS:]:
-                node = node.setdefault(int(c), {})
-            node.setdefault("", []).append(word)
-    alike: dict[tuple, list[str]] = {}
-    for word, counts, surplus, deficit, r in zip(rows["word"], rows["counts"], rows["surplus"],
-                                                 rows["deficit"], role):
-        if r == 1:
-            alike.setdefault((tuple(counts[TOP_LEVELS:]), surplus, deficit), []).append(word)
-    codes: dict[int, np.ndarray] = {}
-    found_word, found_near = [], []
-    for (levels, surplus, deficit), words in alike.items():
-        asked = _codes(words)
-        stack = [(trie, 0, 1 - int(surplus), 1 - int(deficit))]
-        while stack:
-            node, level, more, less = stack.pop()
-            if level == len(levels):
-                leaf = node.get("", ())
-                if id(leaf) not in codes:
-                    codes[id(leaf)] = _codes(leaf)
-                for i, j in _one_edit_pairs(asked, codes[id(leaf)]):
-                    found_word.append(words[i])
-                    found_near.append(leaf[j])
+    head = np.logical_and.accumulate(short == long_[:, :n], axis=1).sum(axis=1)
+    tail = np.logical_and.accumulate((short == long_[:, 1:])[:, ::-1], axis=1).sum(axis=1)
+    return head + tail >= n
+
+
+class _Words:
+    """Words with their code points in one matrix per length, for checks in arrays."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.row = np.empty(len(words), np.int64)
+        self.codes = {}
+        for length in np.unique(self.lengths).tolist():
+            which = np.flatnonzero(self.lengths == length)
+            self.row[which] = np.arange(len(which))
+            text = "".join([words[i] for i in which]).encode("latin-1")
+            self.codes[length] = np.frombuffer(text, np.uint8).reshape(len(which), length)
+
+
+def _verified(queries: _Words, members: _Words, qi: np.ndarray, mi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs ``(queries[qi], members[mi])``, those one edit apart, checked in arrays by lengths."""
+    q_len, m_len = queries.lengths[qi], members.lengths[mi]
+    shift = m_len - q_len + 1  # 0, 1 or 2: the search only reaches lengths one apart
+    kept = []
+    for lq in np.unique(q_len).tolist():
+        same = q_len == lq
+        for lm in (lq - 1, lq, lq + 1):
+            chosen = np.flatnonzero(same & (shift == lm - lq + 1))
+            if not len(chosen):
                 continue
-            own = levels[level]
-            for step, spends_more, spends_less in ((0, 0, 0), (1, 1, 0), (-1, 0, 1)):
-                child = node.get(own + step)
-                if child is not None and spends_more <= more and spends_less <= less:
-                    stack.append((child, level + 1, more - spends_more, less - spends_less))
-    return found_word, found_near
+            qa = queries.codes[lq][queries.row[qi[chosen]]]
+            mb = members.codes[lm][members.row[mi[chosen]]]
+            kept.append(chosen[_one_edit_rows(qa, mb) if lq <= lm else _one_edit_rows(mb, qa)])
+    good = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return qi[good], mi[good]
+
+
+PAIRS_AT_ONCE = 2_000_000  # candidate pairs verified in one array operation, at most
+
+
+def _search(trie: _Trie, queries: list[str], surplus: np.ndarray, deficit: np.ndarray):
+    """The queries' near words among the trie's members. Queries of one count vector and budget share
+    one walk; the members of every leaf reached are verified against all of them."""
+    asked_words = _Words(queries)
+    counts = _counts(queries)[:, TOP_LEVELS:]
+    labels = np.column_stack([counts, surplus, deficit])
+    alike, which = np.unique(labels, axis=0, return_inverse=True)
+    which = which.ravel()
+    order = np.argsort(which, kind="stable")
+    starts = np.searchsorted(which[order], np.arange(len(alike) + 1))
+    group, leaf = _walk(trie, alike[:, :-2], 1 - alike[:, -2], 1 - alike[:, -1])
+    sizes = (trie.starts[leaf + 1] - trie.starts[leaf]) * (starts[group + 1] - starts[group])
+    total = np.cumsum(sizes)
+    begin = 0
+    while begin < len(group):
+        done = total[begin - 1] if begin else 0
+        end = max(int(np.searchsorted(total, done + PAIRS_AT_ONCE, side="right")), begin + 1)
+        entry, member = _spread(trie.starts, leaf[begin:end])
+        pair, asked = _spread(starts, group[begin:end][entry])
+        yield _verified(asked_words, trie.known, order[asked], trie.members[member[pair]])
+        begin = end
 
 
 def _searched(batches):
-    for block in runs(batches, ["block"]):
-        words, nears = _search(block)
-        if words:
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()),
-                                              "near": pa.array(nears, pa.string())})
+    """Blocks arrive sorted, each with its members before its queries: the members make the trie,
+    the queries stream past it batch by batch."""
+    block, members, trie = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("block").to_numpy()
+        roles = batch.column("role").to_numpy()
+        words = batch.column("word").to_pylist()
+        surplus = batch.column("surplus").to_numpy()
+        deficit = batch.column("deficit").to_numpy()
+        cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (roles[1:] != roles[:-1])) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+            if ids[begin] != block:
+                block, members, trie = ids[begin], [], None
+            if roles[begin] == 0:
+                members.extend(words[begin:end])
+                continue
+            if trie is None:
+                trie = _Trie(members, max(map(len, members)) + 2)
+            asked = words[begin:end]
+            for qi, mi in _search(trie, asked, surplus[begin:end], deficit[begin:end]):
+                if len(qi):
+                    yield pa.RecordBatch.from_pydict({
+                        "word": pa.array(asked, pa.string()).take(pa.array(qi)),
+                        "near": trie.column.take(pa.array(mi))})
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -177,27 +259,28 @@ def near_pairs(words: DataFrame) -> DataFrame:
     moves = F.array(*[F.struct(F.array(*[F.lit(c) for c in step]).alias("step"),
                                F.lit(more).alias("surplus"), F.lit(less).alias("deficit"))
                       for step, more, less in _within_budget()])
-    members = words.select("word", "counts", _top(F.col("counts")).alias("key"))
-    queries = (members.select("word", "counts", "key", F.explode(moves).alias("move"))
-               .select("word", "counts", F.zip_with("key", "move.step", lambda c, s: c + s).alias("key"),
+    members = words.select("word", _top(F.col("counts")).alias("key"))
+    queries = (members.select("word", "key", F.explode(moves).alias("move"))
+               .select("word", F.zip_with("key", "move.step", lambda c, s: c + s).alias("key"),
                        "move.surplus", "move.deficit")
                .where(F.forall("key", lambda c: c >= 0)))
     sizes = (members.groupBy("key").agg(F.count("*").alias("m"))
              .join(queries.groupBy("key").agg(F.count("*").alias("q")), "key"))
     parts = sizes.select("key", F.ceil(F.col("m") / BLOCK).alias("m_parts"),
-                         F.ceil(F.col("q") / BLOCK).alias("q_parts"))
+                         F.ceil(F.col("q") / QUERY_BLOCK).alias("q_parts"))
     spread = F.xxhash64(F.lit("spelling"), "word")
     dealt_members = (members.join(parts, "key")
-                     .select("word", "counts", "key", F.pmod(spread, "m_parts").alias("m_part"),
+                     .select("word", "key", F.pmod(spread, "m_parts").alias("m_part"),
                              F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1)).alias("q_part"),
                              F.lit(0).alias("role"), F.lit(0).alias("surplus"), F.lit(0).alias("deficit")))
     dealt_queries = (queries.join(parts, "key")
-                     .select("word", "counts", "key",
+                     .select("word", "key",
                              F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_parts") - 1)).alias("m_part"),
                              F.pmod(spread, "q_parts").alias("q_part"),
                              F.lit(1).alias("role"), "surplus", "deficit"))
     blocks = (dealt_members.unionByName(dealt_queries)
-              .withColumn("block", F.xxhash64("key", "m_part", "q_part")))
+              .select("word", F.xxhash64("key", "m_part", "q_part").alias("block"), "role",
+                      F.col("surplus").cast("int").alias("surplus"), F.col("deficit").cast("int").alias("deficit")))
     placed = blocks.repartition(partitions_for(words.sparkSession), "block").sortWithinPartitions("block", "role")
     return placed.mapInArrow(_searched, "word string, near string")
 
