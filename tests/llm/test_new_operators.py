@@ -131,6 +131,8 @@ def test_spelling_edges(spark):
 
 def test_spelling_blocks_split_a_hot_subtree(spark, monkeypatch):
     monkeypatch.setattr(spelling, "BLOCK", 3)
+    monkeypatch.setattr(spelling, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(spelling, "PAIRS_AT_ONCE", 2)
     docs = [(i, " ".join([w] * 3)) for i, w in enumerate(["abcde", "abcdf", "abcdg", "abcdh", "abcdi", "abcdei", "bbcde"])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.word: [r.form, r.n, r.n_near, r.form_n, r.root] for r in spelling.variants(df).collect()}
