@@ -63,6 +63,17 @@ def current_rows(changes: DataFrame, key: str) -> DataFrame:
     return latest_per_key(changes, key).where("op <> 'd'").drop("op", "ts_ms")
 
 
+def history(changes: DataFrame, key: str, order: str = "seq") -> DataFrame:
+    """Every image of every key with its validity: from its change's time up to the next change of
+    the key (a delete ends the last image and is none itself); the newest image stays open (null
+    ``valid_to``). Changes are ordered as in ``latest_per_key``; ``ts_ms`` becomes the times."""
+    by_key = Window.partitionBy(key).orderBy(
+        F.col(order), F.col("ts_ms"), (F.col("op") == "d"), F.xxhash64(*changes.columns))
+    at = F.timestamp_millis("ts_ms").cast("timestamp_ntz")
+    timed = changes.withColumns({"valid_from": at, "valid_to": F.lead(at).over(by_key)})
+    return timed.where(F.col("op") != "d").drop("ts_ms", order)
+
+
 def as_of(changes: DataFrame, key: str, ts_ms: int) -> DataFrame:
     """Table state at a moment."""
     return current_rows(changes.where(F.col("ts_ms") <= ts_ms), key)

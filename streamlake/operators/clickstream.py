@@ -5,6 +5,8 @@ The same functions serve batch and streaming input; a stream passes a watermarke
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 SESSION_GAP_MINUTES = 30
@@ -94,3 +96,39 @@ def orders_after_clicks(clicks: DataFrame, placements: DataFrame, within: str =
         F.col("c.event_id").alias("event_id"), F.col("c.user_id").alias("user_id"),
         F.col("c.timestamp").alias("clicked_at"), F.col("p.order_id").alias("order_id"),
         F.col("p.placed_at").alias("placed_at"), F.col("p.total_amount").alias("total_amount"))
+
+
+SLOTS = 1024  # time slots the events' span is cut into for the range join
+
+
+def with_state_at(events: DataFrame, history: DataFrame, event_key: str, state_key: str,
+                  ts: str = "ts", slots: int = SLOTS) -> DataFrame:
+    """Each event with every image of ``history`` of its key valid at its time
+    (``valid_from <= ts < valid_to``, an open ``valid_to`` never ends).
+
+    A range join through time slots instead of a nested loop: the events' span is cut into ``slots``
+    equal slots; an event lies in one, an image is listed in every slot its validity overlaps (clipped
+    to the span, so at most ``slots + 1``); the equi-join on key and slot finds each candidate once, and
+    the exact condition decides. Events without key or time find nothing.
+    """
+    low, high = events.agg(F.min(ts), F.max(ts)).first()
+    if low is None:  # no event has a time: none finds a state
+        low = high = datetime.datetime(1970, 1, 1)
+    start = F.lit(low).cast("timestamp_ntz")
+    width = max((high - low).total_seconds() * 1_000_000 / slots, 1.0)
+
+    def slot(t):
+        micros = F.unix_micros(t.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+        return F.floor(micros / F.lit(width)).cast("long")
+
+    first = F.greatest(F.col("valid_from"), start)
+    last = F.least(F.coalesce(F.col("valid_to"), F.lit(high).cast("timestamp_ntz")),
+                   F.lit(high).cast("timestamp_ntz"))
+    listed = (history.where(F.coalesce(F.col("valid_to") > start, F.lit(True))
+                            & (F.col("valid_from") <= F.lit(high).cast("timestamp_ntz")))
+              .withColumn("_slot", F.explode(F.sequence(slot(first), slot(last)))))
+    placed = events.withColumn("_slot", slot(F.col(ts)))
+    found = placed.join(listed, (F.col(event_key) == F.col(state_key)) & (placed["_slot"] == listed["_slot"])
+                        & (F.col("valid_from") <= F.col(ts))
+                        & F.coalesce(F.col(ts) < F.col("valid_to"), F.lit(True)))
+    return found.drop("_slot")

@@ -41,6 +41,12 @@ ORDER_CHANGES = f"""{SHOP_ORDERS}, changes AS (
          epoch_ms(updated_at + INTERVAL 2 DAY), 2
   FROM shop_orders WHERE order_id % 10 = 0)"""
 
+ORDER_HISTORY = f"""{ORDER_CHANGES}, timed AS (
+  SELECT *, make_timestamp(ts_ms * 1000) AS valid_from,
+         lead(make_timestamp(ts_ms * 1000)) OVER (PARTITION BY order_id ORDER BY seq, ts_ms) AS valid_to
+  FROM changes),
+history AS (SELECT * FROM timed WHERE op <> 'd')"""
+
 CUSTOMER_CHANGES = f"""{SHOP_CUSTOMERS}, changes AS (
   SELECT customer_id, name, email, city, created_at, 'r' AS op, epoch_ms(created_at) AS ts_ms,
          CAST(0 AS BIGINT) AS seq
@@ -275,6 +281,12 @@ SELECT 'user_' || user_id AS user_id, window_start, window_end, event_count, tot
 FROM minutes WHERE window_end <= (SELECT MAX(ts) - INTERVAL 5 SECOND FROM events)""",
     "events_orders_interval": ORDERS_AFTER_CLICKS,
     "stream_events_orders_join": ORDERS_AFTER_CLICKS,
+    "orders_history": f"""WITH {ORDER_HISTORY}
+SELECT order_id, customer_id, total_amount, status, valid_from, valid_to FROM history""",
+    "events_with_order_state": f"""WITH {ORDER_HISTORY}
+SELECT e.event_id, e.user_id, e.ts, h.order_id, h.status, h.total_amount
+FROM events e JOIN history h ON h.customer_id = e.user_id AND h.valid_from <= e.ts
+  AND (h.valid_to IS NULL OR e.ts < h.valid_to)""",
     "stream_late_rows": f"""WITH {CLICKS}, span AS (
   SELECT make_timestamp((epoch_us(MIN(ts)) + epoch_us(MAX(ts))) // 2) AS middle, MAX(ts) AS last FROM events)
 SELECT 'user_' || user_id AS user_id, date_trunc('minute', ts) AS window_start,

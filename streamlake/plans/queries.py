@@ -161,6 +161,21 @@ def orders_as_of(spark, sf_dir):
     return cdc.as_of(_order_changes(spark, sf_dir), "order_id", 883612800000)
 
 
+@query
+def orders_history(spark, sf_dir):
+    """Every image of every order with the time span it was valid."""
+    return cdc.history(_order_changes(spark, sf_dir), "order_id").select(
+        "order_id", "customer_id", "total_amount", "status", "valid_from", "valid_to")
+
+
+@query
+def events_with_order_state(spark, sf_dir):
+    """Each click with the state of every order of its user at the click's time."""
+    clicks = load(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    joined = clickstream.with_state_at(clicks, orders_history(spark, sf_dir), "user_id", "customer_id")
+    return joined.select("event_id", "user_id", "ts", "order_id", "status", "total_amount")
+
+
 @query
 def stream_cdc_upsert(spark, sf_dir):
     out = run_dir(spark, "orders-mirror")
