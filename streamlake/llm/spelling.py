@@ -41,6 +41,7 @@ GROUPS = 16  # letter groups, by code point modulo GROUPS; the trie's levels in
 TOP_LEVELS = 2  # levels that choose the subtree a task searches
 BLOCK = 200_000  # members of one trie, at most
 QUERY_BLOCK = 1_000_000  # queries of one subtree handled by one task, at most
+BROADCAST_KEYS = 100_000  # subtrees whose block counts are sent to every task; more are joined by shuffle
 LETTERS = [chr(c) for c in range(ord("a"), ord("z") + 1)] + [chr(c) for c in range(0xC0, 0x100)]
 
 
@@ -266,8 +267,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
                .where(F.forall("key", lambda c: c >= 0)))
     sizes = (members.groupBy("key").agg(F.count("*").alias("m"))
              .join(queries.groupBy("key").agg(F.count("*").alias("q")), "key"))
-    parts = sizes.select("key", F.ceil(F.col("m") / BLOCK).alias("m_parts"),
-                         F.ceil(F.col("q") / QUERY_BLOCK).alias("q_parts"))
+    parts = keep_table(sizes.select("key", F.ceil(F.col("m") / BLOCK).alias("m_parts"),
+                                    F.ceil(F.col("q") / QUERY_BLOCK).alias("q_parts")), "spelling-parts")
+    if parts.count() <= BROADCAST_KEYS:  # one row per subtree: measured before it is broadcast
+        parts = F.broadcast(parts)
     spread = F.xxhash64(F.lit("spelling"), "word")
     dealt_members = (members.join(parts, "key")
                      .select("word", "key", F.pmod(spread, "m_parts").alias("m_part"),
