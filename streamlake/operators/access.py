@@ -320,3 +320,56 @@ def secure_view(rows: DataFrame, policy: Policy, resource: str, groups: list[str
             if masks.setdefault(column, kind) != kind:
                 raise ConflictingMask(f"{resource}.{column}: {masks[column]} and {kind}")
     return apply_masks(rows, masks)
+
+
+BITS_PER_WORD = 62  # filters of one bit-map word
+
+
+def visible_by_role(rows: DataFrame, policy: Policy, resource: str) -> DataFrame:
+    """For every role of the policy at once: ``allowed`` (select is granted to a role it holds),
+    ``visible_rows`` (rows all row filters of its own grants leave, 0 if not allowed) and
+    ``open_columns`` (the columns its own grants do not mask, by name, comma-joined).
+
+    Every distinct filter is evaluated once per row, as one bit of a bit map (words of 62 bits);
+    rows are counted per distinct bit map, combined ahead of the shuffle, so what is shuffled is one
+    row per bit map and task. A role is the mask of its filters' bits: its rows are the counts of the
+    bit maps that hold all its bits. A filter naming ``current_user`` is read with the role's name as
+    the user, so it is one filter per role. A role without filters sees every row.
+    """
+    grants = [g for g in policy.grants if g.resource == resource]
+    subjects = sorted(policy.roles)
+    filters: dict[tuple[str, str | None], int] = {}
+    own: dict[str, list[int]] = {}
+    for role in subjects:
+        bits = []
+        for grant in grants:
+            if role in grant.roles and grant.row_filter:
+                user = role if "current_user" in grant.row_filter.lower() else None
+                bits.append(filters.setdefault((grant.row_filter, user), len(filters)))
+        own[role] = sorted(set(bits))
+    words = max(1, -(-len(filters) // BITS_PER_WORD))
+
+    def word(j: int) -> Column:
+        terms = [F.when(yes(to_column(text, user or "")), F.lit(1 << (i % BITS_PER_WORD)))
+                 .otherwise(F.lit(0)) for (text, user), i in filters.items() if i // BITS_PER_WORD == j]
+        return reduce(lambda a, b: a + b, terms, F.lit(0).cast("long")).cast("long")
+
+    counted = (rows.select(*[word(j).alias(f"w{j}") for j in range(words)])
+               .groupBy(*[f"w{j}" for j in range(words)]).agg(F.count("*").alias("n")))
+    masks = F.array(*[F.struct(F.lit(role).alias("role"), *[
+        F.lit(sum(1 << (i % BITS_PER_WORD) for i in own[role] if i // BITS_PER_WORD == j))
+        .cast("long").alias(f"m{j}") for j in range(words)]) for role in subjects])
+    holds = F.filter(masks, lambda r: reduce(and_, [
+        (F.col(f"w{j}").bitwiseAND(r[f"m{j}"]) == r[f"m{j}"]) for j in range(words)]))
+    seen = (counted.select(F.explode(holds).alias("r"), "n")
+            .groupBy(F.col("r.role").alias("role")).agg(F.sum("n").alias("seen")))
+    declared = []
+    for role in subjects:
+        allowed = any("select" in g.privileges and role in policy.holders_of(r) for g in grants for r in g.roles)
+        masked = {c for g in grants if role in g.roles for c in g.column_mask}
+        declared.append((role, allowed, ",".join(sorted(c for c in rows.columns if c not in masked))))
+    roles = small_frame(rows.sparkSession, declared, role=TEXT, allowed=pa.bool_(), open_columns=TEXT)
+    return roles.join(seen, "role", "left").select(
+        "role", "allowed",
+        F.when(F.col("allowed"), F.coalesce("seen", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("visible_rows"),
+        "open_columns")

@@ -417,6 +417,16 @@ SELECT request_id, table_name, CASE WHEN table_name IS NOT NULL AND ts IS NOT NU
        NOT ((analyst AND prot) OR (analyst AND write) OR (engineer AND system AND write)
             OR (NOT (analyst OR engineer OR admin) AND prot)) AS allowed
 FROM judged""",
+    "visible_rows_by_role": """
+SELECT 'admins' AS role, TRUE AS allowed, count(*) AS visible_rows,
+       'customer_id,order_id,status,total_amount,updated_at' AS open_columns FROM orders
+UNION ALL
+SELECT 'analysts', TRUE, count(*) FILTER (WHERE o_orderstatus = 'O' AND o_orderkey > 100),
+       'customer_id,order_id,status,updated_at' FROM orders
+UNION ALL
+SELECT 'engineers', TRUE,
+       count(*) FILTER (WHERE o_orderkey > 100 AND CAST(o_totalprice AS DECIMAL(10,2)) >= 1000.50),
+       'order_id,status,total_amount,updated_at' FROM orders""",
     "authz_topic_decide": f"""WITH {TOPIC_REQUESTS}
 SELECT request_id, operation, NOT (role = 'analyst' AND operation IN
        ('Write', 'Delete', 'Alter', 'AlterConfigs', 'Create')) AS allowed

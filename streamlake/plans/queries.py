@@ -460,6 +460,17 @@ def decisions_as_of_policy(spark, sf_dir):
                           "protected", "allowed")
 
 
+@query
+def visible_rows_by_role(spark, sf_dir):
+    """Rows and open columns of the orders table for every role at once."""
+    policy = Policy(SHIPPED.roles, SHIPPED.groups, {}, (
+        Grant("lake.orders", ("analysts",), ("select",), {"total_amount": "null"}, "status = 'O'"),
+        Grant("lake.orders", ("analysts", "engineers"), ("select",), row_filter="order_id > 100"),
+        Grant("lake.orders", ("engineers",), ("select",), {"customer_id": "hash"}, "total_amount >= 1000.50"),
+        Grant("lake.orders", ("admins",), ("select",))), ())
+    return access.visible_by_role(_orders(spark, sf_dir), policy, "lake.orders")
+
+
 @query
 def authz_topic_decide(spark, sf_dir):
     return access.decide_topic(derive.topic_requests(load(spark, sf_dir, "events"))).select(
