@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamlake.llm.common import fetched, sample_of
+from streamlake.llm.common import fetched, keep_table, sample_of
 
 HELD_OUT_MODULUS = 5  # fixed value of the contract: crc32 of the id as text, remainder 0 is held out
 TRAIN_ROWS = 20_000  # labelled documents the weights are fitted on, at most
@@ -71,28 +71,12 @@ class Model:
         return float(-np.expm1(log_clean)), p
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Model:
-    """Maximum likelihood of the documents' labels under the noisy-or of their sentences."""
-    split = [sentences(text) for text in texts]
-    held: dict[str, int] = {}
-    for parts in split:
-        for w in set().union(*parts):
-            held[w] = held.get(w, 0) + 1
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, k in held.items() if k >= LEAST_DOCUMENTS))}
-    feature_of, sentence_of, doc_of = [], [], []
-    count = 0
-    for d, parts in enumerate(split):
-        for words in parts:
-            for w in words:
-                if w in vocabulary:
-                    feature_of.append(vocabulary[w])
-                    sentence_of.append(count)
-            doc_of.append(d)
-            count += 1
-    features, owner, docs = (np.array(feature_of, np.int64), np.array(sentence_of, np.int64),
-                             np.array(doc_of, np.int64))
-    y = np.asarray(labels, np.float64)
-    w, bias, leak = np.zeros(len(vocabulary)), -3.0, float(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3)))
+def _fit_arrays(words: list[str], features: np.ndarray, owner: np.ndarray, docs: np.ndarray,
+                y: np.ndarray) -> Model:
+    """Maximum likelihood of the documents' labels under the noisy-or of their sentences: sentence
+    ``owner[k]`` holds word ``features[k]``; sentence ``s`` belongs to document ``docs[s]``."""
+    count = len(docs)
+    w, bias, leak = np.zeros(len(words)), -3.0, float(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3)))
     params = [w, np.array([bias]), np.array([leak])]
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
@@ -106,27 +90,86 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
         pull = np.where(y == 1, -clean / toxic, 1.0)
         p0 = 1 / (1 + np.exp(-params[2][0]))
         g_z = p * pull[docs]
-        grads = [np.bincount(features, g_z[owner], minlength=len(vocabulary)) + PENALTY * params[0],
+        grads = [np.bincount(features, g_z[owner], minlength=len(words)) + PENALTY * params[0],
                  np.array([g_z.sum()]), np.array([(p0 * pull).sum()])]
         for k, (param, grad) in enumerate(zip(params, grads)):
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.999 * second[k] + 0.001 * grad * grad
             param -= LEARNING_RATE * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
         np.maximum(params[0], 0, out=params[0])  # a word only ever adds evidence of offence
-    words = list(vocabulary)
     kept = np.flatnonzero(np.abs(params[0]) > 1e-6)
     return Model({words[i]: float(params[0][i]) for i in kept}, float(params[1][0]), float(params[2][0]))
 
 
+def _arrays(sizes: list[list[int]], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat ``features, owner, docs`` from each document's sentence sizes and word ids (-1: no feature)."""
+    per_doc = np.fromiter(map(len, sizes), np.int64, len(sizes))
+    docs = np.repeat(np.arange(len(sizes)), per_doc)
+    flat_sizes = np.concatenate([np.asarray(s, np.int64) for s in sizes]) if len(docs) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(flat_sizes)), flat_sizes)
+    features = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
+    known = features >= 0
+    return features[known], owner[known], docs
+
+
+def fit(texts: list[str | None], labels: list[int]) -> Model:
+    """The noisy-or fitted on texts in memory (a small sample; ``train`` fits a table's sample)."""
+    split = [sentences(text) for text in texts]
+    held: dict[str, int] = {}
+    for parts in split:
+        for w in set().union(*parts):
+            held[w] = held.get(w, 0) + 1
+    words = sorted(w for w, k in held.items() if k >= LEAST_DOCUMENTS)
+    index = {w: i for i, w in enumerate(words)}
+    sizes = [[len(s) for s in parts] for parts in split]
+    ids = [np.array([index.get(w, -1) for s in parts for w in sorted(s)], np.int64) for parts in split]
+    features, owner, docs = _arrays(sizes, ids)
+    return _fit_arrays(words, features, owner, docs, np.asarray(labels, np.float64))
+
+
+def _featurised(batches):
+    """Each text as its sentences' sizes and their distinct words, in order."""
+    for batch in batches:
+        sizes, words = [], []
+        for text in batch.column("text").to_pylist():
+            parts = sentences(text)
+            sizes.append([len(s) for s in parts])
+            words.append([w for s in parts for w in sorted(s)])
+        yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "sizes": pa.array(sizes, pa.list_(pa.int32())),
+                                          "words": pa.array(words, pa.list_(pa.string()))})
+
+
+def _numbered(batches, index: dict[str, int]):
+    for batch in batches:
+        ids = [[index.get(w, -1) for w in ws] for ws in batch.column("words").to_pylist()]
+        yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "sizes": batch.column("sizes"),
+                                          "ids": pa.array(ids, pa.list_(pa.int32()))})
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the labelled documents that are not held out, at most ``TRAIN_ROWS`` of them."""
+    """Fit on the labelled documents that are not held out, at most ``TRAIN_ROWS`` of them. Sentences
+    and words are taken apart by the executors and the vocabulary is counted by Spark; the driver
+    receives word numbers and sentence sizes as arrays."""
     labelled = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
                 .where(~held_out(F.col("doc_id")))
                 .join(labels.select(F.col("doc_id").cast("long").alias("doc_id"),
                                     F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull()),
                       "doc_id"))
-    sample = fetched(sample_of(labelled, TRAIN_ROWS, F.col("doc_id"), F.col("text")).select("text", "toxic"))
-    return fit(list(sample["text"]), list(sample["toxic"]))
+    sample = sample_of(labelled, TRAIN_ROWS, F.col("doc_id"), F.col("text")).select("text", "toxic")
+    parts = keep_table(sample.mapInArrow(_featurised, "toxic int, sizes array<int>, words array<string>"),
+                       "toxicity-sample")
+    known = (parts.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count()
+             .where(F.col("count") >= LEAST_DOCUMENTS).select("word").orderBy("word"))
+    words = list(fetched(known)["word"])
+    shared = parts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    table = parts.mapInArrow(lambda b: _numbered(b, shared.value),
+                             "toxic int, sizes array<int>, ids array<int>").toArrow()
+    y = table.column("toxic").to_numpy().astype(np.float64)
+    size_lists = table.column("sizes").to_pylist()
+    ids = [np.asarray(chunk, np.int64) for chunk in table.column("ids").to_numpy(zero_copy_only=False)]
+    del table
+    features, owner, docs_of = _arrays(size_lists, ids)
+    return _fit_arrays(words, features, owner, docs_of, y)
 
 
 def _scored(batches, model: Model):
