@@ -30,6 +30,45 @@ def daily(minutes: DataFrame) -> DataFrame:
                  F.sum("total_duration_ms").alias("total_duration_ms")))
 
 
+def _exists(spark, path: str) -> bool:
+    """Whether a folder exists, asked of the file system Spark writes with."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def add_to_rollup(minutes: DataFrame, table: str, staging: str) -> list:
+    """Fold a batch of minute aggregates into the roll-up below ``table``: ``minutes/`` (the minute
+    aggregates, partitioned by day) and ``daily/`` (the daily totals, partitioned by day).
+
+    Only the days the batch touches are written again, by dynamic partition overwrite: their stored
+    minutes are read (the day filter prunes to their folders), summed with the batch's, staged in
+    ``staging`` (a table is not overwritten while it is read) and written over those days' folders;
+    their totals follow from the merged minutes. Other days keep their files. A minute that comes
+    again, late, is summed with what is stored, so a user's minute is counted once. Returns the days.
+    """
+    spark = minutes.sparkSession
+    batch = minutes.withColumn("day", F.to_date("window_start"))
+    days = [r.day for r in batch.select("day").distinct().collect()]  # one row per day of the batch
+    if not days:
+        return []
+    stored = (spark.read.parquet(f"{table}/minutes").where(F.col("day").isin(days))
+              if _exists(spark, f"{table}/minutes") else None)
+    merged = batch.select("day", "user_id", "window_start", "window_end", "event_count", "total_duration_ms")
+    if stored is not None:
+        merged = merged.unionByName(stored.select(*merged.columns))
+    merged = (merged.groupBy("day", "user_id", "window_start", "window_end")
+              .agg(F.sum("event_count").alias("event_count"),
+                   F.sum("total_duration_ms").alias("total_duration_ms")))
+    merged.write.parquet(staging)
+    fresh = spark.read.parquet(staging)
+    (fresh.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("day").parquet(f"{table}/minutes"))
+    (daily(fresh).repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("day").parquet(f"{table}/daily"))
+    return days
+
+
 def session_windows(clicks: DataFrame, time: str = "timestamp",
                     gap_minutes: int = SESSION_GAP_MINUTES) -> DataFrame:
     """Sessions by the built-in session window: the streaming form."""

@@ -252,6 +252,11 @@ ORACLES: dict[str, str] = {
 SELECT CAST(window_start AS DATE) AS day, COUNT(*) AS user_minutes,
        CAST(SUM(event_count) AS BIGINT) AS event_count,
        CAST(SUM(total_duration_ms) AS BIGINT) AS total_duration_ms
+FROM minutes GROUP BY CAST(window_start AS DATE)""",
+    "daily_rollup_incremental": f"""WITH {MINUTES}
+SELECT CAST(window_start AS DATE) AS day, COUNT(*) AS user_minutes,
+       CAST(SUM(event_count) AS BIGINT) AS event_count,
+       CAST(SUM(total_duration_ms) AS BIGINT) AS total_duration_ms
 FROM minutes GROUP BY CAST(window_start AS DATE)""",
     "events_orders_join": f"""WITH {CLICKS}, {SHOP_ORDERS}
 SELECT order_id, customer_id, total_amount, status, event_count, total_duration_ms,

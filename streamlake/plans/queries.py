@@ -83,6 +83,18 @@ def daily_rollup(spark, sf_dir):
     return clickstream.daily(_minutes(spark, sf_dir))
 
 
+@query
+def daily_rollup_incremental(spark, sf_dir):
+    """The daily roll-up kept up by three batches: the first and the second half of the events,
+    then every 50th event of the first half, held back till last, which touches old days again."""
+    early, late = _halves(spark, sf_dir)
+    table = run_dir(spark, "rollup")
+    batches = [early.where("event_id % 50 <> 0"), late, early.where("event_id % 50 = 0")]
+    for n, events in enumerate(batches):
+        clickstream.add_to_rollup(clickstream.tumble(derive.clickstream(events)), table, f"{table}/staging-{n}")
+    return spark.read.parquet(f"{table}/daily").select("day", "user_minutes", "event_count", "total_duration_ms")
+
+
 @query
 def events_orders_join(spark, sf_dir):
     return clickstream.join_orders(_minutes(spark, sf_dir), _orders(spark, sf_dir))
