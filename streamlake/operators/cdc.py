@@ -63,6 +63,27 @@ def current_rows(changes: DataFrame, key: str) -> DataFrame:
     return latest_per_key(changes, key).where("op <> 'd'").drop("op", "ts_ms")
 
 
+def chunked_bootstrap(chunks: DataFrame, windows: DataFrame, tail: DataFrame, key: str,
+                      chunk_of) -> DataFrame:
+    """A snapshot read in chunks while the log goes on, made consistent with the log.
+
+    ``chunks`` are snapshot rows with the ``chunk`` (key range) they were read in; ``windows`` gives
+    each chunk's ``low`` and ``high`` log positions, taken just before and just after its read;
+    ``tail`` is the log from the first chunk's ``low`` on, its order in ``position``; ``chunk_of``
+    maps a key column to its chunk. A snapshot row whose key changed between its chunk's ``low`` and
+    ``high`` may show that change or not, so it loses: it is dropped (anti-join) and the log's own
+    images stand. The others enter as reads at their chunk's ``high``. Returns that stream and the
+    tail, by ``position``. Windows are one row per chunk and are joined by chunk number, not by range.
+    """
+    overtaken = (tail.withColumn("chunk", chunk_of(F.col(key))).join(windows, "chunk")
+                 .where((F.col("position") > F.col("low")) & (F.col("position") <= F.col("high")))
+                 .select(key).distinct())
+    kept = (chunks.join(overtaken, key, "left_anti").join(windows, "chunk")
+            .withColumns({"op": F.lit("r"), "position": F.col("high")})
+            .drop("chunk", "low", "high"))
+    return kept.unionByName(tail, allowMissingColumns=True)
+
+
 def history(changes: DataFrame, key: str, order: str = "seq") -> DataFrame:
     """Every image of every key with its validity: from its change's time up to the next change of
     the key (a delete ends the last image and is none itself); the newest image stays open (null

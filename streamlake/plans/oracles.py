@@ -311,6 +311,7 @@ FROM changes""",
 SELECT *, 'r' AS op, CAST(0 AS BIGINT) AS ts_ms, CAST(0 AS BIGINT) AS seq FROM shop_orders
 UNION ALL SELECT * FROM changes WHERE op <> 'r'""",
     "cdc_orders_merge": _MERGE,
+    "cdc_chunked_bootstrap": _MERGE,
     "orders_as_of": f"""WITH {ORDER_CHANGES}
 SELECT order_id, customer_id, total_amount, status, updated_at, seq FROM (
   SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY seq DESC) AS rn

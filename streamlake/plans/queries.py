@@ -167,6 +167,35 @@ def cdc_orders_merge(spark, sf_dir):
     return cdc.merge(_orders(spark, sf_dir), tail, "order_id")
 
 
+CHUNK_KEYS = 1000  # order ids of one snapshot chunk
+CHUNK_READ_MS = 3 * 86_400_000  # log time that passes while a chunk is read
+
+
+@query
+def cdc_chunked_bootstrap(spark, sf_dir):
+    """The orders mirror from a snapshot read in chunks of 1000 ids across the second half of the log,
+    each chunk read over three days of log and showing the state halfway through, plus the log from the
+    first chunk on; equals the merge of the whole log."""
+    changes = _order_changes(spark, sf_dir).withColumn("position", F.col("ts_ms"))
+    first, last, top = changes.agg(F.min("ts_ms"), F.max("ts_ms"), F.max("order_id")).first()
+    start, count = (first + last) // 2, top // CHUNK_KEYS + 1
+
+    def chunk_of(key):
+        return F.floor(key / CHUNK_KEYS).cast("long")
+
+    windows = spark.range(count).select(
+        F.col("id").alias("chunk"),
+        (F.lit(start) + F.floor(F.lit(last - start) * F.col("id") / count)).cast("long").alias("low")) \
+        .withColumn("high", F.col("low") + CHUNK_READ_MS)
+    seen = (changes.withColumn("chunk", chunk_of(F.col("order_id"))).join(windows, "chunk")
+            .where(F.col("ts_ms") <= (F.col("low") + F.col("high")) / 2).drop("low", "high"))
+    snapshot = cdc.latest_per_key(seen, "order_id").where("op <> 'd'").drop("op", "ts_ms", "seq", "position")
+    stream = cdc.chunked_bootstrap(snapshot, windows, changes.where(F.col("ts_ms") > start), "order_id",
+                                   chunk_of)
+    merged = cdc.current_rows(stream.withColumn("seq", F.col("position")), "order_id")
+    return merged.drop("seq", "position")
+
+
 @query
 def orders_as_of(spark, sf_dir):
     # 1998-01-01T00:00:00Z

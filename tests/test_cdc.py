@@ -150,3 +150,23 @@ def test_ranking_is_also_applied_ahead_of_the_shuffle(spark):
     rows = changes(spark, EDGE_CASES)
     text = cdc.latest_per_key(rows, "order_id")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in text[text.rindex("Exchange hashpartitioning"):]
+
+
+def test_chunked_snapshot_rows_overtaken_in_their_window_lose(spark):
+    from pyspark.sql import functions as F
+
+    from streamlake.operators import cdc
+
+    # chunk 0 (keys 0-9) read between positions 100 and 200, chunk 1 (keys 10-19) between 300 and 400
+    windows = spark.createDataFrame([(0, 100, 200), (1, 300, 400)], "chunk long, low long, high long")
+    snapshot = spark.createDataFrame(
+        [(1, "old", 0), (2, "same", 0), (11, "read", 1), (12, "gone later", 1)], "k long, v string, chunk long")
+    tail = spark.createDataFrame(
+        [(1, "new", "u", 150),      # inside chunk 0's window: the snapshot row may not show it, and loses
+         (11, "before", "u", 250),  # before chunk 1's window: the snapshot row already shows it
+         (12, None, "d", 450),      # after the window: the log's delete comes last
+         (3, "born", "c", 120)],    # a key the snapshot never saw
+        "k long, v string, op string, position long")
+    stream = cdc.chunked_bootstrap(snapshot, windows, tail, "k", lambda k: F.floor(k / 10).cast("long"))
+    state = cdc.current_rows(stream.withColumns({"seq": F.col("position"), "ts_ms": F.col("position")}), "k")
+    assert sorted((r.k, r.v) for r in state.collect()) == [(1, "new"), (2, "same"), (3, "born"), (11, "read")]
