@@ -101,6 +101,56 @@ def compacted(spark: SparkSession, source: str, destination: str, plan: DataFram
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+RETENTION_DAYS = 7
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def expire_superseded(spark: SparkSession, source: str, plan: DataFrame, now: datetime,
+                      retention_days: int = RETENTION_DAYS) -> DataFrame:
+    """Delete the files of ``source`` that a carried-out compaction ``plan`` merged elsewhere and that
+    were last modified more than ``retention_days`` before ``now``; files the plan does not name are in
+    use and stay. Deletion goes through the file system Spark writes with. Returns ``(path, bytes)`` of
+    the deleted files.
+
+    The listing comes from the file system (no file is opened); the names to delete are the plan's, a
+    list of the kind Spark's own driver keeps of a table's files.
+    """
+    cutoff = now.timestamp() * 1000 - retention_days * 86_400_000
+    listing = _listing(spark, source).select("path", F.col("length").alias("bytes"),
+                                             (F.unix_millis("modificationTime")).alias("modified"))
+    old = (listing.join(plan.select("path"), "path", "left_semi")
+           .where(F.col("modified") < F.lit(cutoff)).select("path", "bytes"))
+    doomed = old.collect()
+    for row in doomed:
+        path, fs = _file_system(spark, row.path)
+        if fs.exists(path):
+            fs.delete(path, False)
+    return spark.createDataFrame(doomed, "path string, bytes bigint")
+
+
+def clear_runs(spark: SparkSession, now: datetime, retention_days: int = RETENTION_DAYS) -> list[str]:
+    """Delete the job folders (``run_dir``) below the shared folder last changed more than
+    ``retention_days`` before ``now``; whoever owns the shared folder calls this when no result of those
+    runs is read any more. Returns the deleted folders."""
+    from streamlake.session import shared_dir
+
+    folder, fs = _file_system(spark, f"{shared_dir(spark)}/streamlake")
+    if not fs.exists(folder):
+        return []
+    cutoff = now.timestamp() * 1000 - retention_days * 86_400_000
+    gone = []
+    for status in fs.listStatus(folder):
+        if status.isDirectory() and status.getModificationTime() < cutoff:
+            fs.delete(status.getPath(), True)
+            gone.append(status.getPath().toString())
+    return gone
+
+
 def maintain(spark: SparkSession, tables: dict[str, tuple[str, str]], catalog: str | None = None,
              older_than: datetime | None = None) -> dict[str, DataFrame]:
     """Hourly job body: compact the tables ``{name: (source, destination)}``, and only then have a

@@ -375,6 +375,7 @@ ORDER BY order_count DESC, status LIMIT 100""",
     "table_row_count": "SELECT COUNT(*) AS row_count FROM lineitem",
 
     "compaction_rewrite": "SELECT * FROM orders",
+    "retention_after_compaction": "SELECT * FROM orders",
     "mask_hash": f"""WITH {SHOP_CUSTOMERS}
 SELECT customer_id, name, upper(sha256(email)) AS email, city, created_at FROM shop_customers""",
     "mask_partial": f"""WITH {SHOP_CUSTOMERS}

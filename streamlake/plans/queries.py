@@ -3,6 +3,7 @@ whole of its tables."""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 from functools import wraps
 
@@ -421,6 +422,20 @@ def compaction_rewrite(spark, sf_dir):
     return maintenance.compacted(spark, source, merged, plan).select(*orders.columns)
 
 
+@query
+def retention_after_compaction(spark, sf_dir):
+    """The orders by status in many small files, merged, and the merged files expired by a clock eight
+    days after the newest file: the table read afterwards has the same rows."""
+    orders = load(spark, sf_dir, "orders")
+    source, merged = run_dir(spark, "fragments"), run_dir(spark, "compaction")
+    orders.repartition(32).write.partitionBy("o_orderstatus").parquet(source)
+    plan = maintenance.compact(spark, source, merged)
+    newest = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+              .agg(F.max("modificationTime")).first()[0])
+    maintenance.expire_superseded(spark, source, plan, newest + datetime.timedelta(days=8))
+    return maintenance.compacted(spark, source, merged, plan).select(*orders.columns)
+
+
 # --- governed views ------------------------------------------------------------------------
 
 def _one_grant(resource: str, *grants: Grant) -> Policy:
