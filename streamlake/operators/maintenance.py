@@ -133,13 +133,14 @@ def expire_superseded(spark: SparkSession, source: str, plan: DataFrame, now: da
     return spark.createDataFrame(doomed, "path string, bytes bigint")
 
 
-def clear_runs(spark: SparkSession, now: datetime, retention_days: int = RETENTION_DAYS) -> list[str]:
-    """Delete the job folders (``run_dir``) below the shared folder last changed more than
-    ``retention_days`` before ``now``; whoever owns the shared folder calls this when no result of those
-    runs is read any more. Returns the deleted folders."""
+def clear_runs(spark: SparkSession, now: datetime, retention_days: int = RETENTION_DAYS,
+               root: str | None = None) -> list[str]:
+    """Delete the job folders (``run_dir``) below ``root`` (by default the shared folder's) last changed
+    more than ``retention_days`` before ``now``; whoever owns the shared folder calls this when no
+    result of those runs is read any more. Returns the deleted folders."""
     from streamlake.session import shared_dir
 
-    folder, fs = _file_system(spark, f"{shared_dir(spark)}/streamlake")
+    folder, fs = _file_system(spark, root or f"{shared_dir(spark)}/streamlake")
     if not fs.exists(folder):
         return []
     cutoff = now.timestamp() * 1000 - retention_days * 86_400_000

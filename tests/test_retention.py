@@ -32,15 +32,10 @@ def test_expire_superseded_files(spark, sf_dir):
 
 
 def test_clear_runs_removes_old_job_folders(spark, tmp_path):
-    shared = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))  # other tests' folders are not touched
-    try:
-        folder = run_dir(spark, "old-job")
-        spark.range(3).write.parquet(folder)
-        assert maintenance.clear_runs(spark, datetime.datetime.now()) == []
-        gone = maintenance.clear_runs(spark, datetime.datetime.now() + datetime.timedelta(days=8))
-        assert any(g.endswith(os.path.basename(folder)) for g in gone)
-        assert not os.path.exists(folder)
-        assert os.path.exists(shared_dir(spark))
-    finally:
-        spark.conf.set("spark.checkpoint.dir", shared)
+    root = str(tmp_path / "streamlake")  # a folder of its own: other tests' runs are not touched
+    folder = f"{root}/old-job-1"
+    spark.range(3).write.parquet(folder)
+    assert maintenance.clear_runs(spark, datetime.datetime.now(), root=root) == []
+    gone = maintenance.clear_runs(spark, datetime.datetime.now() + datetime.timedelta(days=8), root=root)
+    assert [g.rsplit("/", 1)[-1] for g in gone] == ["old-job-1"]
+    assert not os.path.exists(folder) and os.path.exists(shared_dir(spark))
