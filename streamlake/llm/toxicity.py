@@ -12,7 +12,7 @@ The fit sees at most ``TRAIN_ROWS`` labelled, not held-out documents, chosen by
 Arrow batches, with the word weights broadcast (their number is bounded by the sample's vocabulary).
 
 Defined cases: a null or empty text, or one without words, has no sentences and scores ``p0``; a very
-long text is scored whole. Labels are joined by ``doc_id``: a null id is never labelled, a label row of a
+long text is scored whole. Without labelled texts the model has no word weights; a sentence and the leak count 0.001 each. Labels are joined by ``doc_id``: a null id is never labelled, a label row of a
 missing or null ``toxic`` is ignored, several label rows of one id each count. Repeated rows score alike
 (the score depends on the text only). Other input columns, whatever their names, are ignored.
 """
@@ -76,7 +76,10 @@ def _fit_arrays(words: list[str], features: np.ndarray, owner: np.ndarray, docs:
     """Maximum likelihood of the documents' labels under the noisy-or of their sentences: sentence
     ``owner[k]`` holds word ``features[k]``; sentence ``s`` belongs to document ``docs[s]``."""
     count = len(docs)
-    w, bias, leak = np.zeros(len(words)), -3.0, float(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3)))
+    if not len(y):  # no labelled text: no word weights, a sentence and the leak at 0.001 each
+        return Model({}, float(np.log(1e-3 / (1 - 1e-3))), float(np.log(1e-3 / (1 - 1e-3))))
+    rate = float(y.mean())
+    w, bias, leak = np.zeros(len(words)), -3.0, float(np.log(max(rate, 1e-3) / max(1 - rate, 1e-3)))
     params = [w, np.array([bias]), np.array([leak])]
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
