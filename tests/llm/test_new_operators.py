@@ -168,3 +168,19 @@ def test_toxicity_locates_the_offending_sentence(spark):
     got = out.select("row.doc_id", "score", "offending", "predicted").collect()
     assert len(got) == 4 and [r.predicted for r in got if r.doc_id == 1] == [1, 1]
     assert all(r.offending == [] for r in got if r.doc_id != 1)
+
+
+LONG = "Thecolour of the harbour was grey. " * 20_000
+
+
+def test_long_and_empty_inputs(spark):
+    model = toxicity.fit([], [])
+    assert model.score("anything at all")[0] < 0.01 and not model.weights
+    trained = toxicity.fit([LONG + " You idiot.", LONG] * 5, [1, 0] * 5)
+    score, p = trained.score(LONG + " You idiot.")
+    assert len(p) == 20_001 and 0 <= score <= 1
+    rows = [(1, LONG), (2, LONG), (3, "harbour harbor harbour")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.word: [r.form, r.n, r.n_near, r.form_n, r.root] for r in spelling.variants(docs).collect()}
+    assert got == brute_spelling(rows) and got["harbour"][1] >= 40_000
+    assert spelling.variants(docs.limit(0)).count() == 0
