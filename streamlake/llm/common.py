@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,19 +26,41 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def keep_table(df: DataFrame, job: str, compression: str = "zstd") -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+def keep_table(df: DataFrame, job: str, compression: str = "zstd", owned: bool = True) -> DataFrame:
     """Write a table below the shared folder and read it back: it survives lost executors, is
     computed once however often it is read, and its true size is known to later joins.
 
-    The files belong to the job; whoever owns ``spark.checkpoint.dir`` clears them.
+    The files belong to the job; whoever owns ``spark.checkpoint.dir`` clears them. Inside
+    ``released``, tables written with ``owned`` are deleted when the block ends.
     """
     spark = df.sparkSession
     path = run_dir(spark, job)
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
+    if owned and _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession):
+    """Delete the intermediate tables written by ``keep_table`` inside the block when it ends: write
+    the block's result with ``owned=False`` first, so that nothing read later depends on them."""
+    scope: list[str] = []
+    _SCOPES.append(scope)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        jvm = spark.sparkContext._jvm
+        for path in scope:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spaced_word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
 
