@@ -1,7 +1,8 @@
 """A training corpus from raw documents: language, near-duplicates, benchmark passages, mix, token files.
 
 Every stage takes the documents the one before it kept, all of them, and applies its operator's decision.
-Between the stages the documents are Parquet below the shared folder.
+Between the stages the documents are Parquet below the shared folder: each filtering stage writes its
+result itself and then deletes the intermediate tables it wrote, which nothing reads any more.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamlake.llm import decontaminate, langid, mixing, neardup, tokens
-from streamlake.llm.common import keep_table, prepare
+from streamlake.llm.common import keep_table, prepare, released
 from streamlake.llm.queries import vocabulary
 from streamlake.sources.tables import load
 
@@ -18,8 +19,10 @@ from streamlake.sources.tables import load
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from their labels; those the model rejects go."""
     prepare(spark)
-    rows = docs.select("text", F.struct("*").alias("row"))
-    return langid.predict(rows, langid.train(docs), keep="row").where("NOT rejected").select("row.*")
+    with released(spark):
+        rows = docs.select("text", F.struct("*").alias("row"))
+        told = langid.predict(rows, langid.train(docs), keep="row").where("NOT rejected").select("row.*")
+        return keep_table(told, "pipeline-language-id", owned=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,40 +31,44 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     words are nobody's duplicate and stay."""
     prepare(spark)
     key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
-    named = keep_table(
-        neardup.classes(docs.select(key.alias("doc_id"), "text"))
-        .groupBy(F.col("doc_id").alias("of"), "component_id")
-        .agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")), "pipeline-classes")
-    ids = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("id")).distinct()
-    first = (named.where("n > 0").join(ids, F.col("of") == F.col("key")).groupBy("component_id")
-             .agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key", "copies")).alias("first")))
-    chosen = keep_table(first.select(F.col("first.key").alias("of"), F.col("first.copies").alias("copies"))
-                        .union(named.where("n = 0").select("of", F.lit(1).cast("long"))), "pipeline-chosen")
-    rows = docs.select(key.alias("key"), F.struct("*").alias("row"))
-
-    def those(condition: str) -> DataFrame:
-        return rows.join(chosen.where(condition).select("of"), F.col("key") == F.col("of"), "left_semi")
-
-    # Only rows that are there several times are brought together, one of each task.
-    once = those("copies > 1").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return those("copies = 1").select("row.*").unionByName(once.select("row.*"))
+    with released(spark):
+        named = keep_table(
+            neardup.classes(docs.select(key.alias("doc_id"), "text"))
+            .groupBy(F.col("doc_id").alias("of"), "component_id")
+            .agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")), "pipeline-classes")
+        ids = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("id")).distinct()
+        first = (named.where("n > 0").join(ids, F.col("of") == F.col("key")).groupBy("component_id")
+                 .agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key", "copies")).alias("first")))
+        chosen = keep_table(first.select(F.col("first.key").alias("of"), F.col("first.copies").alias("copies"))
+                            .union(named.where("n = 0").select("of", F.lit(1).cast("long"))), "pipeline-chosen")
+        # The texts meet the narrow decision once; it brings the number of copies along, and only rows
+        # that are there several times are brought together, one of each kept.
+        rows = docs.select(key.alias("key"), F.struct("*").alias("row"))
+        joined = rows.join(chosen, F.col("key") == F.col("of"))
+        once = (joined.where("copies > 1").groupBy("key")
+                .agg(F.min_by("row", F.xxhash64("row")).alias("row")))
+        kept = joined.where("copies = 1").select("row.*").unionByName(once.select("row.*"))
+        return keep_table(kept, "pipeline-near-dedup", owned=False)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark. Rows are told apart by id and text."""
     prepare(spark)
     key = F.struct("doc_id", F.xxhash64("text").alias("text"))
-    found = decontaminate.find(docs.select(key.alias("doc_id"), "text"), load(spark, sf_dir, "benchmark"))
-    hit = keep_table(found.where("n_hit > 0").select(F.col("doc_id").alias("hit")).distinct(),
-                     "pipeline-contaminated")
-    rows = docs.select(key.alias("key"), F.struct("*").alias("row"))
-    return rows.join(hit, F.col("key") == F.col("hit"), "left_anti").select("row.*")
+    with released(spark):
+        found = decontaminate.find(docs.select(key.alias("doc_id"), "text"), load(spark, sf_dir, "benchmark"))
+        hit = keep_table(found.where("n_hit > 0").select(F.col("doc_id").alias("hit")).distinct(),
+                         "pipeline-contaminated")
+        rows = docs.select(key.alias("key"), F.struct("*").alias("row"))
+        clean = rows.join(hit, F.col("key") == F.col("hit"), "left_anti").select("row.*")
+        return keep_table(clean, "pipeline-decontamination", owned=False)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it."""
     prepare(spark)
-    return mixing.mixed(docs)
+    with released(spark):
+        return keep_table(mixing.mixed(docs), "pipeline-mix", owned=False)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,6 +87,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = keep_table(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-").lower())
+    for _, stage in STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)  # each writes its result below the shared folder and reads it back
     return STAGES[-1][1](spark, docs, sf_dir)
