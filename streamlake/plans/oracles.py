@@ -376,6 +376,8 @@ ORDER BY order_count DESC, status LIMIT 100""",
 
     "compaction_rewrite": "SELECT * FROM orders",
     "retention_after_compaction": "SELECT * FROM orders",
+    "create_if_absent_with_default": """
+SELECT c_custkey AS customer_id, c_name AS name, TRUE AS stamped FROM customer""",
     "mask_hash": f"""WITH {SHOP_CUSTOMERS}
 SELECT customer_id, name, upper(sha256(email)) AS email, city, created_at FROM shop_customers""",
     "mask_partial": f"""WITH {SHOP_CUSTOMERS}

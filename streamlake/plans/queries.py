@@ -4,6 +4,7 @@ whole of its tables."""
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -14,7 +15,7 @@ from streamlake.operators import (access, audit, cdc, clickstream, dashboards, d
 from streamlake.policy import SHIPPED, Grant, Policy
 from streamlake.session import configure, run_dir, streaming_session
 from streamlake.sources import derive
-from streamlake.sources.tables import load, table_path
+from streamlake.sources.tables import ensure_table, load, table_path
 from streamlake.sources.topics import (CLICK_SCHEMA, CUSTOMER_ROW, ORDER_ROW, decode, encode,
                                        envelope_schema, stream_table)
 from streamlake.streaming import jobs
@@ -422,6 +423,22 @@ def compaction_rewrite(spark, sf_dir):
     return maintenance.compacted(spark, source, merged, plan).select(*orders.columns)
 
 
+@query
+def create_if_absent_with_default(spark, sf_dir):
+    """A customers table in the catalog, created if absent with a creation time that defaults to the
+    time of the insert, filled by two inserts that name only id and name (even ids, then odd ones)."""
+    namespace = f"shop_{uuid.uuid4().hex[:12]}"  # this run's own namespace in the shared warehouse
+    columns = "customer_id BIGINT, name STRING, created_at TIMESTAMP DEFAULT CURRENT_TIMESTAMP()"
+    ensure_table(spark, namespace, "customers", columns)
+    ensure_table(spark, namespace, "customers", columns)  # exists: left alone
+    customers = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    for parity in (0, 1):
+        spark.sql(f"INSERT INTO {namespace}.customers (customer_id, name) "
+                  "SELECT id, name FROM {rows} WHERE id % 2 = {parity}", rows=customers, parity=parity)
+    table = spark.table(f"{namespace}.customers")
+    return table.select("customer_id", "name", F.col("created_at").isNotNull().alias("stamped"))
+
+
 @query
 def retention_after_compaction(spark, sf_dir):
     """The orders by status in many small files, merged, and the merged files expired by a clock eight

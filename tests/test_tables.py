@@ -197,3 +197,16 @@ def test_status_chart(spark, limit, want):
     assert [tuple(r) for r in dashboards.orders_by_status(orders, row_limit=limit).collect()] == want
     series = dashboards.orders_by_status_series(orders).collect()
     assert sorted((r.status, r.series, r.order_count) for r in series) == [("A", "A", 1), ("B", "B", 3), ("C", "C", 2)]
+
+
+def test_insert_naming_some_columns_takes_one_default_time_per_insert(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from streamlake.plans.queries import QUERIES
+
+    QUERIES["create_if_absent_with_default"](spark, sf_dir).count()
+    name = sorted(r.namespace for r in spark.sql("SHOW DATABASES").collect() if r.namespace.startswith("shop_"))[-1]
+    table = spark.table(f"{name}.customers")
+    stamps = table.groupBy(F.col("customer_id") % 2).agg(F.count_distinct("created_at").alias("n")).collect()
+    assert sorted(r.n for r in stamps) == [1, 1]
+    assert table.where("created_at IS NULL").count() == 0
