@@ -9,6 +9,8 @@ import datetime
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from streamlake.session import run_dir
+
 SESSION_GAP_MINUTES = 30
 
 
@@ -137,7 +139,7 @@ def orders_after_clicks(clicks: DataFrame, placements: DataFrame, within: str =
         F.col("p.placed_at").alias("placed_at"), F.col("p.total_amount").alias("total_amount"))
 
 
-SLOTS = 1024  # time slots the events' span is cut into for the range join
+SLOTS = 1024  # time slots the events' span is cut into for the range join, a power of two
 
 
 def with_state_at(events: DataFrame, history: DataFrame, event_key: str, state_key: str,
@@ -145,29 +147,58 @@ def with_state_at(events: DataFrame, history: DataFrame, event_key: str, state_k
     """Each event with every image of ``history`` of its key valid at its time
     (``valid_from <= ts < valid_to``, an open ``valid_to`` never ends).
 
-    A range join through time slots instead of a nested loop: the events' span is cut into ``slots``
-    equal slots; an event lies in one, an image is listed in every slot its validity overlaps (clipped
-    to the span, so at most ``slots + 1``); the equi-join on key and slot finds each candidate once, and
-    the exact condition decides. Events without key or time find nothing.
+    A range join through a binary tree over the events' time instead of a nested loop: the events' span
+    is cut into ``slots`` equal slots (rounded up to a power of two), the leaves. An image's validity,
+    clipped to the span, is listed as the few nodes that make it up: two of each level at most, the root
+    alone if it covers the span. An event is looked up at its leaf and the nodes above it, on the levels
+    that have images. So an event and an image meet at most once in the equi-join on key and node, and the
+    exact condition decides. Events without key or time find nothing.
+
+    The listed images are written below the shared folder first: the log is read and parsed once, and
+    the levels that have images are known.
     """
+    spark = history.sparkSession
     low, high = events.agg(F.min(ts), F.max(ts)).first()
     if low is None:  # no event has a time: none finds a state
         low = high = datetime.datetime(1970, 1, 1)
     start = F.lit(low).cast("timestamp_ntz")
+    levels = (slots - 1).bit_length()
+    slots = 1 << levels
     width = max((high - low).total_seconds() * 1_000_000 / slots, 1.0)
 
     def slot(t):
         micros = F.unix_micros(t.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-        return F.floor(micros / F.lit(width)).cast("long")
+        return F.least(F.floor(micros / F.lit(width)).cast("long"), F.lit(slots - 1).cast("long"))
+
+    def node(level, place):  # numbered from the root, 1, so that a node's parent is half its number
+        return F.lit(1 << (levels - level)).cast("long") + place
+
+    # A run of nodes of a level gives away its first if odd and its last if even; their parents make up the rest.
+    ends = []
+    for level in range(levels + 1):
+        begin = F.shiftright(F.col("_begin") + ((1 << level) - 1), level)
+        end = F.shiftright(F.col("_end"), level)
+        ends += [F.when((begin < end) & (begin % 2 == 1), node(level, begin)),
+                 F.when((begin < end) & (end % 2 == 1), node(level, end - 1))]
 
     first = F.greatest(F.col("valid_from"), start)
     last = F.least(F.coalesce(F.col("valid_to"), F.lit(high).cast("timestamp_ntz")),
                    F.lit(high).cast("timestamp_ntz"))
     listed = (history.where(F.coalesce(F.col("valid_to") > start, F.lit(True))
                             & (F.col("valid_from") <= F.lit(high).cast("timestamp_ntz")))
-              .withColumn("_slot", F.explode(F.sequence(slot(first), slot(last)))))
-    placed = events.withColumn("_slot", slot(F.col(ts)))
-    found = placed.join(listed, (F.col(event_key) == F.col(state_key)) & (placed["_slot"] == listed["_slot"])
+              .withColumns({"_begin": slot(first), "_end": slot(last) + 1})
+              .withColumn("_node", F.explode(F.array_compact(F.array(*ends)))).drop("_begin", "_end"))
+    path = run_dir(spark, "states-listed")
+    listed.write.parquet(path)
+    listed = spark.read.schema(listed.schema).parquet(path)
+    level_of = F.lit(levels + 1) - F.length(F.bin("_node"))
+    used = sorted(r[0] for r in listed.select(level_of).distinct().collect())  # `levels + 1` at most
+    if not used:
+        used = [0]
+    above = F.array(*[F.shiftright(F.col("_leaf"), level) for level in used])
+    placed = (events.withColumn("_leaf", node(0, slot(F.col(ts))))
+              .withColumn("_node", F.explode(above)).drop("_leaf"))
+    found = placed.join(listed, (F.col(event_key) == F.col(state_key)) & (placed["_node"] == listed["_node"])
                         & (F.col("valid_from") <= F.col(ts))
                         & F.coalesce(F.col(ts) < F.col("valid_to"), F.lit(True)))
-    return found.drop("_slot")
+    return found.drop("_node")
