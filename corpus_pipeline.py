@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamlake.llm import decontaminate, langid, mixing, neardup, tokens
-from streamlake.llm.common import keep_table, prepare
+from streamlake.llm.common import keep_table, prepare, to_every_task
 from streamlake.llm.queries import vocabulary
 from streamlake.sources.tables import load
 
@@ -37,14 +37,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
              .agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key", "copies")).alias("first")))
     chosen = keep_table(first.select(F.col("first.key").alias("of"), F.col("first.copies").alias("copies"))
                         .union(named.where("n = 0").select("of", F.lit(1).cast("long"))), "pipeline-chosen")
+    # Few go or stand several times, most stay: the texts of these are not shuffled.
+    several = chosen.where("copies > 1").select("of", F.lit(True).alias("stays"))
+    gone = named.where("n > 0").select("of").distinct().join(chosen, "of", "left_anti")
+    singled_out = keep_table(several.union(gone.select("of", F.lit(False))), "pipeline-singled-out")
     rows = docs.select(key.alias("key"), F.struct("*").alias("row"))
-
-    def those(condition: str) -> DataFrame:
-        return rows.join(chosen.where(condition).select("of"), F.col("key") == F.col("of"), "left_semi")
-
+    others = rows.join(to_every_task(singled_out.select("of")), F.col("key") == F.col("of"), "left_anti")
     # Only rows that are there several times are brought together, one of each task.
-    once = those("copies > 1").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return those("copies = 1").select("row.*").unionByName(once.select("row.*"))
+    once = (rows.join(to_every_task(singled_out.where("stays").select("of")), F.col("key") == F.col("of"), "left_semi")
+            .groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")))
+    return others.select("row.*").unionByName(once.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

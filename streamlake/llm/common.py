@@ -15,6 +15,7 @@ SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 # What is handed to a Python task at once. The default counts rows only, and rows may be long.
 BATCH_BYTES = 4 << 20
+BROADCAST_IDS = 2_500_000  # numbers sent to every task at once, at most
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -37,6 +38,13 @@ def keep_table(df: DataFrame, job: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def to_every_task(ids: DataFrame) -> DataFrame:
+    """A written table of one number a row with the hint to broadcast it, unless it has more than
+    ``BROADCAST_IDS`` rows: texts are picked out by it where they lie, while with more ids both sides
+    of the join are shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def spaced_word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamlake.llm.common import in_blocks, keep_table, runs
+from streamlake.llm.common import in_blocks, keep_table, runs, to_every_task
 from streamlake.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -284,6 +284,12 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
             .select("a", "block", "role", "node", "text").mapInArrow(compared, "u bigint, v bigint"))
 
 
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text``: the rows of ``docs`` whose id is among ``nodes``."""
+    wanted = to_every_task(keep_table(nodes, "neardup-wanted"))
+    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """Near-duplicate classes of ``docs (doc_id, text)``.
 
@@ -312,9 +318,7 @@ def classes(docs: DataFrame) -> DataFrame:
         .withColumn("held", F.count(F.lit(1)).over(of_key)).where("held > 1")
         .select("key", "entry", "node", "n", F.col("first.node").alias("lead"), F.col("first.n").alias("lead_n"),
                 "held"), "neardup-shared")
-    bodies = keep_table(
-        docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-        .join(shared.select("node").distinct(), "node", "left_semi"), "neardup-bodies")
+    bodies = keep_table(_texts(docs, shared.select("node").distinct()), "neardup-bodies")
 
     def comparable(a: str, b: str):
         return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)

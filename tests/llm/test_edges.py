@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from streamlake.llm import (
+    common,
     decontaminate,
     embeddings,
     extract,
@@ -113,6 +114,41 @@ def test_near_duplicates(docs, empty):
     assert neardup.classes(empty).count() == 0
 
 
+def test_near_duplicates_pick_texts_without_shuffling_all(spark, monkeypatch):
+    # Beyond the planner's own broadcast threshold all texts were shuffled to find the few that share a key.
+    docs = spark.createDataFrame([(i % 50 if i % 7 else None, f"text {i}") for i in range(200)], "doc_id int, text string")
+    nodes = spark.createDataFrame([(3,), (8,), (49,), (77,)], "node long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, join in ((2_500_000, "BroadcastHashJoin"), (3, "SortMergeJoin")):
+            monkeypatch.setattr(common, "BROADCAST_IDS", most, raising=False)
+            found = neardup._texts(docs, nodes)
+            assert join in found._jdf.queryExecution().executedPlan().toString()
+            assert sorted((r.node, r.text) for r in found.collect()) == sorted(
+                (i % 50, f"text {i}") for i in range(200) if i % 7 and i % 50 in (3, 8, 49))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [2_500_000, 0])
+def test_pipeline_drops_near_duplicates_without_shuffling_all(spark, sf_dir, monkeypatch, most):
+    # The texts that stay were all shuffled as soon as their ids were beyond the planner's own threshold.
+    monkeypatch.setattr(common, "BROADCAST_IDS", most, raising=False)
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    rows = [(i, text(i), "a") for i in range(20)] + [(20 + i, text(i) + " more", "b") for i in range(5)]
+    rows += [(3, text(3), "a"), (7, text(7), "a"), (40, None, "a"), (40, None, "a"), (None, "  ", "a"), (None, text(50), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+        assert ("BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+        assert decided(out) == sorted([*((i, text(i), "a") for i in range(20)), (40, "", "a"), (40, "", "a"), (0, "  ", "a"), (0, text(50), "b")])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_licences(docs, empty, spark):
     assert all(r.matches == [] for rows in by_id(licenses.scan(docs)).values() for r in rows)
     assert licenses.scan(empty).count() == 0
